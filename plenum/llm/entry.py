@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import dac_tokens, license_scan, media, sharding, url_filter
+from plenum.llm import dac_tokens, license_scan, media, quality, sharding, toxicity, url_filter
+from plenum.llm.features import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _scored(spark: SparkSession, sf_dir: str, method, folds: int, fold: int) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = method.fit(docs, _table(spark, sf_dir, "labels"), folds, fold)
+    found = method.score(docs, model).select("doc_id", held_out(folds, fold).alias("held_out"), "score")
+    return found.withColumn("predicted", (F.col("score") >= method.THRESHOLD).cast("int"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, 5, 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, 4, 2)
+
+
 def op2_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dac_tokens.encode_corpus(docs, tokenizer_file("word_bpe_49k.json"))
@@ -50,10 +66,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_dac_tokens": op2_dac_tokens,
         "op3_url_filters": op3_url_filters,
         "op4_sharding": op4_sharding,
         "op8_license_scan": op8_license_scan,
+        "op9_toxicity": op9_toxicity,
         "op10_media_columns": op10_media_columns,
     }
 
