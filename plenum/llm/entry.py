@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import dac_tokens, license_scan, media, quality, sharding, toxicity, url_filter
+from plenum.llm import dac_tokens, jaccard_join, license_scan, media, quality, sharding, toxicity, url_filter
 from plenum.llm.features import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id").select("doc_id", "slot", "shard")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, 100)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = {c: F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses")}
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op2_dac_tokens": op2_dac_tokens,
         "op3_url_filters": op3_url_filters,
         "op4_sharding": op4_sharding,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_license_scan": op8_license_scan,
         "op9_toxicity": op9_toxicity,
         "op10_media_columns": op10_media_columns,
