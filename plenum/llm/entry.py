@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import dac_tokens, jaccard_join, license_scan, media, quality, sharding, toxicity, url_filter
+from plenum.llm import dac_tokens, jaccard_join, license_scan, media, quality, sentencepiece_codec, sharding, toxicity, url_filter
 from plenum.llm.features import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, 100)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.digests(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = {c: F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses")}
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op3_url_filters": op3_url_filters,
         "op4_sharding": op4_sharding,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_license_scan": op8_license_scan,
         "op9_toxicity": op9_toxicity,
         "op10_media_columns": op10_media_columns,
