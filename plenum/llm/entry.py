@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import dac_tokens, jaccard_join, license_scan, media, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from plenum.llm import dac_tokens, decontaminate, jaccard_join, license_scan, media, quality, sentencepiece_codec, sharding, toxicity, url_filter
 from plenum.llm.features import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id").select("doc_id", "slot", "shard")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.overlaps(docs, _table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"), 4, 85, 100)
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op2_dac_tokens": op2_dac_tokens,
         "op3_url_filters": op3_url_filters,
         "op4_sharding": op4_sharding,
+        "op5_decontamination": op5_decontamination,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_license_scan": op8_license_scan,

@@ -269,3 +269,19 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     reps = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = heads.select("doc_id", "n", "d1", "d2").join(reps.select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id. Of rows that share that doc_id
+    the least by text stays. Rows without a doc_id stay."""
+    named = materialise(join(docs.select("doc_id", "text"), k, num, den), "named")
+    gone = named.where("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    again = named.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    again = materialise(again, "again")
+    if not again.limit(1).count():
+        return left
+    names = left.columns
+    few = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), "text").alias("row"))
+    texts = few.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    return left.join(again, "doc_id", "left_anti").unionByName(texts)
