@@ -1,18 +1,76 @@
-"""The corpus pipeline: each stage applies one of the training-data operators to all its predecessor kept."""
+"""The corpus pipeline: each stage applies one of the training-data operators to all its predecessor kept.
+
+Rows with null texts go through every stage as empty ones. Columns beyond those of ``documents`` are carried along up
+to the last stage, which returns doc_id, n_tokens and ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plenum.llm import decontaminate, jaccard_join, quality, sentencepiece_codec, toxicity
+from plenum.llm.entry import tokenizer_file
+from plenum.llm.scratch import materialise
+from plenum.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    ship(spark)
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).drop("score")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    ship(spark)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays."""
+    ship(spark)
+    return jaccard_join.one_of_each(docs, 5, 4, 5)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    ship(spark)
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of what is left."""
+    ship(spark)
+    rows = docs.select("doc_id", "text")
+    found = sentencepiece_codec.encode(rows, tokenizer_file("piece_bpe_32k.model"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("near_copies", no_near_copies),
+    ("decontamination", no_benchmark),
+    ("sentencepiece", tokens),
+]
+
+#: Trained models and similarity classes over word shingles are not SQL; tests/llm holds the stages to brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
