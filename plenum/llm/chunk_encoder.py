@@ -16,17 +16,18 @@ import numpy as np
 from plenum.llm.textbytes import SAME, SLICE_BYTES, groups, placed_words
 
 #: Longest chunk that the cache keeps, and how many of them it keeps before it starts anew.
-KEPT_BYTES, KEPT_CHUNKS = 64, 1_000_000
+KEPT_BYTES, KEPT_CHUNKS, KEPT_MARKS = 64, 1_600_000, 50_000
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
 _END = re.compile(rb"[ \t\n\r]")
 
 
 class ChunkEncoder:
-    """encode: the ids of each of some chunks. blank: the bytes that stand between chunks."""
+    """encode: the ids of each of some chunks. parts: a chunk as a word and the marks behind it (or empty), which the
+    model encodes apart; most new chunks are known words with other marks. blank: the bytes that stand between chunks."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], end: re.Pattern = _END, blank: np.ndarray = BLANK):
-        self._encode, self._end, self._blank = encode, end, blank
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], parts: Callable[[str], tuple[str, str]] | None = None, end: re.Pattern = _END, blank: np.ndarray = BLANK):
+        self._encode, self._parts, self._end, self._blank = encode, parts, end, blank
         self._reset()
 
     def _reset(self) -> None:
@@ -34,6 +35,31 @@ class ChunkEncoder:
         self._ids = np.zeros(1 << 16, np.uint32)
         self._ends = np.zeros(1 << 12, np.int64)
         self._n = 0
+        self._marks: dict[str, list[int]] = {}
+
+    def _learn(self, keys: list[int], chunks: list[str]) -> None:
+        if self._parts is None:
+            self._add(keys, self._encode(chunks))
+            return
+        words, marks = zip(*map(self._parts, chunks))
+        raw = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+        word_keys = placed_words(raw, np.array([0, len(raw)]), SAME, self._blank)[0].tolist()
+        new = {k: w for k, w in zip(word_keys, words) if k not in self._index}
+        if new:
+            self._add(list(new), self._encode(list(new.values())))
+        for mark in set(marks) - self._marks.keys():
+            self._marks[mark] = self._encode([mark])[0] if mark else []
+        plain, rows, more = {}, [], []
+        for key, word_key, mark in zip(keys, word_keys, marks):
+            row = self._index[word_key]
+            if mark:
+                rows.append(self._ids[self._ends[row] : self._ends[row + 1]].tolist() + self._marks[mark])
+                more.append(key)
+            else:
+                plain[key] = row
+        self._index.update(plain)
+        if more:
+            self._add(more, rows)
 
     def _add(self, keys: list[int], ids: list[list[int]]) -> None:
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + self._ends[self._n]
@@ -65,7 +91,7 @@ class ChunkEncoder:
                 chunks.append(chunk.decode("utf-8", "replace"))
                 if len(chunk) > KEPT_BYTES:
                     long.append(keys[i])
-            self._add([keys[i] for i in new], self._encode(chunks))
+            self._learn([keys[i] for i in new], chunks)
             found = list(map(self._index.__getitem__, keys))
         row = np.array(found, np.int64)[which] if len(which) else np.zeros(0, np.int64)
         low, size = self._ends[row], self._ends[row + 1] - self._ends[row]
@@ -73,7 +99,7 @@ class ChunkEncoder:
         ids = self._ids[np.repeat(low - ends[:-1], size) + np.arange(ends[-1])]
         for key in long:
             del self._index[key]
-        if len(self._index) > KEPT_CHUNKS or self._ends[self._n] > 12 * KEPT_CHUNKS:
+        if len(self._index) > KEPT_CHUNKS or self._ends[self._n] > 8 * KEPT_CHUNKS or len(self._marks) > KEPT_MARKS:
             self._reset()
         return ids, ends[np.searchsorted(starts, at[1:])]
 

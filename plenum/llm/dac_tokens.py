@@ -109,13 +109,16 @@ _encoders: dict[str, ChunkEncoder] = {}
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-_KEPT_WORDS = 300_000
+def word_and_marks(chunk: str) -> tuple[str, str]:
+    """A word of letters and the marks behind it, as the model's pattern parts them; A-Z as the model lowers them."""
+    core = chunk.rstrip(_MARKS)
+    if not core.isalpha():
+        return chunk, ""
+    return (core.lower() if core.isascii() else core), chunk[len(core) :]
 
 
 def chunk_ids(model) -> Callable[[list[str]], list[list[int]]]:
-    """Encodes chunks by the parts of a tokenizers model: a word of letters and the marks behind it apart, as the
-    model's pattern parts them, and each distinct word once while it is among the last words."""
-    known: dict[str, list[int]] = {}
+    """Encodes chunks by the parts of a tokenizers model; a chunk that may hold a special token as a whole."""
     tokenize = model.model.tokenize
 
     def of(word: str) -> list[int]:
@@ -126,21 +129,7 @@ def chunk_ids(model) -> Callable[[list[str]], list[list[int]]]:
         pieces = model.pre_tokenizer.pre_tokenize_str(model.normalizer.normalize_str(word))
         return [t.id for piece, _ in pieces for t in tokenize(piece)]
 
-    def encode(chunks: list[str]) -> list[list[int]]:
-        if len(known) > _KEPT_WORDS:
-            known.clear()
-        out = []
-        for chunk in chunks:
-            core = chunk.rstrip(_MARKS)
-            ids: list[int] = []
-            for x in (core, chunk[len(core) :]) if core != chunk and core.isalpha() else (chunk,):
-                if (own := known.get(x)) is None:
-                    known[x] = own = of(x)
-                ids += own
-            out.append(ids)
-        return out
-
-    return encode
+    return lambda chunks: [of(c) for c in chunks]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -148,7 +137,7 @@ def encoder(path: str) -> ChunkEncoder:
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        _encoders[path] = ChunkEncoder(chunk_ids(Tokenizer.from_file(path)))
+        _encoders[path] = ChunkEncoder(chunk_ids(Tokenizer.from_file(path)), word_and_marks)
     return _encoders[path]
 
 
