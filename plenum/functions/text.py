@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from plenum.functions import constants as C
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_asr(text: Column) -> Column:
     """A character three times or more becomes two, a word three times or more becomes one, white space one blank."""
     text = F.regexp_replace(text, r"(.)\1{2,}", "$1$1")
@@ -119,23 +125,26 @@ def most_repeats(own: Column, n: int = 4) -> Column:
 
 def noise_segment(text: Column) -> Column:
     """short, repetitive, gibberish, commercial or jingle, by the first rule that holds; else null."""
-    own, n = words(text), F.size(words(text))
     price = text.rlike(C.PRICE)
     phrases = hits(text, C.SEGMENT_AD_PHRASES)
     slogan = text.contains(C.TOO_LOW) & any_of(text, C.BRANDS)
-    return (
-        F.when(n < 5, "short")
-        .when((n >= 8) & (unique_ratio(own) < 0.3), "repetitive")
-        .when((n >= 12) & (most_repeats(own) >= 3), "repetitive")
-        .when((hebrew_ratio(text) < 0.3) & (n < 15), "gibberish")
-        .when((phrases >= 2) | ((phrases >= 1) & price) | (occurrences(text, C.LOWEST_PRICES) >= 2) | slogan, "commercial")
-        .when((n <= 8) & any_of(text, C.STATION_JINGLES), "jingle")
-    )
+
+    def rules(own: Column) -> Column:
+        n = F.size(own)
+        return (
+            F.when(n < 5, "short")
+            .when((n >= 8) & (unique_ratio(own) < 0.3), "repetitive")
+            .when((n >= 12) & (most_repeats(own) >= 3), "repetitive")
+            .when((n < 15) & (hebrew_ratio(text) < 0.3), "gibberish")
+            .when((phrases >= 2) | ((phrases >= 1) & price) | (occurrences(text, C.LOWEST_PRICES) >= 2) | slogan, "commercial")
+            .when((n <= 8) & any_of(text, C.STATION_JINGLES), "jingle")
+        )
+
+    return let(words(text), rules)
 
 
 def noise_sentence(text: Column) -> Column:
-    own = words(text)
-    return F.when(F.size(own) < 2, "short").when((F.size(own) >= 6) & (unique_ratio(own) < 0.3), "repetitive")
+    return let(words(text), lambda own: F.when(F.size(own) < 2, "short").when((F.size(own) >= 6) & (unique_ratio(own) < 0.3), "repetitive"))
 
 
 def is_ad_index(text: Column) -> Column:
@@ -159,11 +168,15 @@ def is_jingle_filter(text: Column, seconds: Column) -> Column:
 
 def quality_penalty(text: Column) -> Column:
     """The factor by which short and repetitive texts lose rank."""
-    own, n = words(F.coalesce(text, F.lit(""))), F.size(words(F.coalesce(text, F.lit(""))))
-    short = F.when(n < 5, 0.3).when(n < 10, 0.7).otherwise(1.0)
-    ratio = F.when((n >= 8) & (unique_ratio(own) < 0.3), 0.2).when((n >= 8) & (unique_ratio(own) < 0.4), 0.5).otherwise(1.0)
-    repeats = F.when((n >= 12) & (most_repeats(own) >= 3), 0.4).otherwise(1.0)
-    return short * ratio * repeats
+
+    def factor(own: Column) -> Column:
+        n = F.size(own)
+        short = F.when(n < 5, 0.3).when(n < 10, 0.7).otherwise(1.0)
+        ratio = let(unique_ratio(own), lambda r: F.when((n >= 8) & (r < 0.3), 0.2).when((n >= 8) & (r < 0.4), 0.5).otherwise(1.0))
+        repeats = F.when((n >= 12) & (most_repeats(own) >= 3), 0.4).otherwise(1.0)
+        return short * ratio * repeats
+
+    return let(words(F.coalesce(text, F.lit(""))), factor)
 
 
 def similarity_factor(similarity: Column, rank: Column) -> Column:

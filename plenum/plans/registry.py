@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.plans import searches
+from plenum.plans import searches, spans, texts
 
 FLAGSHIP = "hybrid_rrf"
-MODULES = (searches,)
+MODULES = (searches, texts, spans)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
