@@ -11,20 +11,21 @@ from plenum.functions import vector as V
 from plenum.operators import fusion, search
 from plenum.plans.base import Q_SQL, TOKENS_SQL, WORDS_SQL, documents_as_segments, query_vector, table, vectors
 
-S = F.round("similarity", 6).alias("similarity")
+def _sim():
+    return F.round("similarity", 6).alias("similarity")
 
 
 def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.semantic(vectors(spark, d), query_vector(spark, d)).select("id", S)
+    return search.semantic(vectors(spark, d), query_vector(spark, d)).select("id", _sim())
 
 
 def semantic_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d).join(documents_as_segments(spark, d), F.col("id") == F.col("segment_id"))
-    return search.semantic(rows, query_vector(spark, d), 20, 0.0, station="src1", media_type="en").select("id", "station", "topic_id", S)
+    return search.semantic(rows, query_vector(spark, d), 20, 0.0, station="src1", media_type="en").select("id", "station", "topic_id", _sim())
 
 
 def semantic_direct(spark: SparkSession, d: str) -> DataFrame:
-    return search.semantic(vectors(spark, d), query_vector(spark, d, 1), 20, 0.25).select("id", "topic_id", S)
+    return search.semantic(vectors(spark, d), query_vector(spark, d, 1), 20, 0.25).select("id", "topic_id", _sim())
 
 
 def topic_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +34,7 @@ def topic_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_expanded(spark: SparkSession, d: str) -> DataFrame:
-    return search.expanded(vectors(spark, d), query_vector(spark, d), 5, 20, 0.18).select("id", "topic_id", S, "match_type")
+    return search.expanded(vectors(spark, d), query_vector(spark, d), 5, 20, 0.18).select("id", "topic_id", _sim(), "match_type")
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +46,7 @@ def topic_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_topic(spark: SparkSession, d: str) -> DataFrame:
-    return search.nearest_topic(_topics(spark, d), query_vector(spark, d), 0.05).select("topic_id", S)
+    return search.nearest_topic(_topics(spark, d), query_vector(spark, d), 0.05).select("topic_id", _sim())
 
 
 def running_centroid(spark: SparkSession, d: str) -> DataFrame:
@@ -59,27 +60,28 @@ def weighted_centroid(spark: SparkSession, d: str) -> DataFrame:
     return V.mean_by(rows, "topic_id", "embedding_he", "w").select("topic_id", F.posexplode("centroid").alias("i", "x")).select("topic_id", "i", F.round("x", 6).alias("x"))
 
 
-R = F.round("rank", 6).alias("rank")
+def _rounded():
+    return F.round("rank", 6).alias("rank")
 
 
 def keyword_plain(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword(documents_as_segments(spark, d), "the of", 20, "segment_id").select("segment_id", R)
+    return search.keyword(documents_as_segments(spark, d), "the of", 20, "segment_id").select("segment_id", _rounded())
 
 
 def keyword_or(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_query(documents_as_segments(spark, d), Q.parse("einer OR para"), None, 30, "segment_id").select("segment_id", R)
+    return search.keyword_query(documents_as_segments(spark, d), Q.parse("einer OR para"), None, 30, "segment_id").select("segment_id", _rounded())
 
 
 def keyword_not(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_query(documents_as_segments(spark, d), Q.parse("the NOT of -was"), None, 30, "segment_id").select("segment_id", R)
+    return search.keyword_query(documents_as_segments(spark, d), Q.parse("the NOT of -was"), None, 30, "segment_id").select("segment_id", _rounded())
 
 
 def keyword_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_query(documents_as_segments(spark, d), Q.parse('"of the" in'), None, 30, "segment_id", station="src1").select("segment_id", R)
+    return search.keyword_query(documents_as_segments(spark, d), Q.parse('"of the" in'), None, 30, "segment_id", station="src1").select("segment_id", _rounded())
 
 
 def trigram_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.trigram(documents_as_segments(spark, d), "the of and in to with", 20, 0.05, "segment_id").select("segment_id", S)
+    return search.trigram(documents_as_segments(spark, d), "the of and in to with", 20, 0.05, "segment_id").select("segment_id", _sim())
 
 
 def index_tokens(spark: SparkSession, d: str) -> DataFrame:
