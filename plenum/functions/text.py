@@ -55,6 +55,11 @@ def _stem(word: Column) -> Column:
     return tried
 
 
+def has_hebrew(text: Column) -> Column:
+    """All affixes are Hebrew, so other texts need no look at their words."""
+    return text.rlike("[֐-׿]")
+
+
 def affix_expand(text: Column) -> Column:
     """The text, and behind it each word of three letters or more without its prefix, and the stems of both."""
 
@@ -62,12 +67,14 @@ def affix_expand(text: Column) -> Column:
         bare = _strip_prefix(word)
         return F.when(F.length(word) >= 3, F.array_compact(F.array(bare, _stem(word), _stem(bare)))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_join(F.concat(F.array(text), F.flatten(F.transform(F.split(text, " "), forms))), " ")
+    whole = F.array_join(F.concat(F.array(text), F.flatten(F.transform(F.split(text, " "), forms))), " ")
+    return F.when(has_hebrew(text), whole).otherwise(text)
 
 
 def prefix_expand(text: Column) -> Column:
     """The older expansion: prefixes only."""
-    return F.array_join(F.concat(F.array(text), F.array_compact(F.transform(F.split(text, " "), _strip_prefix))), " ")
+    whole = F.array_join(F.concat(F.array(text), F.array_compact(F.transform(F.split(text, " "), _strip_prefix))), " ")
+    return F.when(has_hebrew(text), whole).otherwise(text)
 
 
 def trigrams(text: Column) -> Column:

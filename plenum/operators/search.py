@@ -6,6 +6,8 @@ and a merge of k rows for each; ties go by id. Media are joined by key; Spark br
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +50,20 @@ def semantic(rows: DataFrame, vector: list[float], n: int = 20, threshold: float
 def keyword(rows: DataFrame, query: str, n: int = 20, id_column: str = "id", tokens: Column | None = None, station: str | None = None, media_type: str | None = None) -> DataFrame:
     """Rows with all of a plain query's tokens, by rank. ``tokens``: the token array; by default of the expanded text."""
     tokens = T.tokens(T.affix_expand(F.col("text"))) if tokens is None else tokens
-    return _ranked(rows, tokens, Q.has_all(F.col("_tokens"), Q.plain(query)), Q.plain(query), n, id_column, station, media_type)
+    return _ranked(rows, tokens, lambda t: Q.has_all(t, Q.plain(query)), Q.plain(query), n, id_column, station, media_type)
 
 
 def keyword_query(rows: DataFrame, parsed: Q.Parsed, variants: set[str] | None = None, n: int = 20, id_column: str = "id", tokens: Column | None = None, station: str | None = None, media_type: str | None = None) -> DataFrame:
     """Rows that a parsed query matches, by rank."""
     tokens = T.tokens(T.affix_expand(F.col("text"))) if tokens is None else tokens
     wanted = [t for x in (*parsed.phrases, *parsed.terms) for t in Q.query_tokens(x)]
-    return _ranked(rows, tokens, Q.predicate(F.col("_tokens"), parsed, variants), wanted, n, id_column, station, media_type)
+    return _ranked(rows, tokens, lambda t: Q.predicate(t, parsed, variants), wanted, n, id_column, station, media_type)
 
 
-def _ranked(rows: DataFrame, tokens: Column, match: Column, wanted: list[str], n: int, id_column: str, station: str | None, media_type: str | None) -> DataFrame:
-    kept = only(not_noise(rows), station=station, media_type=media_type).withColumn("_tokens", tokens).where(match)
-    return top(kept.withColumn("rank", Q.rank(F.col("_tokens"), wanted)).drop("_tokens"), "rank", n, id_column)
+def _ranked(rows: DataFrame, tokens: Column, match: Callable[[Column], Column], wanted: list[str], n: int, id_column: str, station: str | None, media_type: str | None) -> DataFrame:
+    # Tokens are made once for the match, and once more for the rows that match.
+    kept = only(not_noise(rows), station=station, media_type=media_type).where(T.let(tokens, match))
+    return top(kept.withColumn("rank", T.let(tokens, lambda t: Q.rank(t, wanted))), "rank", n, id_column)
 
 
 def trigram(rows: DataFrame, query: str, n: int = 20, threshold: float = C.TRIGRAM_THRESHOLD, id_column: str = "id", station: str | None = None, media_type: str | None = None) -> DataFrame:
