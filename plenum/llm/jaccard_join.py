@@ -9,11 +9,11 @@ exact up to collisions of the 64-bit shingle hashes.
    have among the shingles written out go to its end, so that passages many documents share make no candidates. The
    nodes of each prefix shingle are a list; equal lists are one. Lists over ``BLOCK`` nodes (large groups of near
    copies) are cut into blocks and pairs of blocks, so no task holds an unbounded group and no link is lost.
-3. Signature tree for each list: leaves hold documents of like size; a node holds the OR of its documents' bitmaps and
-   their size range. The tree is traversed against itself. A pair of nodes is pruned when its sizes rule a link out,
-   when the bits both have can't hold the needed overlap, or when all its documents are known to be connected.
-   Surviving pairs are compared exactly.
-4. Largest lists go first; lists whose nodes that already connected are skipped then, the others are done in full.
+3. Signature tree for each list: leaves hold documents in order of size; a node holds the OR of its documents' bitmaps
+   and their size range. The tree is traversed against itself. A pair of nodes is pruned when its sizes rule a link
+   out, when the bits both have can't hold the needed overlap, or when all its documents are known to be connected.
+   What survives is compared exactly, by the sets themselves, which are made again for those documents alone.
+4. First every node is looked at in its largest list only; then all lists that still hold more than one component.
 5. Connected components of the links; every document gets its node's component.
 
 Null or empty text, or one without words: empty set, linked with nothing, component_id = doc_id. Fewer than k words:
@@ -24,7 +24,7 @@ component. Extra columns are ignored. Empty table: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenum.llm.components import components
+from plenum.llm.key_filter import key_filter
 from plenum.llm.scratch import materialise
 from plenum.llm.textbytes import buffers, groups, mix, shingles, words
 
 #: Nodes that share a shingle before it counts as hot; nodes of a block; children of a tree node.
 HOT, BLOCK, FANOUT = 64, 512, 8
-SETS = "doc_id long, n int, d1 long, d2 long, m int, pre array<long>"
+LEAST_BITS, MOST_BITS = 256, 1 << 15
+HEADS = "doc_id long, n int, d1 long, d2 long, m int, pre array<long>, sig binary"
 
 
 def prefix_length(n, num: int, den: int):
@@ -60,61 +62,108 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
     return int(mix(bits).sum().view(np.int64)), int(mix(bits + np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
 
 
+def _tag(d1: int) -> int:
+    """Tells apart the sets of rows that share a doc_id."""
+    return d1 & 0x3FF
+
+
+def signature(own: np.ndarray) -> bytes:
+    """A bitmap of four bits or more for each shingle, packed; its width is a power of two."""
+    width = LEAST_BITS
+    while width < 4 * len(own) and width < MOST_BITS:
+        width *= 2
+    flags = np.zeros(width, np.uint8)
+    flags[own.view(np.uint64) & np.uint64(width - 1)] = 1
+    return np.packbits(flags).tobytes()
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def shingle_heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """For each row n, the digest, and the m first shingles: its prefix and a reserve for hot ones in it."""
+    """For each row n, the digest, the m first shingles (its prefix and a reserve for hot ones in it), the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, len(whole), 1000):
                 batch = whole.slice(low, 1000)
-                n, d1, d2, pre = [], [], [], []
+                n, d1, d2, pre, sig = [], [], [], [], []
                 for own in _sets(batch.column(1), k):
                     a, b = _digest(own)
                     size = prefix_length(len(own), num, den)
                     n.append(len(own))
                     d1.append(a)
                     d2.append(b)
-                    pre.append(own[: size + size // 4 + 8] if len(own) else own)
+                    pre.append(own[: size + size // 6 + 6] if len(own) else own)
+                    sig.append(signature(own))
                 m = np.array([len(x) for x in pre], np.int32)
                 flat = pa.array(np.concatenate([np.zeros(0, np.int64), *pre]), pa.int64())
                 heads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(m), heads], ["doc_id", "n", "d1", "d2", "m", "pre"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(m), heads, pa.array(sig, pa.binary())], ["doc_id", "n", "d1", "d2", "m", "pre", "sig"])
+
+    return _rows(docs).mapInArrow(run, HEADS)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SETS)
+def digests(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, d1, d2 of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, len(whole), 1000):
+                batch = whole.slice(low, 1000)
+                n, d1, d2 = zip(*((len(own), *_digest(own)) for own in _sets(batch.column(1), k)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n", "d1", "d2"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, n int, d1 long, d2 long")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(rep, d1, n, own) of the given nodes (rep, d1): their sets as packed 64-bit numbers, made again from the texts."""
+    """(rep, c, n, own) of the given nodes (rep, c): their sets as packed 64-bit numbers, made again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, len(whole), 500):
                 batch = whole.slice(low, 500)
                 own = list(_sets(batch.column(1), k))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x)[0] for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "d1", "n", "own"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_tag(_digest(x)[0]) for x in own], pa.int32()), pa.array([len(x) for x in own], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "c", "n", "own"])
 
-    wanted = nodes.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    found = texts.mapInArrow(run, "rep long, d1 long, n int, own binary")
-    return found.join(nodes.select("rep", "d1").distinct(), ["rep", "d1"], "left_semi").dropDuplicates(["rep", "d1"])
+    nodes = materialise(nodes.select("rep", "c").distinct(), "wanted")
+    texts = key_filter(nodes, "rep").maybe(_rows(docs), "doc_id").select("doc_id", "text")
+    found = texts.mapInArrow(run, "rep long, c int, n int, own binary")
+    return found.groupBy("rep", "c").agg(F.first("n").alias("n"), F.first("own").alias("own")).join(nodes, ["rep", "c"], "left_semi")
+
+
+def unpacked(sets: DataFrame) -> DataFrame:
+    """(rep, c, n, h): a row for each shingle of the sets (rep, c, n, own)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                own = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
+                rest = [pa.array(np.full(len(own), batch.column(c)[i].as_py(), t)) for c, t in ((0, np.int64), (1, np.int32), (2, np.int32))]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(own)], ["rep", "c", "n", "h"])
+
+    return sets.select("rep", "c", "n", "own").mapInArrow(run, "rep long, c int, n int, h long")
+
+
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """The signatures as rows of 64-bit words, all as wide as the narrowest."""
+    width = min(map(len, signatures))
+    out = np.zeros((len(signatures), width // 8), np.uint64)
+    for i, sig in enumerate(signatures):
+        # A shingle's bit is its hash modulo the width, so the parts of a wider bitmap fold onto each other.
+        out[i] = np.bitwise_or.reduce(np.frombuffer(sig, np.uint64).reshape(-1, width // 8), axis=0)
+    return out
 
 
 class SignatureTree:
-    """Over sets in order of size. A level is (bitmaps, least size, greatest size, greatest excess of a set's size
-    over its bits, first and last document of each node)."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(x) for x in sets])
-        width = 256
-        while width < 4 * sizes.max() and width < 1 << 15:
-            width *= 2
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for i, own in enumerate(sets):
-            flags = np.zeros(width, np.uint8)
-            flags[own.view(np.uint64) & np.uint64(width - 1)] = 1
-            bits[i] = np.packbits(flags).view(np.uint64)
-        edges = np.arange(len(sets))
-        self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(1), edges, edges + 1)]
+    """Over documents in order of size. A level is (bitmaps, least size, greatest size, greatest excess of a set's
+    size over its bits, first and last document of each node)."""
+
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
+        edges = np.arange(len(sizes))
+        self.levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(1, dtype=np.int64), edges, edges + 1)]
         while len(self.levels[-1][0]) > 1:
             bits, low, high, excess, first, last = self.levels[-1]
             cut = np.arange(0, len(bits), FANOUT)
@@ -145,130 +194,169 @@ class SignatureTree:
                 todo.append((level - 1, np.stack([i, j], 1)[i <= j]))
 
 
-def linked(sets: list[np.ndarray], known: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between the sets (numbers in the list) that connect what ``known`` (a component for each) doesn't: as
-    many as it takes to connect all that linked sets connect."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), known[i]))
-    parent = list(range(len(sets)))
+class Groups:
+    """Disjoint sets over documents in order, joined by what is known."""
+
+    def __init__(self, known: list[int]):
+        self.parent = list(range(len(known)))
+        heads: dict[int, int] = {}
+        for place, name in enumerate(known):
+            self.join(place, heads.setdefault(name, place))
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    heads: dict[int, int] = {}
-    for place, i in enumerate(order):
-        parent[find(place)] = find(heads.setdefault(known[i], place))
-
-    def connected(a: int, b: int, c: int, d: int) -> bool:
-        root = find(int(a))
-        return all(find(i) == root for i in range(int(a), int(b))) and all(find(i) == root for i in range(int(c), int(d)))
-
-    found = []
-    for x, y in SignatureTree([sets[i] for i in order]).pairs(num, den, connected):
-        if find(x) == find(y):
-            continue
-        a, b = sets[order[x]], sets[order[y]]
-        at = np.searchsorted(b, a)
-        common = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
-        if den * common >= num * (len(a) + len(b) - common):
-            parent[find(y)] = find(x)
-            found.append((order[x], order[y]))
+    def join(self, a: int, b: int) -> None:
+        self.parent[self.find(a)] = self.find(b)
+
+    def connected(self, a: int, b: int, c: int, d: int) -> bool:
+        root = self.find(int(a))
+        return all(self.find(i) == root for i in range(int(a), int(b))) and all(self.find(i) == root for i in range(int(c), int(d)))
+
+
+def chains(sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Stretches of ascending sizes between which no link is possible."""
+    cut = [0, *(np.flatnonzero(den * sizes[:-1] < num * sizes[1:]) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(cut, cut[1:]) if b - a > 1]
+
+
+def promising(sizes: list[int], signatures: list[bytes], known: list[int], num: int, den: int) -> list[int]:
+    """Those documents of a list that may link to one of another component, by sizes and signatures."""
+    order, out = sorted(range(len(sizes)), key=lambda i: (sizes[i], known[i])), set()
+    size = np.array([sizes[i] for i in order], np.int64)
+    for low, high in chains(size, num, den):
+        joined = Groups([known[i] for i in order[low:high]])
+        tree = SignatureTree(size[low:high], folded([signatures[i] for i in order[low:high]]))
+        for x, y in tree.pairs(num, den, joined.connected):
+            if joined.find(x) != joined.find(y):
+                out |= {order[low + x], order[low + y]}
+    return sorted(out)
+
+
+def linked(sets: list[np.ndarray], known: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the sets (numbers in the list) that connect what ``known`` (a component for each) doesn't: as
+    many as it takes to connect all that linked sets connect."""
+    order, found = sorted(range(len(sets)), key=lambda i: (len(sets[i]), known[i])), []
+    size = np.array([len(sets[i]) for i in order], np.int64)
+    for low, high in chains(size, num, den):
+        own = [sets[i] for i in order[low:high]]
+        joined = Groups([known[i] for i in order[low:high]])
+        for x, y in SignatureTree(size[low:high], folded([signature(x) for x in own])).pairs(num, den, joined.connected):
+            if joined.find(x) == joined.find(y):
+                continue
+            a, b = own[x], own[y]
+            common = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+            if den * common >= num * (len(a) + len(b) - common):
+                joined.join(x, y)
+                found.append((order[low + x], order[low + y]))
     return found
 
 
-def verify(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside the lists (lid, rep, d1, comp), as many as connect what links connect."""
+def _by_list(rows: DataFrame, columns: list[str], schema: str, work: Callable) -> DataFrame:
+    """work(lid, rows of the list) for every list; it returns columns of the result or None. A list is bounded, and a
+    task holds one at a time."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                own = [np.frombuffer(x[2], np.int64) for x in held]
-                found = linked(own, [x[1] for x in held], num, den)
-                if found:
-                    a, b = zip(*((held[i][0], held[j][0]) for i, j in found))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = work(now, held) if len(held) > 1 else None
+            if found:
+                yield pa.RecordBatch.from_arrays(found, names)
 
         for batch in batches:
-            for lid, rep, comp, own in zip(*(batch.column(c).to_pylist() for c in ("lid", "rep", "comp", "own"))):
+            for lid, *row in zip(*(batch.column(c).to_pylist() for c in range(len(columns) + 1))):
                 if lid != now:
                     yield from done()
                     held, now = [], lid
-                held.append((rep, comp, own))
+                held.append(row)
         yield from done()
 
-    rows = lists.join(sets, ["rep", "d1"]).select("lid", "rep", "comp", "own")
-    return rows.repartition("lid").sortWithinPartitions("lid").mapInArrow(run, "a long, b long")
+    return rows.select("lid", *columns).repartition("lid").sortWithinPartitions("lid").mapInArrow(run, schema)
+
 
+def likely(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(lid, rep, c, comp) of the members of lists (lid, rep, c, comp) that signature trees can't rule out."""
 
-def _prefixes(docs: DataFrame, heads: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(h, rep, d1): each node's prefix shingles, of those that other nodes may share."""
-    nodes = heads.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("m").alias("m"), F.first("pre").alias("pre"))
-    rows = nodes.select("rep", "d1", "n", "m", F.posexplode("pre").alias("i", "h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > HOT).alias("hot"))
+    def work(lid: int, held: list) -> list[pa.Array] | None:
+        kept = [held[i][:3] for i in promising([x[3] for x in held], [x[4] for x in held], [x[2] for x in held], num, den)]
+        if not kept:
+            return None
+        return [pa.array([lid] * len(kept), pa.int64()), *(pa.array(list(c), t) for c, t in zip(zip(*kept), (pa.int64(), pa.int32(), pa.int64())))]
+
+    rows = lists.join(nodes.select("rep", "c", "n", "sig"), ["rep", "c"])
+    return _by_list(rows, ["rep", "c", "comp", "n", "sig"], "lid long, rep long, c int, comp long", work)
+
+
+def verify(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside the lists (lid, rep, c, comp), as many as connect what links connect."""
+
+    def work(_: int, held: list) -> list[pa.Array] | None:
+        found = linked([np.frombuffer(x[2], np.int64) for x in held], [x[1] for x in held], num, den)
+        return [pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())] if found else None
+
+    return _by_list(lists.join(sets, ["rep", "c"]), ["rep", "comp", "own"], "a long, b long", work)
+
+
+def _prefixes(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(h, rep, c): each node's prefix shingles, of those that other nodes may share."""
+    rows = nodes.select("rep", "c", "n", "m", F.posexplode("pre").alias("i", "h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("count")).where("count > 1").select("h", (F.col("count") > HOT).alias("hot"))
     shared = materialise(shared, "shared")
-    met = rows.join(shared, "h")
-    by = Window.partitionBy("rep", "d1", "n")
+    met = key_filter(shared, "h").maybe(rows, "h").join(shared, "h")
+    by = Window.partitionBy("rep", "c", "n")
     before = F.coalesce(F.sum(F.col("hot").cast("int")).over(by.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     met = met.withColumns({"before": before, "hots": F.sum(F.col("hot").cast("int")).over(by)})
     p = F.expr(f"n - ({num} * cast(n as long) + {den - 1}) div {den} + 1")
     enough = (F.col("m") - F.col("hots") >= p) | (F.col("m") >= F.col("n"))
-    first = F.when(F.col("hot"), F.col("n") - F.col("hots") + F.col("before")).otherwise(F.col("i") - F.col("before"))
-    met = materialise(met.select("h", "rep", "d1", enough.alias("enough"), ((F.col("hot") & (F.col("m") < F.col("n")) & enough) | (first >= p)).alias("out")), "met")
+    # Where the reserve covers all hot ones no hot shingle is in the prefix, unless the set has too few others.
+    place = F.when(F.col("hot"), F.col("n") - F.col("hots") + F.col("before")).otherwise(F.col("i") - F.col("before"))
+    out = (F.col("hot") & (F.col("m") < F.col("n"))) | (place >= p)
+    met = materialise(met.select("h", "rep", "c", enough.alias("enough"), out.alias("out")), "met")
     # Sets with more hot shingles than the reserve: their prefix is taken from the whole set.
-    rest = met.where(~F.col("enough")).select("rep", "d1").distinct()
-    full = unpacked(whole_sets(docs, rest, k))
+    full = unpacked(whole_sets(docs, met.where(~F.col("enough")), k))
     full = full.join(shared.where("hot"), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    full = full.withColumn("place", F.row_number().over(Window.partitionBy("rep", "d1").orderBy("hot", "h"))).where(F.col("place") <= p)
-    return met.where("enough and not out").select("h", "rep", "d1").unionByName(full.select("h", "rep", "d1"))
-
-
-def unpacked(sets: DataFrame) -> DataFrame:
-    """(rep, d1, n, h): a row for each shingle of the sets (rep, d1, n, own)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                own = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
-                rest = [pa.array(np.full(len(own), batch.column(c)[i].as_py(), t)) for c, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(own)], ["rep", "d1", "n", "h"])
-
-    return sets.select("rep", "d1", "n", "own").mapInArrow(run, "rep long, d1 long, n int, h long")
+    full = full.withColumn("place", F.row_number().over(Window.partitionBy("rep", "c").orderBy("hot", "h"))).where(F.col("place") <= p)
+    return met.where("enough and not out").select("h", "rep", "c").unionByName(full.select("h", "rep", "c"))
 
 
 def candidate_lists(prefixes: DataFrame) -> DataFrame:
     """(lid, members): the distinct lists of nodes that share a prefix shingle."""
-    sizes = prefixes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    rows = prefixes.join(sizes, "h").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "d1", "h"), F.col("parts")).cast("int"))
+    sizes = prefixes.groupBy("h").agg(F.count("*").alias("count")).where("count > 1")
+    rows = prefixes.join(sizes, "h").withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "c", "h"), F.col("parts")).cast("int"))
     pairs = F.expr("transform(sequence(0, parts - 1), j -> struct(least(own, j) as x, greatest(own, j) as y))")
-    rows = rows.select("h", F.struct("rep", "d1").alias("node"), F.explode(pairs).alias("pair"))
+    rows = rows.select("h", F.struct("rep", "c").alias("node"), F.explode(pairs).alias("pair"))
     lists = rows.groupBy("h", "pair").agg(F.sort_array(F.collect_set("node")).alias("members")).where(F.size("members") > 1)
     return lists.select("members").distinct().withColumn("lid", F.xxhash64("members"))
 
 
+def _links(docs: DataFrame, lists: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    kept = materialise(likely(lists, nodes, num, den), "likely")
+    return materialise(verify(kept, whole_sets(docs, kept, k), num, den), "links")
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
-    heads = materialise(shingle_heads(docs, k, num, den), "heads")
-    lists = materialise(candidate_lists(_prefixes(docs, heads, k, num, den)), "lists")
+    heads = shingle_heads(docs, k, num, den).where("n > 0 and doc_id is not null")
+    nodes = heads.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("m").alias("m"), F.first("pre").alias("pre"), F.first("sig").alias("sig"))
+    nodes = materialise(nodes.select("rep", F.expr("cast(d1 & 1023 as int)").alias("c"), "n", "m", "pre", "sig"), "nodes")
+    lists = materialise(candidate_lists(_prefixes(docs, nodes, k, num, den)), "lists")
     members = lists.select("lid", F.size("members").alias("size"), F.inline("members"))
-    sets = materialise(whole_sets(docs, members.select("rep", "d1"), k), "sets")
-    best = members.groupBy("rep", "d1").agg(F.max(F.struct("size", "lid")).alias("best")).select(F.col("best.lid").alias("lid")).distinct()
-    first = members.join(best, "lid", "left_semi").select("lid", "rep", "d1", F.col("rep").alias("comp"))
-    found = materialise(verify(first, sets, num, den), "links")
-    known = components(found)
-    rest = members.join(best, "lid", "left_anti").join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    rest = rest.select("lid", "rep", "d1", F.coalesce("component", "rep").alias("comp"))
-    open_lists = rest.groupBy("lid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lid")
-    more = verify(rest.join(open_lists, "lid", "left_semi"), sets, num, den)
-    final = components(found.unionByName(more))
-    reps = heads.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
-    reps = reps.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = heads.select("doc_id", "n", "d1", "d2").join(reps.select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    best = members.groupBy("rep", "c").agg(F.max(F.struct("size", "lid")).alias("best"))
+    found = _links(docs, best.select(F.col("best.lid").alias("lid"), "rep", "c", F.col("rep").alias("comp")), nodes, k, num, den)
+    rest = members.join(components(found).withColumnRenamed("node", "rep"), "rep", "left")
+    rest = rest.select("lid", "rep", "c", F.coalesce("component", "rep").alias("comp"))
+    several = rest.groupBy("lid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lid")
+    final = components(found.unionByName(_links(docs, rest.join(several, "lid", "left_semi"), nodes, k, num, den)))
+    named = materialise(digests(docs, k), "digests")
+    reps = named.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
+    reps = reps.join(final, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
+    return named.join(reps, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -276,12 +364,11 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Data
     the least by text stays. Rows without a doc_id stay."""
     named = materialise(join(docs.select("doc_id", "text"), k, num, den), "named")
     gone = named.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = named.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    again = materialise(again, "again")
-    if not again.limit(1).count():
-        return left
-    names = left.columns
-    few = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), "text").alias("row"))
-    texts = few.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
-    return left.join(again, "doc_id", "left_anti").unionByName(texts)
+    again = named.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("count")).where("count > 1").select("doc_id")
+    touched = materialise(gone.withColumn("_gone", F.lit(True)).unionByName(again.withColumn("_gone", F.lit(False))), "touched")
+    # Only rows that a filter can't clear of being a copy or repeated are shuffled.
+    flagged, names = key_filter(touched, "doc_id").flagged(docs, "doc_id", "_touched"), docs.columns
+    asked = flagged.where("_touched").join(touched, "doc_id", "left").where("_gone is null or not _gone")
+    few = asked.where("_gone is not null").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("row"))
+    few = few.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    return flagged.where("not _touched").select(*names).unionByName(asked.where("_gone is null").select(*names)).unionByName(few)
