@@ -97,5 +97,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filter.JUDGE_SQL,
         "op4_sharding": sharding.PLACEMENT_SQL,
+        "op6_ngram_jaccard": jaccard_join.JOIN_SQL,
         "op8_license_scan": license_scan.SCAN_SQL,
     }

@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plenum.llm.components import components
 from plenum.llm.key_filter import key_filter
@@ -39,7 +38,7 @@ from plenum.llm.textbytes import buffers, groups, mix, shingles, words
 
 #: Nodes that share a shingle before it counts as hot; nodes of a block; children of a tree node.
 HOT, BLOCK, FANOUT = 64, 512, 8
-LEAST_BITS, MOST_BITS = 256, 1 << 15
+LEAST_BITS, MOST_BITS, MOST_WORDS = 256, 1 << 15, 1 << 19
 HEADS = "doc_id long, n int, d1 long, d2 long, m int, pre array<long>, sig binary"
 
 
@@ -68,9 +67,9 @@ def _tag(d1: int) -> int:
 
 
 def signature(own: np.ndarray) -> bytes:
-    """A bitmap of four bits or more for each shingle, packed; its width is a power of two."""
+    """A bitmap of one to two bits for each shingle, packed; its width is a power of two."""
     width = LEAST_BITS
-    while width < 4 * len(own) and width < MOST_BITS:
+    while width < len(own) and width < MOST_BITS:
         width *= 2
     flags = np.zeros(width, np.uint8)
     flags[own.view(np.uint64) & np.uint64(width - 1)] = 1
@@ -134,19 +133,6 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return found.groupBy("rep", "c").agg(F.first("n").alias("n"), F.first("own").alias("own")).join(nodes, ["rep", "c"], "left_semi")
 
 
-def unpacked(sets: DataFrame) -> DataFrame:
-    """(rep, c, n, h): a row for each shingle of the sets (rep, c, n, own)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                own = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
-                rest = [pa.array(np.full(len(own), batch.column(c)[i].as_py(), t)) for c, t in ((0, np.int64), (1, np.int32), (2, np.int32))]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(own)], ["rep", "c", "n", "h"])
-
-    return sets.select("rep", "c", "n", "own").mapInArrow(run, "rep long, c int, n int, h long")
-
-
 def folded(signatures: list[bytes]) -> np.ndarray:
     """The signatures as rows of 64-bit words, all as wide as the narrowest."""
     width = min(map(len, signatures))
@@ -223,17 +209,15 @@ def chains(sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cut, cut[1:]) if b - a > 1]
 
 
-def promising(sizes: list[int], signatures: list[bytes], known: list[int], num: int, den: int) -> list[int]:
-    """Those documents of a list that may link to one of another component, by sizes and signatures."""
-    order, out = sorted(range(len(sizes)), key=lambda i: (sizes[i], known[i])), set()
+def promising(sizes: list[int], signatures: list[bytes], known: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Those pairs of documents of a list that are not known to be connected and may link, by sizes and signatures."""
+    order, out = sorted(range(len(sizes)), key=lambda i: (sizes[i], known[i])), []
     size = np.array([sizes[i] for i in order], np.int64)
     for low, high in chains(size, num, den):
         joined = Groups([known[i] for i in order[low:high]])
         tree = SignatureTree(size[low:high], folded([signatures[i] for i in order[low:high]]))
-        for x, y in tree.pairs(num, den, joined.connected):
-            if joined.find(x) != joined.find(y):
-                out |= {order[low + x], order[low + y]}
-    return sorted(out)
+        out += [(order[low + x], order[low + y]) for x, y in tree.pairs(num, den, joined.connected) if joined.find(x) != joined.find(y)]
+    return out
 
 
 def linked(sets: list[np.ndarray], known: list[int], num: int, den: int) -> list[tuple[int, int]]:
@@ -280,18 +264,34 @@ def _by_list(rows: DataFrame, columns: list[str], schema: str, work: Callable) -
 
 
 def likely(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(lid, rep, c, comp) of the members of lists (lid, rep, c, comp) that signature trees can't rule out."""
+    """(lid, rep, c, comp): of lists (lid, rep, c, comp) the members that signature trees can't rule out."""
 
     def work(lid: int, held: list) -> list[pa.Array] | None:
-        kept = [held[i][:3] for i in promising([x[3] for x in held], [x[4] for x in held], [x[2] for x in held], num, den)]
+        kept = sorted({i for pair in promising([x[3] for x in held], [x[4] for x in held], [x[2] for x in held], num, den) for i in pair})
         if not kept:
             return None
-        return [pa.array([lid] * len(kept), pa.int64()), *(pa.array(list(c), t) for c, t in zip(zip(*kept), (pa.int64(), pa.int32(), pa.int64())))]
+        return [pa.array([lid] * len(kept), pa.int64()), *(pa.array([held[i][c] for i in kept], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64())))]
 
     rows = lists.join(nodes.select("rep", "c", "n", "sig"), ["rep", "c"])
     return _by_list(rows, ["rep", "c", "comp", "n", "sig"], "lid long, rep long, c int, comp long", work)
 
 
+def likely_stars(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The same from lists that overlap: every pair that signature trees can't rule out counts once, however many
+    lists hold it, and the new lists are a document with its partners, in blocks."""
+
+    def work(_: int, held: list) -> list[pa.Array] | None:
+        pairs = [sorted((held[i][:3], held[j][:3])) for i, j in promising([x[3] for x in held], [x[4] for x in held], [x[2] for x in held], num, den)]
+        return [pa.array([pair[side][c] for pair in pairs], t) for side in (0, 1) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64()))] if pairs else None
+
+    rows = lists.join(nodes.select("rep", "c", "n", "sig"), ["rep", "c"])
+    pairs = _by_list(rows, ["rep", "c", "comp", "n", "sig"], "a long, ac int, acomp long, b long, bc int, bcomp long", work).distinct()
+    sizes = pairs.groupBy("a", "ac").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    pairs = pairs.join(sizes, ["a", "ac"]).withColumn("lid", F.xxhash64("a", "ac", F.pmod(F.xxhash64("b", "bc"), "parts")))
+    hubs = pairs.select("lid", F.col("a").alias("rep"), F.col("ac").alias("c"), F.col("acomp").alias("comp")).distinct()
+    return hubs.unionByName(pairs.select("lid", F.col("b").alias("rep"), F.col("bc").alias("c"), F.col("bcomp").alias("comp")))
+
+
 def verify(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) inside the lists (lid, rep, c, comp), as many as connect what links connect."""
 
@@ -302,26 +302,77 @@ def verify(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _by_list(lists.join(sets, ["rep", "c"]), ["rep", "comp", "own"], "a long, b long", work)
 
 
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit filter of shingle hashes (column h) as 64-bit words, of at most ``MOST_WORDS``. It never loses a hash."""
+    n, size = keys.count(), 1 << 10
+    while size < MOST_WORDS and size < n:
+        size *= 2
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(size - 1).cast("long"))
+    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("v").to_numpy().view(np.uint64)
+    return out
+
+
+def _in_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h.view(np.uint64)
+    return (bits[((h >> np.uint64(6)) & np.uint64(len(bits) - 1)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _prefix(own: np.ndarray, n: int, hot: np.ndarray, num: int, den: int) -> np.ndarray | None:
+    """The prefix of a set of n shingles of which ``own`` are the first by hash: those that are not hot come before
+    those that are. None if ``own`` holds too few that are not."""
+    size, is_hot = prefix_length(n, num, den), _in_bits(hot, own)
+    cold = own[~is_hot][:size]
+    if len(cold) < size and len(own) == n:
+        return np.concatenate([cold, own[is_hot][: size - len(cold)]])
+    return cold if len(cold) == size else None
+
+
+def _rows_of(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(x) for *_, x in found]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x for *_, x in found)])), pa.array(np.repeat(np.array([r for r, *_ in found], np.int64), sizes)), pa.array(np.repeat(np.array([c for _, c, _ in found], np.int32), sizes))], ["h", "rep", "c"])
+
+
 def _prefixes(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(h, rep, c): each node's prefix shingles, of those that other nodes may share."""
-    rows = nodes.select("rep", "c", "n", "m", F.posexplode("pre").alias("i", "h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("count")).where("count > 1").select("h", (F.col("count") > HOT).alias("hot"))
-    shared = materialise(shared, "shared")
-    met = key_filter(shared, "h").maybe(rows, "h").join(shared, "h")
-    by = Window.partitionBy("rep", "c", "n")
-    before = F.coalesce(F.sum(F.col("hot").cast("int")).over(by.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = met.withColumns({"before": before, "hots": F.sum(F.col("hot").cast("int")).over(by)})
-    p = F.expr(f"n - ({num} * cast(n as long) + {den - 1}) div {den} + 1")
-    enough = (F.col("m") - F.col("hots") >= p) | (F.col("m") >= F.col("n"))
-    # Where the reserve covers all hot ones no hot shingle is in the prefix, unless the set has too few others.
-    place = F.when(F.col("hot"), F.col("n") - F.col("hots") + F.col("before")).otherwise(F.col("i") - F.col("before"))
-    out = (F.col("hot") & (F.col("m") < F.col("n"))) | (place >= p)
-    met = materialise(met.select("h", "rep", "c", enough.alias("enough"), out.alias("out")), "met")
+    """(h, rep, c): each node's prefix shingles, of those that other nodes may share.
+
+    What is hot is decided by one bit filter of the shingles that are frequent among the heads, for all nodes alike;
+    which they are matters for speed only, so its false hits do no harm."""
+    context = docs.sparkSession.sparkContext
+    rows = nodes.select(F.explode("pre").alias("h"))
+    shared = materialise(rows.groupBy("h").agg(F.count("*").alias("count")).where("count > 1"), "shared")
+    hot = context.broadcast(_bits(shared.where(F.col("count") > HOT)))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_pylist()
+            keep = [_prefix(own, n[i], hot.value, num, den) is None for i, own in enumerate(_lists(batch.column(3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], ["rep", "c"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, c = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            yield _rows_of([(rep[i], c[i], _prefix(own, len(own), hot.value, num, den)) for i, own in enumerate(sets)])
+
     # Sets with more hot shingles than the reserve: their prefix is taken from the whole set.
-    full = unpacked(whole_sets(docs, met.where(~F.col("enough")), k))
-    full = full.join(shared.where("hot"), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    full = full.withColumn("place", F.row_number().over(Window.partitionBy("rep", "c").orderBy("hot", "h"))).where(F.col("place") <= p)
-    return met.where("enough and not out").select("h", "rep", "c").unionByName(full.select("h", "rep", "c"))
+    rest = nodes.select("rep", "c", "n", "pre").mapInArrow(short, "rep long, c int")
+    full = materialise(whole_sets(docs, rest, k).select("rep", "c", "own").mapInArrow(whole, "h long, rep long, c int"), "full")
+    kept = context.broadcast(_bits(shared.select("h").unionByName(full.select("h"))))
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, c, n = (batch.column(i).to_pylist() for i in range(3))
+            found = ((rep[i], c[i], _prefix(own, n[i], hot.value, num, den)) for i, own in enumerate(_lists(batch.column(3))))
+            yield _rows_of([(r, t, x[_in_bits(kept.value, x)]) for r, t, x in found if x is not None])
+
+    return nodes.select("rep", "c", "n", "pre").mapInArrow(enough, "h long, rep long, c int").unionByName(full)
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *map(len, column)])
+    yield from (flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
 
 
 def candidate_lists(prefixes: DataFrame) -> DataFrame:
@@ -335,8 +386,8 @@ def candidate_lists(prefixes: DataFrame) -> DataFrame:
     return lists.select("members").distinct().withColumn("lid", F.xxhash64("members"))
 
 
-def _links(docs: DataFrame, lists: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    kept = materialise(likely(lists, nodes, num, den), "likely")
+def _links(docs: DataFrame, kept: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    kept = materialise(kept, "likely")
     return materialise(verify(kept, whole_sets(docs, kept, k), num, den), "links")
 
 
@@ -348,11 +399,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     lists = materialise(candidate_lists(_prefixes(docs, nodes, k, num, den)), "lists")
     members = lists.select("lid", F.size("members").alias("size"), F.inline("members"))
     best = members.groupBy("rep", "c").agg(F.max(F.struct("size", "lid")).alias("best"))
-    found = _links(docs, best.select(F.col("best.lid").alias("lid"), "rep", "c", F.col("rep").alias("comp")), nodes, k, num, den)
+    first = best.select(F.col("best.lid").alias("lid"), "rep", "c", F.col("rep").alias("comp"))
+    found = _links(docs, likely(first, nodes, num, den), k, num, den)
     rest = members.join(components(found).withColumnRenamed("node", "rep"), "rep", "left")
     rest = rest.select("lid", "rep", "c", F.coalesce("component", "rep").alias("comp"))
     several = rest.groupBy("lid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("lid")
-    final = components(found.unionByName(_links(docs, rest.join(several, "lid", "left_semi"), nodes, k, num, den)))
+    more = likely_stars(rest.join(several, "lid", "left_semi"), nodes, num, den)
+    final = components(found.unionByName(_links(docs, more, k, num, den)))
     named = materialise(digests(docs, k), "digests")
     reps = named.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
     reps = reps.join(final, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
@@ -372,3 +425,20 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Data
     few = asked.where("_gone is not null").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("row"))
     few = few.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
     return flagged.where("not _touched").select(*names).unionByName(asked.where("_gone is null").select(*names)).unionByName(few)
+
+
+#: DuckDB: the links by brute force over shared shingles, and their closure (k = 4, threshold 85 / 100).
+JOIN_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM words),
+rows AS (SELECT doc_id, unnest(g) AS h FROM sets),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM rows x JOIN rows y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.g) + len(y.g) - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS node, doc_id AS c FROM sets UNION SELECT l.b, r.c FROM reached r JOIN both_ways l ON l.a = r.node),
+least AS (SELECT node, min(c) AS component_id FROM reached GROUP BY node)
+SELECT doc_id, len(g) AS n_shingles, component_id FROM sets JOIN least ON node = doc_id
+"""
