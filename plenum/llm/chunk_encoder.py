@@ -13,10 +13,12 @@ from itertools import chain
 
 import numpy as np
 
-from plenum.llm.textbytes import SAME, SLICE_BYTES, groups, placed_words
+from plenum.llm.textbytes import SAME, groups, placed_words
 
 #: Longest chunk that the cache keeps, and how many of them it keeps before it starts anew.
 KEPT_BYTES, KEPT_CHUNKS, KEPT_MARKS = 64, 1_600_000, 50_000
+#: Bytes of text that are looked up at once.
+GROUP_BYTES = 1 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
 _END = re.compile(rb"[ \t\n\r]")
@@ -24,10 +26,11 @@ _END = re.compile(rb"[ \t\n\r]")
 
 class ChunkEncoder:
     """encode: the ids of each of some chunks. parts: a chunk as a word and the marks behind it (or empty), which the
-    model encodes apart; most new chunks are known words with other marks. blank: the bytes that stand between chunks."""
+    model encodes apart; most new chunks are known words with other marks. blank: the bytes that stand between chunks. kept: how
+    many chunks the cache holds."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], parts: Callable[[str], tuple[str, str]] | None = None, end: re.Pattern = _END, blank: np.ndarray = BLANK):
-        self._encode, self._parts, self._end, self._blank = encode, parts, end, blank
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], parts: Callable[[str], tuple[str, str]] | None = None, end: re.Pattern = _END, blank: np.ndarray = BLANK, kept: int = KEPT_CHUNKS):
+        self._encode, self._parts, self._end, self._blank, self._kept = encode, parts, end, blank, kept
         self._reset()
 
     def _reset(self) -> None:
@@ -99,7 +102,7 @@ class ChunkEncoder:
         ids = self._ids[np.repeat(low - ends[:-1], size) + np.arange(ends[-1])]
         for key in long:
             del self._index[key]
-        if len(self._index) > KEPT_CHUNKS or self._ends[self._n] > 8 * KEPT_CHUNKS or len(self._marks) > KEPT_MARKS:
+        if len(self._index) > self._kept or self._ends[self._n] > 8 * self._kept or len(self._marks) > KEPT_MARKS:
             self._reset()
         return ids, ends[np.searchsorted(starts, at[1:])]
 
@@ -107,7 +110,7 @@ class ChunkEncoder:
         """Ids of all rows of a byte buffer in order, each row closed by ``end_id`` if given, and each row's end in
         them. ``raw`` and ``at`` are as textbytes.buffers() returns them."""
         ids, ends, total = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
-        for low, high in groups(at, SLICE_BYTES):
+        for low, high in groups(at, GROUP_BYTES):
             own, stops = self._some(raw[at[low] : at[high]], at[low : high + 1] - at[low])
             if end_id is not None:
                 own = np.insert(own, stops, end_id)

@@ -22,7 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from plenum.llm.chunk_encoder import ChunkEncoder
 from plenum.llm.textbytes import SLICE_BYTES, buffers, groups
 
 MARK = "▁"
+#: Chunks that a worker's cache holds.
+KEPT_CHUNKS = 300_000
 # Fixed values of the protobuf: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -146,11 +148,10 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.model = SentencePieceModel.parse(data)
-        self.tokenizer = library_tokenizer(self.model)
         bare = Tokenizer(library_model(self.model))
         blank = np.zeros(256, bool)
         blank[0x20] = True
-        self._chunks = ChunkEncoder(lambda texts: [e.ids for e in bare.encode_batch_fast(texts, add_special_tokens=False)], end=re.compile(b" "), blank=blank)
+        self._chunks = ChunkEncoder(lambda texts: [e.ids for e in bare.encode_batch_fast(texts, add_special_tokens=False)], end=re.compile(b" "), blank=blank, kept=KEPT_CHUNKS)
         surfaces = []
         for piece, _, kind in self.model.pieces:
             own = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNUSED: lambda p: b"", UNKNOWN: lambda p: self.model.unk_surface.encode()}
@@ -158,6 +159,11 @@ class Codec:
         self._surface = np.frombuffer(b"".join(surfaces), np.uint8)
         self._ends = np.concatenate([[0], np.cumsum([len(s) for s in surfaces])])
 
+    @cached_property
+    def tokenizer(self):
+        """The whole tokenizer; texts that can be cut into chunks don't need it."""
+        return library_tokenizer(self.model)
+
     def _marked(self, text: str) -> str:
         """The text with markers for blanks and one blank between chunks."""
         if not text:

@@ -17,7 +17,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes handled at once; arrays made on the way take some 40 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
