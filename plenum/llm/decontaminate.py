@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds (Ma, Tromp and Li 2002).
 
-A seed is a fixed mask over ``SPAN`` tokens; it looks at some positions and ignores the others, so that a hash under it
-survives substitutions in those. Every window of every benchmark item and every document is hashed under each mask.
+A seed is a fixed mask over a few tokens; it looks at some positions and ignores the others, so that a hash under it
+survives substitutions in those. The masks together lose nothing: wherever the substitutions are in a window that counts
+as an overlap (below; of 12 to 20 tokens), some mask has a place in it where it looks at equal tokens only. Every window of every benchmark item and every document is hashed under each mask.
 A filter of the benchmark's hashes (three bits each, its size bounded by ``MAX_BITS``) passes over documents in one
 scan; what it lets through meets the benchmark's hashes in an exact join. Each hit names a document, an item and a
 diagonal; there the tokens themselves are compared: a document overlaps an item if in some window of ``WINDOW`` tokens
@@ -29,8 +30,9 @@ from plenum.llm.scratch import materialise
 from plenum.llm.textbytes import LOWER, NON_WORD, buffers, groups, mix, powers, words
 
 SPAN, WINDOW, LEAST_SHARE = 12, 20, (4, 5)
-#: Positions looked at: eight of twelve, four ways.
-MASKS = ("111010011011", "110110110101", "101111010011", "111100101101")
+#: Positions looked at: six of at most ``SPAN``, three ways; found by enumeration so that every pattern of substitutions
+#: that best_window accepts leaves one whole (2 of 12 to 14 tokens, 3 of 15 to 19, 4 of 20).
+MASKS = ("1110111", "11010010011", "11010001101")
 SHORT = 5
 MIN_BITS, MAX_BITS, BITS_PER_HASH = 1 << 22, 1 << 28, 64
 
@@ -38,7 +40,7 @@ MIN_BITS, MAX_BITS, BITS_PER_HASH = 1 << 22, 1 << 28, 64
 def seed_hashes(word: np.ndarray, mask: int) -> np.ndarray:
     """Hashes of all windows of one text under a mask; number len(MASKS) is the plain short one."""
     taken = [i for i, c in enumerate(MASKS[mask]) if c == "1"] if mask < len(MASKS) else list(range(SHORT))
-    count = len(word) - (SPAN if mask < len(MASKS) else SHORT) + 1
+    count = len(word) - (len(MASKS[mask]) if mask < len(MASKS) else SHORT) + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
     total = np.full(count, mask + 1, np.uint64)

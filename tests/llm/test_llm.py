@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -334,6 +335,37 @@ def test_overlaps_brute_force(spark, data):
     assert left == {r[0] for r in [*((r.doc_id, 0) for r in rows), *extra]} - {d for d, _ in got}
 
 
+def test_seeds_lose_no_pattern():
+    """All substitution patterns that count as an overlap, for items of one diagonal window."""
+    for size in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        item = np.arange(1, size + 1, dtype=np.uint64)
+        seeds = [decontaminate.seed_hashes(item, m) for m in range(len(decontaminate.MASKS))]
+        for places in itertools.combinations(range(size), size - -(-size * 4 // 5)):
+            doc = item.copy()
+            doc[list(places)] += np.uint64(1000)
+            assert decontaminate.best_window(doc, item, 0) is not None
+            assert any((decontaminate.seed_hashes(doc, m) == h).any() for m, h in enumerate(seeds)), (size, places)
+
+
+def test_overlaps_at_the_threshold(spark):
+    items = {n: [f"i{n}t{j}" for j in range(n)] for n in (12, 13, 15, 16, 18, 20, 30)}
+    rng, docs, want = np.random.default_rng(5), [], set()
+    for n, w in items.items():
+        size = min(n, decontaminate.WINDOW)
+        most = size - -(-size * 4 // 5)
+        for extra in (0, 1):
+            for k in range(60):
+                # The first ones lose their ends; beyond the window every token of a longer item is another one.
+                places = {0, size - 1} if k == 0 and not extra else set(rng.choice(size, most + extra, False).tolist())
+                v = ["zz" if j in places or j >= size else t for j, t in enumerate(w)]
+                docs.append((len(docs), " ".join(["before", *v, "after"])))
+                if not extra:
+                    want.add((docs[-1][0], n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_overlaps_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, "same text of five words"), (2, "same text of five words"), (3, None), (4, ""), (None, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18")], "item_id long, text string")
     got = Counter((r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, bench).collect())
