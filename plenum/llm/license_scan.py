@@ -2,12 +2,15 @@
 
 A text is cut into sentences at line ends and at marks followed by white space; a sentence is normalised (lower case,
 everything but letters, digits and dots inside a number becomes one blank) and mapped to the identifier of a known
-licence sentence. The identifiers of a text, in order, are matched against ordered rules: a rule is a list of
+licence sentence. Licences are printed wrapped, so known sentences are also found across line ends, and those of
+``WHOLE``, the licences' full sentences, also inside a longer piece. The identifiers of a text, in order, are matched against ordered rules: a rule is a list of
 sentence identifiers that must follow one another directly among the text's known sentences. Longer rules claim their
 sentences first, so that a notice is not also reported as a part of itself.
 
 All of it is one projection of DataFrame functions over the row: no shuffle, nothing grouped, so one hot source or one
-text that a third of all rows share costs no more than other rows. The sentence table is a constant of this module.
+text that a third of all rows share costs no more than other rows. The sentence tables are constants of this module.
+n_sentences counts the pieces between line ends and marks. ``SCAN_SQL`` restates the one-line forms (``SENTENCES`` and
+``RULES``) only; texts with sentences of ``WHOLE``, or with wrapped ones, have more identifiers here.
 
 Null or empty text: no sentences, no licences. Repeated sentences: identifiers repeat, each licence is reported once.
 Ties between rules of one length: the earlier rule. Extra columns are kept; those with the names of the new columns
@@ -21,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The known licence sentences, as the licences print them.
+# The known licence sentences of one-line notices, some cut to their beginning.
 SENTENCES = {
     1: "Licensed under the Apache License, Version 2.0.",
     2: "Released under the MIT License.",
@@ -64,6 +67,39 @@ RULES = [
     ("CC0-1.0", (17,)),
     ("all-rights-reserved", (5,)),
 ]
+# The licences' whole sentences, wherever they are wrapped and whatever stands around them. Where a name is
+# to be filled in, the sentence begins behind it.
+WHOLE = {
+    20: 'Licensed under the Apache License, Version 2.0 (the "License");',
+    21: 'licenses this file to you under the Apache License, Version 2.0 (the "License");',
+    22: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    23: "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    24: "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    25: "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    26: 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    27: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    28: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    29: "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    30: "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+}
+WHOLE |= {i: SENTENCES[i] for i in (6, 7, 9, 14)}
+# Beginnings of sentences; they count only where a piece is just that.
+CUT = {8, 10, 12, 13}
+WHOLE_RULES = [
+    ("Apache-2.0", (20, 6, 7)),
+    ("Apache-2.0", (21, 6, 7)),
+    ("BSD-3-Clause", (22, 23, 24, 25)),
+    ("BSD-2-Clause", (22, 23, 24)),
+    ("MIT", (26, 9)),
+    ("Apache-2.0", (20,)),
+    ("Apache-2.0", (21,)),
+    ("BSD-2-Clause", (22,)),
+    ("MIT", (26,)),
+    ("GPL-3.0-or-later", (27,)),
+    ("GPL-2.0-or-later", (28,)),
+    ("GPL-3.0-or-later", (29,)),
+    ("GPL-2.0-or-later", (30,)),
+]
 SPLIT = r"\n|[.!?;][ \t]+"
 DROPPED = r"[^a-z0-9]+"
 
@@ -78,31 +114,40 @@ def _key(sentence: Column) -> Column:
 
 
 def _known() -> Column:
-    pairs = [F.lit(x) for i, s in SENTENCES.items() for x in (normalise(s), str(i))]
+    pairs = [F.lit(x) for i, s in (SENTENCES | WHOLE).items() for x in (normalise(s), str(i))]
     return F.create_map(*pairs)
 
 
+def _pattern() -> str:
+    """Finds the known sentences among pieces that stand between line ends: whole ones between any words, the others as
+    one piece or, if they aren't cut, several. Longer ones come first."""
+
+    def any_of(table: dict[int, str]) -> str:
+        found = sorted(((normalise(s), i) for i, s in table.items()), key=lambda x: -len(x[0]))
+        return "(?:" + "|".join(s if i in CUT else s.replace(" ", "[ \\n]") for s, i in found) + ")"
+
+    return rf"(?<=[ \n]){any_of(WHOLE)}(?=[ \n])|(?<=\n){any_of({i: s for i, s in SENTENCES.items() if i not in WHOLE})}(?=\n)"
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with sentence_ids (of the known sentences, in order), n_sentences and licenses (sorted names)."""
-    # Only sentences with one of the table's first words are looked up.
-    heads = sorted({normalise(s).split(" ")[0] for s in SENTENCES.values()})
-    pattern = "^(" + "|".join(heads) + ") "
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SPLIT), _key), lambda s: s != "")
     known = _known()
-    ids = F.transform(F.filter(F.col("_parts"), lambda s: s.rlike(pattern)), lambda s: known[s])
+    lines = F.concat(F.lit("\n"), F.array_join("_parts", "\n"), F.lit("\n"))
+    ids = F.transform(F.regexp_extract_all(lines, F.lit(_pattern()), F.lit(0)), lambda s: known[F.replace(s, F.lit("\n"), F.lit(" "))])
     rest: Column = F.concat(F.lit(","), F.array_join(F.transform(F.col("sentence_ids"), lambda i: F.concat(i, F.lit(","))), ","), F.lit(","))
     out = docs.drop("sentence_ids", "n_sentences", "licenses").withColumn("_parts", parts)
-    out = out.withColumn("n_sentences", F.size("_parts")).withColumn("sentence_ids", F.filter(ids, lambda i: i.isNotNull())).drop("_parts")
+    out = out.withColumn("n_sentences", F.size("_parts")).withColumn("sentence_ids", ids).drop("_parts")
     # Each identifier stands between its own commas: ",1,,6,". A claimed run becomes "#".
     out = out.withColumn("_rest", rest)
     hits = []
-    for n, (name, rule) in enumerate(sorted(RULES, key=lambda r: -len(r[1]))):
+    for n, (name, rule) in enumerate(sorted(RULES + WHOLE_RULES, key=lambda r: -len(r[1]))):
         run = ",,".join(map(str, rule))
         found = F.col("_rest").contains(f",{run},")
         hits.append(F.when(F.col(f"_hit{n}"), F.lit(name)))
         out = out.withColumn(f"_hit{n}", found) if len(rule) == 1 else out.withColumn(f"_hit{n}", found).withColumn("_rest", F.replace(F.col("_rest"), F.lit(f",{run},"), F.lit("#")))
     out = out.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))))
-    return out.drop("_rest", *[f"_hit{n}" for n in range(len(RULES))])
+    return out.drop("_rest", *[f"_hit{n}" for n in range(len(hits))])
 
 
 def _sql() -> str:

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,30 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).count() == 0
 
 
+FULL = {
+    "MIT": ["MIT License", "Copyright (c) 2020 Some One", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'],
+    "Apache-2.0": ["Copyright 2020 Some One", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "    http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
+    "BSD-2-Clause": ["Copyright (c) 2020, Some One", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "GPL-3.0-or-later": ["A program. Copyright (C) 2020 Some One", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+}
+FULL["BSD-3-Clause"] = [*FULL["BSD-2-Clause"], "3. Neither the name of Some One nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+FULL["GPL-2.0-or-later"] = [p.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2") for p in FULL["GPL-3.0-or-later"]]
+
+
+def test_whole_licenses(spark):
+    """Licences as they are printed: wrapped at any width, as a comment, on one line, and one behind the other."""
+    rows = []
+    for name, text in FULL.items():
+        for width in (30, 60, 72, 80):
+            wrapped = [textwrap.wrap(p, width) for p in text]
+            rows.append((name, "\n\n".join("\n".join(p) for p in wrapped)))
+            rows.append((name, "\r\n".join("# " + line for p in wrapped for line in [*p, ""])))
+        rows += [(name, " ".join(text)), (name, "\n\n".join(text)), (f"{name},all-rights-reserved", "\n\n".join([*text, "All rights\nreserved.", *text]))]
+    rows += [("BSD-2-Clause,BSD-3-Clause", "\n\n".join(FULL["BSD-2-Clause"] + FULL["BSD-3-Clause"])), ("", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License\nof another kind")]
+    got = license_scan.scan(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert [(r.text, ",".join(r.licenses)) for r in got if ",".join(r.licenses) != r.want] == [] and len(got) == len(rows)
+
+
 # media
 
 
