@@ -103,7 +103,8 @@ def topics(rows: DataFrame, key: str, order: list[str], embedding: str = "embedd
             for name, vector in zip(frame[key], frame[embedding]):
                 v = np.asarray(vector, float)
                 if name != now:
-                    now, centers, counts = name, np.zeros((0, len(v))), np.zeros(0)
+                    now, room, n, counts = name, np.zeros((16, len(v))), 0, np.zeros(16)
+                centers = room[:n]
                 scale = np.linalg.norm(centers, axis=1) * np.linalg.norm(v)
                 near = centers @ v / np.where(scale == 0, 1, scale)
                 at = int(near.argmax()) if len(near) else -1
@@ -111,7 +112,10 @@ def topics(rows: DataFrame, key: str, order: list[str], embedding: str = "embedd
                     centers[at] = (centers[at] * counts[at] + v) / (counts[at] + 1)
                     counts[at] += 1
                 else:
-                    at, centers, counts = len(centers), np.vstack([centers, v]), np.append(counts, 1)
+                    if n == len(room):
+                        room, counts = np.concatenate([room, np.zeros_like(room)]), np.concatenate([counts, np.zeros_like(counts)])
+                    room[n], counts[n] = v, 1
+                    at, n = n, n + 1
                 out.append(at)
             yield pd.DataFrame({key: frame[key], id_column: frame[id_column], "topic": out})
 

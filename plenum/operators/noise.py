@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
 from plenum.functions import constants as C
@@ -13,32 +18,41 @@ from plenum.functions import text as T
 LONGEST_BREAK = 60
 
 
-def break_flags(cues: Column) -> Column:
-    """For an ordered array of (opens, closes) a same-sized array of flags: inside an advertisement break.
+def in_break(rows: DataFrame, key: str, order: str, opens: Column, closes: Column) -> DataFrame:
+    """(key, order, in_break) for each row, by its key's rows (a recording's sentences) in order.
 
     A break runs from an opening cue to the next closing one behind it, both flagged; after ``LONGEST_BREAK``
     sentences without one it is given up, flagged up to the sentence before; one that is open at the end is not
-    flagged. The fold keeps the spans (from, to), one for each break, not a flag for each sentence."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("open"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("spans"))
-
-    def step(s: Column, cue: Column) -> Column:
-        begun = F.when((s["open"] < 0) & cue["opens"], s["i"]).otherwise(s["open"])
-        closed = (begun >= 0) & cue["closes"] & (s["i"] > begun)
-        over = (begun >= 0) & ~closed & (s["i"] - begun > LONGEST_BREAK)
-        end = F.when(closed, s["i"]).when(over, s["i"] - 1)
-        span = F.struct(begun.alias("a"), end.alias("b"))
-        return F.struct((s["i"] + 1).alias("i"), F.when(closed | over, F.lit(-1)).otherwise(begun).alias("open"), F.when(closed | over, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
-
-    spans = F.aggregate(cues, start, step, lambda s: s["spans"])
-    return F.transform(cues, lambda _, i: F.exists(spans, lambda x: (x["a"] <= i) & (i <= x["b"])))
-
-
-def in_break(rows: DataFrame, key: str, order: str, opens: Column, closes: Column) -> DataFrame:
-    """(key, order, in_break) for each row; the rows of a key (a recording's sentences) are put in order first."""
-    cues = rows.select(key, F.col(order).alias("_o"), F.coalesce(opens, F.lit(False)).alias("opens"), F.coalesce(closes, F.lit(False)).alias("closes"))
-    lists = cues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_o", "opens", "closes"))).alias("c"))
-    flagged = lists.select(key, F.explode(F.arrays_zip("c", break_flags(F.col("c")).alias("f"))).alias("x"))
-    return flagged.select(key, F.col("x.c._o").alias(order), F.col("x.f").alias("in_break"))
+    flagged. The fold streams the sorted partition and holds back only the rows of an open break, at most
+    ``LONGEST_BREAK`` + 1, however many rows a key has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(batch: pa.RecordBatch, flags: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.bool_())], [key, order, "in_break"])
+
+        held = None
+        for batch in batches:
+            # A fold that begins anew at the row that opened the break comes to the same.
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            flags, begun, now = np.zeros(len(batch), bool), -1, object()
+            for i, (name, opening, closing) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if name != now and not (name != name and now != now):
+                    now, begun = name, -1
+                if begun < 0:
+                    begun = i if opening else -1
+                elif closing:
+                    flags[begun : i + 1], begun = True, -1
+                elif i - begun > LONGEST_BREAK:
+                    flags[begun:i], begun = True, -1
+            sure = len(batch) if begun < 0 else begun
+            held = batch.slice(sure) if begun >= 0 else None
+            yield out(batch.slice(0, sure), flags[:sure])
+        if held is not None:
+            yield out(held, np.zeros(len(held), bool))
+
+    cues = rows.select(key, order, F.coalesce(opens, F.lit(False)).alias("_opens"), F.coalesce(closes, F.lit(False)).alias("_closes"))
+    kinds = StructType([*cues.schema.fields[:2], StructField("in_break", BooleanType())])
+    return cues.repartition(key).sortWithinPartitions(key, order, "_opens", "_closes").mapInArrow(run, kinds)
 
 
 def index_ads(sentences: DataFrame, key: str = "media_id", order: str = "sentence_index") -> DataFrame:

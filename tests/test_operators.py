@@ -89,6 +89,31 @@ def test_ad_breaks(spark):
         assert {r.i for r in got if r.k == k} == flags(c)
 
 
+def test_breaks_are_streamed(spark):
+    """No array of a key's rows is made; breaks go over the ends of batches, but not over those of keys."""
+    rng = random.Random(2)
+    cues = [(k, i, rng.random() < 0.05, rng.random() < 0.03) for k in (None, 1, 2) for i in range(400 if k != 1 else 5)]
+    want = set()
+    for k in (None, 1, 2):
+        begun = None
+        for _, i, opens, closes in [c for c in cues if c[0] == k]:
+            if begun is None:
+                begun = i if opens else None
+            elif closes or i - begun > noise.LONGEST_BREAK:
+                want |= {(k, j) for j in range(begun, i + 1 if closes else i)}
+                begun = None
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(size)
+    try:
+        spark.conf.set(size, 7)
+        found = noise.in_break(spark.createDataFrame(cues, "k int, i int, a boolean, b boolean").repartition(3), "k", "i", F.col("a"), F.col("b"))
+        rows = found.collect()
+    finally:
+        spark.conf.set(size, kept)
+    assert len(rows) == len(cues) and {(r.k, r.i) for r in rows if r.in_break} == want
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_speech_spans(spark):
     def spans(p, size=512, rate=16000, least=250, silence=100):
         least, silence, out, on, start = least * rate // 1000, silence * rate // 1000, [], False, 0
