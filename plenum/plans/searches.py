@@ -120,6 +120,12 @@ def segment_sentences(spark: SparkSession, d: str) -> DataFrame:
     return search.sentences_of(turns, wanted)
 
 
+def segment_sentences_all(spark: SparkSession, d: str) -> DataFrame:
+    """As segment_sentences, for every conversation that has a turn 0."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("segment_id"), F.col("turn").alias("sentence_index"), "role")
+    return search.sentences_of(turns, turns.where(F.col("sentence_index") == 0))
+
+
 SIM = f"list_cosine_similarity(embedding::double[], (SELECT v FROM {Q_SQL}))"
 RANK = "round(({}) / 1.64493406685 / {}, 6)"
 
@@ -184,6 +190,7 @@ kept AS (SELECT * FROM scored WHERE (SELECT max(score) FROM scored) >= 0.008 AND
 SELECT segment_id, round(score, 6) AS score, n::int AS signal_count, names AS signal_list, CASE WHEN n > 1 THEN 'hybrid' ELSE names END AS match_type FROM kept WHERE NOT contains(lower(text), 'license')""",
     "enrich": "SELECT c.segment_id, count(s.turn)::int AS n, coalesce(string_agg(s.turn::varchar || ':' || md5(s.text), ',' ORDER BY s.turn), '') AS sentences FROM (SELECT DISTINCT conv_id AS segment_id FROM conversations WHERE turn = 0) c LEFT JOIN conversations s ON s.conv_id = c.segment_id AND s.turn > 0 GROUP BY c.segment_id",
     "segment_sentences": "SELECT conv_id AS segment_id, turn AS sentence_index, role FROM conversations WHERE conv_id % 3 = 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)",
+    "segment_sentences_all": "SELECT conv_id AS segment_id, turn AS sentence_index, role FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)",
 }
 
-QUERIES = {f.__name__: f for f in (semantic_topk, semantic_topk_filtered, semantic_direct, topic_segments, search_expanded, topic_centroid, nearest_topic, running_centroid, weighted_centroid, keyword_plain, keyword_or, keyword_not, keyword_phrase, trigram_topk, index_tokens, hybrid_rrf, enrich, segment_sentences)}
+QUERIES = {f.__name__: f for f in (semantic_topk, semantic_topk_filtered, semantic_direct, topic_segments, search_expanded, topic_centroid, nearest_topic, running_centroid, weighted_centroid, keyword_plain, keyword_or, keyword_not, keyword_phrase, trigram_topk, index_tokens, hybrid_rrf, enrich, segment_sentences, segment_sentences_all)}

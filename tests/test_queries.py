@@ -14,6 +14,13 @@ def test_query_without_sql_runs(spark, data, name):
     assert registry.queries()[name](spark, data).count() > 0
 
 
+def test_sentences_of_all_conversations(spark, data):
+    rows = registry.queries()["segment_sentences_all"](spark, data)
+    turns = spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn").collect()
+    begun = {r.conv_id for r in turns if r.turn == 0}
+    assert {(r.segment_id, r.sentence_index) for r in rows.collect()} == {(r.conv_id, r.turn) for r in turns if r.conv_id in begun}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
