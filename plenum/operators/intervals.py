@@ -1,7 +1,9 @@
 """Intervals in seconds: overlap joins and label spans.
 
-Overlap joins carry the media key, so Spark hashes or sorts on it and the overlap is a residual; a media item with very
-many spans is cut into time buckets by ``bucketed``, which also spreads one hot item over tasks.
+Overlap joins carry the media key and a time bucket. Buckets come in levels, each ``LEVEL`` times as wide as the one
+before, and a span belongs to the level whose buckets are as long as it is or longer, so that it touches two of them at
+most there and at every higher level. Two spans meet at the higher of their levels. A span so makes two rows for each
+level that occurs, whatever its length, and one hot media item spreads over many buckets.
 """
 
 from __future__ import annotations
@@ -17,13 +19,40 @@ def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2))
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, bucket: float = 300.0) -> DataFrame:
-    """Pairs of a left row (start, end) and a right row (s, e) of one key that overlap, once each. Both sides go to the
-    buckets they touch; a pair counts in the bucket where the overlap begins."""
-    lb = left.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.greatest("start", "end") / bucket))))
-    rb = right.withColumn("_b", F.explode(F.sequence(F.floor(F.col("s") / bucket), F.floor(F.greatest("s", "e") / bucket))))
-    pairs = lb.join(rb, [key, "_b"]).where((F.col("start") < F.col("e")) & (F.col("s") < F.col("end")))
-    return pairs.where(F.col("_b") == F.floor(F.greatest("start", "s") / bucket)).drop("_b")
+#: Width of the narrowest buckets in seconds, how many times wider the next ones are, and how many levels there are.
+NARROWEST, LEVEL, LEVELS = 8.0, 8.0, 12
+
+
+def _level(start: Column, end: Column) -> Column:
+    length = F.greatest(end - start, F.lit(NARROWEST))
+    return F.least(F.ceil(F.log(length / NARROWEST) / F.log(F.lit(LEVEL)) - 1e-9), F.lit(LEVELS)).cast("int")
+
+
+def _levels(rows: DataFrame, start: str, end: str) -> set[int]:
+    """The levels that occur, of which there are at most LEVELS + 1."""
+    return {r[0] for r in rows.select(_level(F.col(start), F.col(end)).alias("level")).distinct().collect() if r[0] is not None}
+
+
+def _bucketed(rows: DataFrame, start: str, end: str, levels: list[int], names: tuple[str, str, str]) -> DataFrame:
+    """``rows`` once for each bucket that they touch at their own level and at those of ``levels`` above it."""
+    own, level, bucket = names
+    width = F.lit(NARROWEST) * F.pow(F.lit(LEVEL), F.col(level))
+    at = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col(own))
+    rows = rows.withColumn(own, _level(F.col(start), F.col(end))).withColumn(level, F.explode(at))
+    return rows.withColumn(bucket, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(start, end) / width))))
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Pairs of a left row (start, end) and a right row (s, e) of one key that overlap, once each: at the higher of
+    their levels, in the bucket where the overlap begins. Spans longer than the widest buckets (some 17,000 years) touch
+    more of them."""
+    levels = sorted(_levels(left, "start", "end") | _levels(right, "s", "e"))
+    lb = _bucketed(left, "start", "end", levels, ("_l", "_level", "_bucket"))
+    rb = _bucketed(right, "s", "e", levels, ("_r", "_level", "_bucket"))
+    pairs = lb.join(rb, [key, "_level", "_bucket"]).where(F.col("_level") == F.greatest("_l", "_r"))
+    pairs = pairs.where((F.col("start") < F.col("e")) & (F.col("s") < F.col("end")))
+    width = F.lit(NARROWEST) * F.pow(F.lit(LEVEL), F.col("_level"))
+    return pairs.where(F.col("_bucket") == F.floor(F.greatest("start", "s") / width)).drop("_l", "_r", "_level", "_bucket")
 
 
 def assign_speakers(segments: DataFrame, turns: DataFrame, key: str = "media_id") -> DataFrame:

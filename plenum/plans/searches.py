@@ -116,8 +116,7 @@ def enrich(spark: SparkSession, d: str) -> DataFrame:
 
 def segment_sentences(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("segment_id"), F.col("turn").alias("sentence_index"), "role")
-    wanted = turns.where((F.col("sentence_index") == 0) & (F.col("segment_id") % 3 == 0))
-    return search.sentences_of(turns, wanted)
+    return search.sentences_of(turns, turns.where((F.col("sentence_index") == 0) & (F.col("role") == "user")))
 
 
 def segment_sentences_all(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +188,7 @@ scored AS (SELECT f.*, d.text, raw * {penalty_sql('d.w')} AS score FROM fused f
 kept AS (SELECT * FROM scored WHERE (SELECT max(score) FROM scored) >= 0.008 AND score >= greatest(0.008, (SELECT max(score) FROM scored) * 0.15) ORDER BY score DESC, pos, r, segment_id LIMIT 20)
 SELECT segment_id, round(score, 6) AS score, n::int AS signal_count, names AS signal_list, CASE WHEN n > 1 THEN 'hybrid' ELSE names END AS match_type FROM kept WHERE NOT contains(lower(text), 'license')""",
     "enrich": "SELECT c.segment_id, count(s.turn)::int AS n, coalesce(string_agg(s.turn::varchar || ':' || md5(s.text), ',' ORDER BY s.turn), '') AS sentences FROM (SELECT DISTINCT conv_id AS segment_id FROM conversations WHERE turn = 0) c LEFT JOIN conversations s ON s.conv_id = c.segment_id AND s.turn > 0 GROUP BY c.segment_id",
-    "segment_sentences": "SELECT conv_id AS segment_id, turn AS sentence_index, role FROM conversations WHERE conv_id % 3 = 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)",
+    "segment_sentences": "SELECT conv_id AS segment_id, turn AS sentence_index, role FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0 AND role = 'user')",
     "segment_sentences_all": "SELECT conv_id AS segment_id, turn AS sentence_index, role FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)",
 }
 

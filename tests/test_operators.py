@@ -55,6 +55,16 @@ def test_bucketed_overlap_is_complete(spark):
     assert sorted((r.start, r.end, r.s, r.e) for r in got.collect()) == want
 
 
+def test_long_spans_make_few_rows(spark):
+    left = spark.createDataFrame([(1, 0.0, 1e9), (1, 5.0, 6.0), (2, 3.0, 9.0)], "k int, start double, end double")
+    right = spark.createDataFrame([(1, float(i), float(i) + 2) for i in range(0, 400, 7)] + [(1, 1e9 - 1, 1e12), (2, 9.0, 10.0)], "k int, s double, e double")
+    got = sorted(map(tuple, intervals.overlapping(left, right, "k").select("start", "s").collect()))
+    assert got == sorted([(0.0, float(i)) for i in range(0, 400, 7)] + [(0.0, 1e9 - 1)] + [(5.0, float(i)) for i in range(0, 400, 7) if i < 6 and i + 2 > 5])
+    levels = list(range(intervals.LEVELS + 1))
+    rows = intervals._bucketed(left, "start", "end", levels, ("own", "level", "bucket")).groupBy("k", "start").count()
+    assert max(r["count"] for r in rows.collect()) <= 2 * len(levels)
+
+
 def test_merge_adjacent_and_bins(spark):
     rows = spark.createDataFrame([(1, 0.0, 2.0, "music"), (1, 2.5, 4.0, "music"), (1, 6.0, 7.0, "music")], "k int, start double, end double, label string")
     assert sorted((r.start, r.end) for r in intervals.merge_adjacent(rows, "k").collect()) == [(0.0, 4.0), (6.0, 7.0)]
