@@ -34,12 +34,12 @@ def is_junk(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words between white space; none for an empty text."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens in order: runs of letters and digits (an approximation of a plain text-search parser)."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _strip_prefix(word: Column) -> Column:
@@ -130,6 +130,18 @@ def most_repeats(own: Column, n: int = 4) -> Column:
     return F.when(F.size(own) >= n, F.aggregate(F.array_sort(grams), start, step, lambda s: s["m"])).otherwise(F.lit(0))
 
 
+def repeats(own: Column, n: int = 4, least: int = 3) -> Column:
+    """Does some n-gram of the words occur ``least`` times? Hashes of the grams (64 bits) are sorted, and places
+    ``least - 1`` apart compared, so that no gram is put together as text."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: F.xxhash64(*[F.get(own, i + j) for j in range(n)]))
+
+    def tied(ranked: Column) -> Column:
+        count = F.size(ranked) - (least - 1)
+        return (count > 0) & F.exists(F.zip_with(F.slice(ranked, 1, F.greatest(count, F.lit(0))), F.slice(ranked, least, F.greatest(count, F.lit(0))), lambda a, b: a == b), lambda x: x)
+
+    return F.when(F.size(own) >= n, let(F.sort_array(grams), tied)).otherwise(F.lit(False))
+
+
 def noise_segment(text: Column) -> Column:
     """short, repetitive, gibberish, commercial or jingle, by the first rule that holds; else null."""
     price = text.rlike(C.PRICE)
@@ -141,7 +153,7 @@ def noise_segment(text: Column) -> Column:
         return (
             F.when(n < 5, "short")
             .when((n >= 8) & (unique_ratio(own) < 0.3), "repetitive")
-            .when((n >= 12) & (most_repeats(own) >= 3), "repetitive")
+            .when((n >= 12) & repeats(own), "repetitive")
             .when((n < 15) & (hebrew_ratio(text) < 0.3), "gibberish")
             .when((phrases >= 2) | ((phrases >= 1) & price) | (occurrences(text, C.LOWEST_PRICES) >= 2) | slogan, "commercial")
             .when((n <= 8) & any_of(text, C.STATION_JINGLES), "jingle")
@@ -180,8 +192,8 @@ def quality_penalty(text: Column) -> Column:
         n = F.size(own)
         short = F.when(n < 5, 0.3).when(n < 10, 0.7).otherwise(1.0)
         ratio = let(unique_ratio(own), lambda r: F.when((n >= 8) & (r < 0.3), 0.2).when((n >= 8) & (r < 0.4), 0.5).otherwise(1.0))
-        repeats = F.when((n >= 12) & (most_repeats(own) >= 3), 0.4).otherwise(1.0)
-        return short * ratio * repeats
+        again = F.when((n >= 12) & repeats(own), 0.4).otherwise(1.0)
+        return short * ratio * again
 
     return let(words(F.coalesce(text, F.lit(""))), factor)
 

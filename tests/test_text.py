@@ -43,8 +43,10 @@ def test_repeats(spark):
         grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)]
         return max(map(grams.count, grams), default=0)
 
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.most_repeats(T.words(F.col("t"))).alias("m")).collect()
-    assert all(r.m == most(r.t) for r in got)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.most_repeats(T.words(F.col("t"))).alias("m"), T.repeats(T.words(F.col("t"))).alias("three"), T.repeats(T.words(F.col("t")), 2, 4).alias("four")).collect()
+    assert all(r.m == most(r.t) and r.three == (r.m >= 3) for r in got)
+    pairs = lambda t: [" ".join(p) for p in zip(t.split(), t.split()[1:])]
+    assert all(r.four == (max(map(pairs(r.t).count, pairs(r.t)), default=0) >= 4) for r in got)
 
 
 def test_turns_skip_blanks(spark):
