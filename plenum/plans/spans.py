@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenum.functions import constants as C
 from plenum.functions import times
 from plenum.functions import vector as V
 from plenum.operators import indexing, intervals, noise, search, stats
@@ -157,6 +158,10 @@ KEYS = ["kan-bet/2026-03-19_08-00_transcript.json", "tv/ch1/2026-07-01_23-30_tra
 _E = "(SELECT *, (epoch_us(ts) - 1577836800000000) / 1e6 AS s, (epoch_us(lead(ts) OVER w) - 1577836800000000) / 1e6 AS e, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 _SEG = f"(SELECT user_id AS m, (n - 1) // 4 AS i, min(s) + 0.5 AS a, max(e) + 100 AS b FROM {_E} WHERE e IS NOT NULL GROUP BY ALL)"
 _PAIR = f"(SELECT g.m, g.i, g.a, g.b, t.s, t.e, t.n, t.event_type AS k, least(b, e) - greatest(a, s) AS o FROM {_SEG} g JOIN {_E} t ON t.user_id = g.m AND t.e IS NOT NULL AND g.a < t.e AND t.s < g.b)"
+#: Rows in order, and the states of a fold over them: one recursion step handles the next row of every key.
+_CUES = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type = 'purchase' AS opens, event_type = 'click' AS closes FROM events)"
+_UNITS = "(SELECT vec_id AS id, embedding::double[] AS v, {0} AS k, row_number() OVER (PARTITION BY {0} ORDER BY vec_id) AS n FROM embeddings)"
+_MEAN = "list_transform(range(1, len(v) + 1), lambda i: list_avg(list_transform(members, lambda m: m[i])))"
 _R = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 SQL = {
     "speaker_assign": f"""WITH s AS (SELECT m, i, k, sum(o) AS o, min(s) AS f, any_value(b - a) AS len FROM {_PAIR} GROUP BY m, i, k),
@@ -179,6 +184,35 @@ SELECT user_id, min(s) AS start, max(e) AS "end", any_value(label) AS label FROM
 SELECT user_id, label, count(*) AS segments, round(sum(d), 3) AS seconds, CASE WHEN any_value(t) > 0 THEN round(100 * sum(d) / any_value(t), 2) ELSE 0 END AS pct FROM r JOIN (SELECT user_id, sum(d) AS t FROM r GROUP BY user_id) USING (user_id) GROUP BY user_id, label""",
     "loudness": f"""WITH r AS (SELECT user_id, {_R} - 1 AS i, value / 100000 AS x FROM events), w AS (SELECT user_id, i // 8 AS w, sum(x * x) AS s, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 2)
 SELECT user_id, round(w * 8 / 4, 3) AS start, round((w * 8 + n) / 4, 3) AS "end", round(20 * log10(sqrt(s / n) + 1e-10), 6) AS db, CASE WHEN 20 * log10(sqrt(s / n) + 1e-10) < -35 THEN 'silence' ELSE 'music' END AS label FROM w""",
+    "speech_spans": f"""WITH f AS (SELECT user_id, {_R} - 1 AS i, event_type <> 'view' AS loud FROM events),
+m AS (SELECT *, CASE WHEN lag(loud) OVER (PARTITION BY user_id ORDER BY i) IS NOT DISTINCT FROM loud THEN 0 ELSE 1 END AS new FROM f),
+r AS (SELECT user_id, any_value(loud) AS loud, min(i) AS a, max(i) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS g FROM m) GROUP BY user_id, g),
+p AS (SELECT *, max(z) OVER (PARTITION BY user_id) AS last, NOT loud AND (z - a) * 512 >= 1024 AS pause FROM r),
+q AS (SELECT *, count(*) FILTER (WHERE pause) OVER (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM p),
+s AS (SELECT user_id, min(a) FILTER (WHERE loud) AS a, coalesce(min(a) FILTER (WHERE pause), max(last) FILTER (WHERE NOT loud AND z = last), max(last) + 1) AS z FROM q GROUP BY user_id, g)
+SELECT user_id, a * 512 AS start, z * 512 AS "end" FROM s WHERE a IS NOT NULL AND (z - a) * 512 >= 1024""",
+    "ad_spans": f"""WITH RECURSIVE c AS {_CUES},
+fold AS (SELECT user_id, 0::bigint AS n, NULL::bigint AS begun, NULL::bigint AS a, NULL::bigint AS z FROM (SELECT DISTINCT user_id FROM c)
+  UNION ALL SELECT c.user_id, c.n, CASE WHEN f.begun IS NULL THEN CASE WHEN c.opens THEN c.n END WHEN c.closes OR c.n - f.begun > {noise.LONGEST_BREAK} THEN NULL ELSE f.begun END,
+    CASE WHEN c.closes OR c.n - f.begun > {noise.LONGEST_BREAK} THEN f.begun END, CASE WHEN c.closes THEN c.n ELSE c.n - 1 END
+  FROM fold f JOIN c ON c.user_id = f.user_id AND c.n = f.n + 1),
+b AS (SELECT user_id, a, z FROM fold WHERE a IS NOT NULL)
+SELECT c.user_id, c.n::int AS n, bool_or(b.a IS NOT NULL) AS in_break FROM c LEFT JOIN b ON b.user_id = c.user_id AND c.n BETWEEN b.a AND b.z GROUP BY c.user_id, c.n""",
+    "segment_group": f"""WITH RECURSIVE u AS {_UNITS.format('vec_id // 50')},
+fold AS (SELECT k, 0::bigint AS n, NULL::bigint AS id, -1 AS segment, []::double[][] AS members, 0.0::double AS begun, 0 AS held FROM (SELECT DISTINCT k FROM u)
+  UNION ALL SELECT k, n, id, CASE WHEN fresh THEN segment + 1 ELSE segment END, CASE WHEN fresh THEN [v] ELSE list_slice(list_append(members, v), greatest(1, len(members) + 2 - {C.SEGMENT_WINDOW}), len(members) + 1) END,
+    CASE WHEN fresh THEN id * 10.0::double ELSE begun END, CASE WHEN fresh THEN 1 ELSE held + 1 END
+  FROM (SELECT u.k, u.n, u.id, f.segment, f.members, f.begun, f.held, u.v, CASE WHEN len(f.members) = 0 THEN true ELSE u.id * 10 + 10 - f.begun >= {C.SEGMENT_SECONDS} OR f.held >= {C.SEGMENT_LEAST} AND list_cosine_similarity({_MEAN.replace('v)', 'u.v)').replace('members', 'f.members')}, u.v) < 0.1 END AS fresh
+    FROM fold f JOIN u ON u.k = f.k AND u.n = f.n + 1))
+SELECT k AS media_id, id AS sentence_index, segment AS segment_index FROM fold WHERE id IS NOT NULL""",
+    "topic_assign": f"""WITH RECURSIVE u AS {_UNITS.format('vec_id % 8')},
+fold AS (SELECT k, 0::bigint AS n, NULL::bigint AS id, -1 AS topic, []::double[][] AS centers, []::bigint[] AS counts FROM (SELECT DISTINCT k FROM u)
+  UNION ALL SELECT k, n, id, CASE WHEN best IS NULL THEN len(centers)::int ELSE best - 1 END,
+    CASE WHEN best IS NULL THEN list_append(centers, v) ELSE list_transform(centers, lambda c, i: CASE WHEN i = best THEN list_transform(c, lambda x, j: (x * counts[best] + v[j]) / (counts[best] + 1)) ELSE c END) END,
+    CASE WHEN best IS NULL THEN list_append(counts, 1) ELSE list_transform(counts, lambda c, i: c + (i = best)::int) END
+  FROM (SELECT *, CASE WHEN list_max(sims) >= 0.25 THEN list_position(sims, list_max(sims)) END AS best
+    FROM (SELECT u.k, u.n, u.id, u.v, f.centers, f.counts, list_transform(f.centers, lambda c: list_cosine_similarity(c, u.v)) AS sims FROM fold f JOIN u ON u.k = f.k AND u.n = f.n + 1)))
+SELECT k AS station, id, topic FROM fold WHERE id IS NOT NULL""",
     "index_stats": """WITH t AS (SELECT o_orderpriority AS station, o_orderstatus AS media_type, count(DISTINCT l_suppkey) AS topic_count, count(*) AS segment_count, count(*) FILTER (WHERE l_quantity > 25) AS sentence_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT o.station, o.media_type, media_count, coalesce(segment_count, 0) AS segment_count, coalesce(sentence_count, 0) AS sentence_count, earliest, latest, coalesce(topic_count, 0) AS topic_count
 FROM (SELECT o_orderpriority AS station, o_orderstatus AS media_type, count(*) AS media_count, min(o_orderdate) AS earliest, max(o_orderdate) AS latest FROM orders GROUP BY ALL) o LEFT JOIN t USING (station, media_type)""",
