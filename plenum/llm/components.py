@@ -1,7 +1,8 @@
 """Connected components of a distributed list of links, by alternating large-star and small-star (Kiveris et al. 2014).
 
-Links stay on the cluster; each round is written to the shared folder, so lineage stays short. Links from a document to
-itself and repeated links do no harm.
+Links stay on the cluster; each round is written to the shared folder and the one before removed, so lineage and disk
+stay short. The join by a star's centre reads written tables on both sides, so that Spark can split a centre that a
+large part of all links share. Links from a document to itself and repeated links do no harm.
 """
 
 from __future__ import annotations
@@ -9,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import materialise
+from plenum.llm.scratch import Scratch
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+def _both(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large_star(links: DataFrame, least: DataFrame) -> DataFrame:
+    moved = _both(links).where("b > a").join(least.select("a", "m"), "a")
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -25,18 +29,16 @@ def _small_star(links: DataFrame) -> DataFrame:
     return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes with a link to another; component is the smallest node, which has a row too."""
-    links = materialise(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "links")
-    state = None
+    work = Scratch(links.sparkSession, "components")
+    links = work.keep(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "links")
     while True:
-        links = materialise(_small_star(_large_star(links)), "links")
-        if (now := _state(links)) == state:
-            break
-        state = now
-    roots = links.select(F.col("b").alias("node")).distinct()
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+        least = _both(links).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.max("b").alias("x"))
+        least = work.keep(least, "least")
+        # Stars, and so done, when no node stands between a smaller and a larger one.
+        if least.where("m < a and x > a").isEmpty():
+            work.drop_others(least)
+            return least.select(F.col("a").alias("node"), F.col("m").alias("component"))
+        links = work.keep(_small_star(_large_star(links, least)), "links")
+        work.drop_others(links)

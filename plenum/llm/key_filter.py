@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import materialise
+from plenum.llm.scratch import materialise, unused
 
 MAX_WORDS = 1 << 19
 
@@ -22,23 +22,28 @@ class KeyFilter:
     table: DataFrame
     words: int
 
-    def flagged(self, rows: DataFrame, key: str, flag: str) -> DataFrame:
-        """``rows`` with a boolean: may the key be among those of the filter? False for a null key."""
-        h = F.xxhash64(key)
-        out = rows.withColumn("_w", F.pmod(h, F.lit(self.words))).withColumn("_s", F.shiftrightunsigned(h, 58).cast("int"))
-        out = out.join(F.broadcast(self.table), "_w", "left")
-        hit = F.coalesce(F.expr("shiftright(_v, _s) & 1L") == 1, F.lit(False)) & F.col(key).isNotNull()
-        return out.withColumn(flag, hit).drop("_w", "_s", "_v")
-
-    def maybe(self, rows: DataFrame, key: str) -> DataFrame:
-        return self.flagged(rows, key, "_maybe").where("_maybe").drop("_maybe")
-
-
-def key_filter(keys: DataFrame, key: str) -> KeyFilter:
-    n, words = keys.count(), 1 << 10
+    def flagged(self, rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
+        """``rows`` with a boolean: may the keys (columns) be among those of the filter? False if one is null. A
+        column named like the flag is replaced; all others are kept, whatever their names."""
+        h, known = F.xxhash64(*keys), F.lit(True)
+        for k in keys:
+            known &= F.col(k).isNotNull()
+        w, v = unused(rows, "w"), unused(rows, "v")
+        bits = F.broadcast(self.table.select(F.col("w").alias(w), F.col("v").alias(v)))
+        hit = F.getbit(F.col(v), F.shiftrightunsigned(h, 58).cast("int")) == 1
+        out = rows.withColumn(w, F.pmod(h, F.lit(self.words))).join(bits, w, "left")
+        return out.withColumn(flag, F.coalesce(hit, F.lit(False)) & known).drop(w, v)
+
+    def maybe(self, rows: DataFrame, *keys: str) -> DataFrame:
+        flag = unused(rows, "maybe")
+        return self.flagged(rows, list(keys), flag).where(F.col(flag)).drop(flag)
+
+
+def key_filter(rows: DataFrame, *keys: str) -> KeyFilter:
+    n, words = rows.count(), 1 << 10
     while words < MAX_WORDS and words < n:
         words *= 2
-    h: Column = F.xxhash64(key)
-    bits = keys.select(F.pmod(h, F.lit(words)).alias("_w"), F.shiftrightunsigned(h, 58).cast("int").alias("_s"))
-    table = bits.groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _s)")).alias("_v"))
+    h: Column = F.xxhash64(*keys)
+    bits = rows.select(F.pmod(h, F.lit(words)).alias("w"), F.shiftrightunsigned(h, 58).cast("int").alias("s"))
+    table = bits.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v"))
     return KeyFilter(materialise(table, "bits"), words)
