@@ -27,15 +27,17 @@ class Request:
 
 @dataclass
 class Index:
-    """Sentences (id, segment_id, text, embedding_he, is_noise, media columns), segments (segment_id, topic_id, text,
-    embedding_he, is_noise, segment_time, media columns)."""
+    """Sentences (id, segment_id, sentence_index, text, embedding_he, is_noise, media columns), segments (segment_id,
+    topic_id, text, embedding_he, is_noise, segment_time, media columns). Both may hold the token columns that
+    ``documents.with_tokens`` adds."""
 
     sentences: DataFrame
     segments: DataFrame
 
 
 def run(request: Request, index: Index, encode: Callable[[str], list[float]], rerank=None) -> DataFrame:
-    """Hybrid, semantic or keyword search, exclusion, optional rerank."""
+    """Hybrid, semantic or keyword search, exclusion, optional rerank; each result with the array of its segment's
+    sentences, where these have a sentence_index. Best first."""
     if not request.query.strip():
         raise ValueError("the query is empty")
     if request.mode not in ("hybrid", "semantic", "keyword"):
@@ -71,4 +73,8 @@ def run(request: Request, index: Index, encode: Callable[[str], list[float]], re
     out = fusion.without(out, parsed.excluded)
     if rerank is not None:
         out = fusion.reranked(out, rerank)
-    return out
+    if "sentence_index" not in index.sentences.columns:
+        return out
+    # What comes out so far is one sorted partition, so ids that grow within it keep its order over the join.
+    placed = out.withColumn("place", F.monotonically_increasing_id())
+    return search.enrich(placed, index.sentences.select("segment_id", "sentence_index", "text")).orderBy("place").drop("place")

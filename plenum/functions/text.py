@@ -85,9 +85,12 @@ def trigrams(text: Column) -> Column:
 
 def similarity(grams: Column, other: Column) -> Column:
     """Jaccard similarity of two trigram sets, 0 if both are empty."""
-    common = F.size(F.array_intersect(grams, other))
-    union = F.size(grams) + F.size(other) - common
-    return F.when(union == 0, F.lit(0.0)).otherwise(common.cast("double") / union)
+
+    def share(common: Column) -> Column:
+        union = F.size(grams) + F.size(other) - common
+        return F.when(union == 0, F.lit(0.0)).otherwise(common.cast("double") / union)
+
+    return let(F.size(F.array_intersect(grams, other)), share)
 
 
 def hebrew_letters(text: Column) -> Column:

@@ -47,15 +47,23 @@ def semantic(rows: DataFrame, vector: list[float], n: int = 20, threshold: float
     return top(found.where(F.col("similarity") > threshold), "similarity", n, id_column)
 
 
+def stored_tokens(rows: DataFrame) -> Column:
+    """The tokens of the expanded text: the stored ones, or those of the plain text where these are null
+    (``documents.with_tokens``); made from the text if the table has none."""
+    if "text_search" in rows.columns:
+        return F.coalesce("text_search_expanded", "text_search")
+    return T.tokens(T.affix_expand(F.col("text")))
+
+
 def keyword(rows: DataFrame, query: str, n: int = 20, id_column: str = "id", tokens: Column | None = None, station: str | None = None, media_type: str | None = None) -> DataFrame:
-    """Rows with all of a plain query's tokens, by rank. ``tokens``: the token array; by default of the expanded text."""
-    tokens = T.tokens(T.affix_expand(F.col("text"))) if tokens is None else tokens
+    """Rows with all of a plain query's tokens, by rank. ``tokens``: the token array; by default ``stored_tokens``."""
+    tokens = stored_tokens(rows) if tokens is None else tokens
     return _ranked(rows, tokens, lambda t: Q.has_all(t, Q.plain(query)), Q.plain(query), n, id_column, station, media_type)
 
 
 def keyword_query(rows: DataFrame, parsed: Q.Parsed, variants: set[str] | None = None, n: int = 20, id_column: str = "id", tokens: Column | None = None, station: str | None = None, media_type: str | None = None) -> DataFrame:
     """Rows that a parsed query matches, by rank."""
-    tokens = T.tokens(T.affix_expand(F.col("text"))) if tokens is None else tokens
+    tokens = stored_tokens(rows) if tokens is None else tokens
     wanted = [t for x in (*parsed.phrases, *parsed.terms) for t in Q.query_tokens(x)]
     return _ranked(rows, tokens, lambda t: Q.predicate(t, parsed, variants), wanted, n, id_column, station, media_type)
 
@@ -67,10 +75,12 @@ def _ranked(rows: DataFrame, tokens: Column, match: Callable[[Column], Column],
 
 
 def trigram(rows: DataFrame, query: str, n: int = 20, threshold: float = C.TRIGRAM_THRESHOLD, id_column: str = "id", station: str | None = None, media_type: str | None = None) -> DataFrame:
-    """Rows whose trigram similarity to the query reaches the threshold."""
-    kept = only(not_noise(rows), station=station, media_type=media_type)
-    found = kept.withColumn("similarity", T.similarity(T.trigrams(F.col("text")), T.trigrams(F.lit(query))))
-    return top(found.where(F.col("similarity") >= threshold), "similarity", n, id_column)
+    """Rows whose trigram similarity to the query reaches the threshold; by the stored trigrams if there are any."""
+    grams = F.col("text_trigrams") if "text_trigrams" in rows.columns else T.trigrams(F.col("text"))
+    alike = T.let(grams, lambda g: T.similarity(g, T.trigrams(F.lit(query))))
+    # The similarity is computed once for the filter, and once more for the rows that pass.
+    kept = only(not_noise(rows), station=station, media_type=media_type).where(alike >= threshold)
+    return top(kept.withColumn("similarity", alike), "similarity", n, id_column)
 
 
 def by_topic(rows: DataFrame, topics: DataFrame, n: int = 20, id_column: str = "id", time: str = "segment_time") -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.session import shared_dir
+from plenum.sources import documents
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,6 +20,24 @@ def documents_as_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("segment_id"), "text", F.col("source").alias("station"), F.col("lang").alias("media_type"))
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as segments with the stored token columns that keyword and trigram searches read. They are written
+    once for an application and data folder, into the shared folder; without one on a cluster they are computed."""
+    rows = documents.with_tokens(documents_as_segments(spark, sf_dir))
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _written:
+        folder = shared_dir(spark)
+        if folder is None:
+            return rows
+        path = f"{folder}/plenum-search/{name[0]}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        _written[name] = path
+    return spark.read.schema(rows.schema).parquet(_written[name])
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("embedding_he"), F.col("label").alias("topic_id"))
@@ -29,4 +52,3 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
 Q_SQL = "(SELECT embedding::double[] AS v FROM embeddings WHERE vec_id = 0)"
 TOKENS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 WORDS_SQL = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
-GRAMS_SQL = "list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))"

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum import api
 from plenum.functions import query as Q
 from plenum.functions import text as T
 from plenum.functions import vector as V
 from plenum.operators import fusion, search
-from plenum.plans.base import Q_SQL, TOKENS_SQL, WORDS_SQL, documents_as_segments, query_vector, table, vectors
+from plenum.plans.base import Q_SQL, TOKENS_SQL, WORDS_SQL, documents_as_segments, query_vector, searchable, table, vectors
 
 def _sim():
     return F.round("similarity", 6).alias("similarity")
@@ -65,23 +66,23 @@ def _rounded():
 
 
 def keyword_plain(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword(documents_as_segments(spark, d), "the of", 20, "segment_id").select("segment_id", _rounded())
+    return search.keyword(searchable(spark, d), "the of", 20, "segment_id").select("segment_id", _rounded())
 
 
 def keyword_or(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_query(documents_as_segments(spark, d), Q.parse("einer OR para"), None, 30, "segment_id").select("segment_id", _rounded())
+    return search.keyword_query(searchable(spark, d), Q.parse("einer OR para"), None, 30, "segment_id").select("segment_id", _rounded())
 
 
 def keyword_not(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_query(documents_as_segments(spark, d), Q.parse("the NOT of -was"), None, 30, "segment_id").select("segment_id", _rounded())
+    return search.keyword_query(searchable(spark, d), Q.parse("the NOT of -was"), None, 30, "segment_id").select("segment_id", _rounded())
 
 
 def keyword_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_query(documents_as_segments(spark, d), Q.parse('"of the" in'), None, 30, "segment_id", station="src1").select("segment_id", _rounded())
+    return search.keyword_query(searchable(spark, d), Q.parse('"of the" in'), None, 30, "segment_id", station="src1").select("segment_id", _rounded())
 
 
 def trigram_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.trigram(documents_as_segments(spark, d), "the of and in to with", 20, 0.05, "segment_id").select("segment_id", _sim())
+    return search.trigram(searchable(spark, d), "the of and in to with", 20, 0.05, "segment_id").select("segment_id", _sim())
 
 
 def index_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +95,7 @@ HYBRID_QUERY, EXCLUDED = "the of", ["license"]
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Vector and keyword signals fused, with gate, penalties, floor and exclusion."""
-    segs = documents_as_segments(spark, d)
+    segs = searchable(spark, d)
     near = vectors(spark, d).join(segs, F.col("id") == F.col("segment_id"))
     he = search.semantic(near, query_vector(spark, d), 40, id_column="segment_id")
     kw = search.keyword(segs, HYBRID_QUERY, 40, "segment_id")
@@ -106,6 +107,19 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("segment_id", F.round("score", 6).alias("score"), "signal_count", "signal_list", "match_type")
 
 
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole request: five signals, gate, topics, fusion, exclusion and nested sentences. Conversations are segments
+    of sentences beside the documents; a vector belongs to the sentence and to the segment of its number."""
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("embedding_he"), F.col("label").alias("topic_id"))
+    segs = searchable(spark, d).join(vec, F.col("segment_id") == F.col("v"), "left").withColumn("segment_time", F.col("segment_id") % 97)
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("segment_id"), F.col("turn").alias("sentence_index"), "text", (F.col("conv_id") * 8 + F.col("turn")).alias("id"))
+    sents = turns.join(vec.drop("topic_id"), F.col("id") == F.col("v"), "left")
+    vector = query_vector(spark, d)
+    out = api.run(api.Request("the of -license", limit=20), api.Index(sents, segs), lambda _: vector)
+    nested = F.array_join(F.transform("sentences", lambda s: F.concat(s["sentence_index"].cast("string"), F.lit(":"), F.md5(s["text"]))), ",")
+    return out.select("segment_id", F.round("score", 6).alias("score"), "signal_count", "signal_list", "match_type", F.md5("text").alias("text"), nested.alias("sentences"))
+
+
 def enrich(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("segment_id"), F.col("turn").alias("sentence_index"), "text")
     results = turns.where("sentence_index = 0").select("segment_id").distinct()
@@ -187,9 +201,26 @@ fused AS (SELECT segment_id, sum(p) AS raw, count(*) AS n, string_agg(signal, '+
 scored AS (SELECT f.*, d.text, raw * {penalty_sql('d.w')} AS score FROM fused f JOIN docs d USING (segment_id)),
 kept AS (SELECT * FROM scored WHERE (SELECT max(score) FROM scored) >= 0.008 AND score >= greatest(0.008, (SELECT max(score) FROM scored) * 0.15) ORDER BY score DESC, pos, r, segment_id LIMIT 20)
 SELECT segment_id, round(score, 6) AS score, n::int AS signal_count, names AS signal_list, CASE WHEN n > 1 THEN 'hybrid' ELSE names END AS match_type FROM kept WHERE NOT contains(lower(text), 'license')""",
+    "hybrid_search": f"""WITH seg AS (SELECT doc_id AS id, doc_id AS segment_id, text, {TOKENS_SQL} AS t, list_cosine_similarity(e.embedding::double[], (SELECT v FROM {Q_SQL})) AS s, label, doc_id % 97 AS time FROM documents LEFT JOIN embeddings e ON vec_id = doc_id),
+sent AS (SELECT conv_id * 8 + turn AS id, conv_id AS segment_id, text, {TOKENS_SQL} AS t, list_cosine_similarity(e.embedding::double[], (SELECT v FROM {Q_SQL})) AS s FROM conversations LEFT JOIN embeddings e ON vec_id = conv_id * 8 + turn),
+he AS (SELECT 0 AS pos, 'sent_he' AS signal, id, segment_id, text, s, NULL AS label, 0.7 AS w FROM sent WHERE s > 0.18 UNION ALL SELECT 1, 'seg_he', id, segment_id, text, s, label, 0.8 FROM seg WHERE s > 0.18),
+he_top AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY s DESC, id) AS r, max(s) OVER (PARTITION BY signal) AS best FROM he QUALIFY r <= 40 AND best >= 0.25),
+kw AS (SELECT 2 AS pos, 'sent_kw' AS signal, id, segment_id, text, {_rank('the', 'of').replace('round', '').replace(', 6', '')} AS s FROM sent WHERE {has('the')} AND {has('of')} AND NOT {has('license')}
+  UNION ALL SELECT 3, 'seg_kw', id, segment_id, text, {_rank('the', 'of').replace('round', '').replace(', 6', '')} FROM seg WHERE {has('the')} AND {has('of')} AND NOT {has('license')}),
+kw_top AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY s DESC, id) AS r FROM kw QUALIFY r <= 40),
+topics AS (SELECT label FROM he_top WHERE label IS NOT NULL GROUP BY label ORDER BY min(r), label LIMIT 10),
+around AS (SELECT id, segment_id, text, row_number() OVER (ORDER BY time DESC, segment_id) AS r FROM seg WHERE label IN (FROM topics) QUALIFY r <= 40),
+parts AS (SELECT pos, signal, segment_id, text, r, w * least(greatest(s / 0.5, 0.3), 1.0) / (60 + r) AS p FROM he_top
+  UNION ALL SELECT pos, signal, segment_id, text, r, 1.5 * least(greatest(s / 0.5, 0.3), 1.0) / (60 + r) FROM kw_top UNION ALL SELECT 4, 'topic', segment_id, text, r, 0.15 / (60 + r) FROM around),
+firsts AS (FROM parts QUALIFY row_number() OVER (PARTITION BY signal, segment_id ORDER BY r) = 1),
+fused AS (SELECT segment_id, sum(p) AS raw, count(*) AS n, string_agg(signal, '+' ORDER BY signal) AS names, min(pos) AS pos, arg_min(r, pos) AS r, arg_min(text, pos) AS text, arg_min(signal, pos) AS lead FROM firsts GROUP BY segment_id),
+scored AS (SELECT *, raw * {penalty_sql('w')} AS score FROM (SELECT *, {WORDS_SQL} AS w FROM fused)),
+kept AS (SELECT * FROM scored WHERE (SELECT max(score) FROM scored) >= 0.008 AND score >= greatest(0.008, (SELECT max(score) FROM scored) * 0.15) ORDER BY score DESC, pos, r, segment_id LIMIT 20)
+SELECT segment_id, round(score, 6) AS score, n::int AS signal_count, names AS signal_list, CASE WHEN n > 1 THEN 'hybrid' ELSE lead END AS match_type, md5(text) AS text,
+  coalesce((SELECT string_agg(turn::varchar || ':' || md5(c.text), ',' ORDER BY turn) FROM conversations c WHERE c.conv_id = kept.segment_id), '') AS sentences FROM kept WHERE NOT contains(lower(text), 'license')""",
     "enrich": "SELECT c.segment_id, count(s.turn)::int AS n, coalesce(string_agg(s.turn::varchar || ':' || md5(s.text), ',' ORDER BY s.turn), '') AS sentences FROM (SELECT DISTINCT conv_id AS segment_id FROM conversations WHERE turn = 0) c LEFT JOIN conversations s ON s.conv_id = c.segment_id AND s.turn > 0 GROUP BY c.segment_id",
     "segment_sentences": "SELECT conv_id AS segment_id, turn AS sentence_index, role FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0 AND role = 'user')",
     "segment_sentences_all": "SELECT conv_id AS segment_id, turn AS sentence_index, role FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)",
 }
 
-QUERIES = {f.__name__: f for f in (semantic_topk, semantic_topk_filtered, semantic_direct, topic_segments, search_expanded, topic_centroid, nearest_topic, running_centroid, weighted_centroid, keyword_plain, keyword_or, keyword_not, keyword_phrase, trigram_topk, index_tokens, hybrid_rrf, enrich, segment_sentences, segment_sentences_all)}
+QUERIES = {f.__name__: f for f in (semantic_topk, semantic_topk_filtered, semantic_direct, topic_segments, search_expanded, topic_centroid, nearest_topic, running_centroid, weighted_centroid, keyword_plain, keyword_or, keyword_not, keyword_phrase, trigram_topk, index_tokens, hybrid_rrf, hybrid_search, enrich, segment_sentences, segment_sentences_all)}

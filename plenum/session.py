@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def local_session(cpus: str = "*", name: str = "plenum") -> SparkSession:
@@ -24,6 +26,18 @@ def local_session(cpus: str = "*", name: str = "plenum") -> SparkSession:
     )
 
 
+def shared_dir(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own for a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        return None
+    if spark.sparkContext.applicationId not in _own:
+        _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="plenum-search-")
+    return _own[spark.sparkContext.applicationId]
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in the Python workers, wherever they run; once for each application."""
     context = spark.sparkContext

@@ -66,8 +66,11 @@ def dates(spark: SparkSession, first: str | None = None, last: str | None = None
 
 
 def with_tokens(rows: DataFrame) -> DataFrame:
-    """The token columns that searches read, computed once when a table is written."""
-    return rows.withColumns({"text_search": T.tokens(F.col("text")), "text_search_expanded": T.tokens(T.affix_expand(F.col("text")))})
+    """The token and trigram columns that searches read, computed once when a table is written. Texts without Hebrew
+    have no expanded tokens of their own (null): searches then take the plain ones."""
+    text = F.col("text")
+    expanded = F.when(T.has_hebrew(text), T.tokens(T.affix_expand(text)))
+    return rows.withColumns({"text_search": T.tokens(text), "text_search_expanded": expanded, "text_trigrams": T.trigrams(text)})
 
 
 def deterministic_id(*parts: str | Column) -> Column:
