@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions import constants as C
 
+# The patterns and words of the query grammar.
 _PHRASE = re.compile(r'"([^"]+)"')
 _AND = re.compile(r"\bAND\b", re.IGNORECASE)
 _OR = re.compile(r"\bOR\b|\bאו\b", re.IGNORECASE)

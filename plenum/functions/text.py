@@ -21,6 +21,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def clean_asr(text: Column) -> Column:
     """A character three times or more becomes two, a word three times or more becomes one, white space one blank."""
+    # The three patterns of the cleaning rule.
     text = F.regexp_replace(text, r"(.)\1{2,}", "$1$1")
     text = F.regexp_replace(text, r"(?U)\b(\S+)(?:\s+\1){2,}\b", "$1")
     return F.regexp_replace(F.regexp_replace(text, SPACE, " "), "^ | $", "")

@@ -100,12 +100,18 @@ def runs(bins: DataFrame, key: str, resolution: float = C.BIN_SECONDS, least: fl
 
 def label_bins(speech: DataFrame, labels: DataFrame, media: DataFrame, key: str, music_wins: bool = False, resolution: float = C.BIN_SECONDS) -> DataFrame:
     """(key, bin, label) of each tenth of a second: speech where the detector heard it (unless the classifier says
-    music and ``music_wins``), else the classifier's label (the last span that covers the bin), else silence.
-    ``media``: key, duration; ``speech``: key, start, end; ``labels``: key, start, end, label, span_index."""
+    music and ``music_wins``), else the classifier's label (the last span that covers the bin), else silence. Spans are
+    cut to the recording's length before they are laid out in bins. ``media``: key, duration; ``speech``: key, start, end; ``labels``: key, start, end, label, span_index."""
     # Cast to int truncates, as the bin numbers are meant.
     to_bin = lambda c: (F.col(c) / resolution).cast("int")
     bins = media.select(key, F.explode(F.sequence(F.lit(0), (F.col("duration") / resolution).cast("int"))).alias("bin"))
-    cover = lambda rows: rows.withColumn("bin", F.explode(F.sequence(to_bin("start"), to_bin("end"))))
+    last = media.groupBy(key).agg(F.max((F.col("duration") / resolution).cast("int")).alias("_last"))
+
+    def cover(rows: DataFrame) -> DataFrame:
+        low, high = F.greatest(to_bin("start"), F.lit(0)), F.least(to_bin("end"), F.col("_last"))
+        inside = rows.join(last, key).where(low <= high)
+        return inside.withColumn("bin", F.explode(F.sequence(low, high))).drop("_last")
+
     heard = cover(speech).select(key, "bin").distinct().withColumn("heard", F.lit(True))
     named = cover(labels).groupBy(key, "bin").agg(F.max_by("label", "span_index").alias("cls"))
     rows = bins.join(heard, [key, "bin"], "left").join(named, [key, "bin"], "left")
@@ -130,12 +136,13 @@ def loudness(samples: DataFrame, key: str, rate: int, seconds: float = C.WINDOW_
     return sums.select(key, F.round(F.col("w") * size / rate, 3).alias("start"), F.round((F.col("w") * size + F.col("n")) / rate, 3).alias("end"), F.round(db, 6).alias("db"), F.when(db < C.SILENCE_DB, "silence").otherwise("music").alias("label"))
 
 
-def speech_spans(frames: DataFrame, key: str, rate: int = 16000, size: int = 512, threshold: float = 0.5, least_ms: int = 250, silence_ms: int = 100) -> DataFrame:
+def speech_spans(frames: DataFrame, key: str, rate: int = 16000, size: int = 512, threshold: float = 0.5, least_ms: int = 250, silence_ms: int = 100, lengths: DataFrame | None = None) -> DataFrame:
     """(key, start, end) in samples of speech from frame probabilities (key, i, p).
 
     Speech closes at a frame below the threshold that enough silence follows; where a shorter pause follows, it goes
     on. The number of silent frames behind each frame comes from run lengths, so a fold over each item's frames in
-    order is all that is left; a span open at the end closes there."""
+    order is all that is left; a span open at the end closes there: at the waveform's length (``lengths``: key, samples)
+    or, where that isn't given, at the end of the last frame."""
     by = Window.partitionBy(key).orderBy("i")
     loud = F.col("p") >= threshold
     ahead = by.rowsBetween(1, Window.unboundedFollowing)
@@ -148,5 +155,9 @@ def speech_spans(frames: DataFrame, key: str, rate: int = 16000, size: int = 512
     rows = rows.withColumn("closing", closing).withColumn("g", F.coalesce(F.sum(closing.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     spans = rows.groupBy(key, "g").agg(F.min(F.when(F.col("loud"), F.col("i"))).alias("a"), F.max(F.when(F.col("closing"), F.col("i"))).alias("z"), F.max("last").alias("last"))
     spans = spans.where(F.col("a").isNotNull()).withColumn("z", F.coalesce("z", F.col("last") + 1))
-    out = spans.select(key, (F.col("a") * size).alias("start"), (F.col("z") * size).alias("end"))
+    close = F.col("z") * size
+    if lengths is not None:
+        spans = spans.join(lengths.select(key, "samples"), key, "left")
+        close = F.when(F.col("z") > F.col("last"), F.coalesce("samples", close)).otherwise(close)
+    out = spans.select(key, (F.col("a") * size).alias("start"), close.alias("end"))
     return out.where(F.col("end") - F.col("start") >= int(least_ms * rate / 1000))

@@ -35,6 +35,12 @@ def only(rows: DataFrame, **equal: str | None) -> DataFrame:
     return rows
 
 
+def on_day(rows: DataFrame, day: str, time: str = "segment_time") -> DataFrame:
+    """Rows of one day (yyyy-mm-dd), by a range of the time itself, so that the filter reaches the scan."""
+    start = F.lit(day).cast("date")
+    return rows.where((F.col(time) >= start) & (F.col(time) < F.date_add(start, 1)))
+
+
 def top(rows: DataFrame, by: str, n: int, id_column: str) -> DataFrame:
     return rows.orderBy(F.col(by).desc(), F.col(id_column)).limit(n)
 

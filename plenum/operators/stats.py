@@ -26,6 +26,11 @@ def index_stats(media: DataFrame, segments: DataFrame, sentences: DataFrame) ->
     return out.withColumn("topic_count", F.coalesce("topics", F.lit(0))).drop("topics")
 
 
+def days(rows: DataFrame, time: str = "segment_time") -> DataFrame:
+    """(day, n): the days that occur, and their rows."""
+    return rows.where(F.col(time).isNotNull()).groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n"))
+
+
 def noise_by_type(rows: DataFrame) -> DataFrame:
     return rows.where("is_noise").groupBy("noise_type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "noise_type")
 

@@ -124,7 +124,7 @@ def noise_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def storage_events(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(i, b) for i, b in enumerate(EVENTS)], "i int, body string")
-    found = documents.events(rows)
+    found = documents.events(rows, default_bucket="main")
     bucket, key = times.uri_parts(F.coalesce("key", F.lit("")), "main")
     return found.select("i", F.col("bucket"), F.col("key"), bucket.alias("uri_bucket"), key.alias("uri_key"))
 
@@ -152,6 +152,30 @@ def newest(spark: SparkSession, d: str) -> DataFrame:
     return search.by_topic(rows, spark.createDataFrame([("F",), ("P",)], "topic_id string"), 25)
 
 
+def on_day(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", F.col("ts").alias("segment_time"))
+    first = rows.agg(F.to_date(F.min("segment_time")).cast("string")).first()[0]
+    return search.on_day(rows, first).select("event_id")
+
+
+def distinct_days(spark: SparkSession, d: str) -> DataFrame:
+    return stats.days(table(spark, d, "events").select(F.col("ts").alias("segment_time")))
+
+
+def noise_reset(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as sentences of recordings of seven; those of recordings with a toxic one are cleared."""
+    rows = table(spark, d, "labels").select((F.col("doc_id") / 7).cast("long").alias("media_id"), F.col("doc_id").alias("sentence_index"), (F.col("quality") == 0).alias("is_noise"), F.when(F.col("quality") == 0, "short").alias("noise_type"), "toxic")
+    return noise.reset(rows, rows.where("toxic = 1")).drop("toxic")
+
+
+def label_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as recordings of a second for each turn: user turns are heard as speech, and the classifier calls
+    long turns music and others noise, for longer than the recording lasts."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.55).alias("end"), "role", F.when(F.length("text") > 200, "music").otherwise("noise").alias("label"), F.col("turn").alias("span_index"))
+    media = turns.groupBy("media_id").agg((F.max("start") + 1).alias("duration"))
+    return intervals.label_bins(turns.where("role = 'user'"), turns.where("role <> 'user'"), media, "media_id", True)
+
+
 EVENTS = ['{"Records": [{"s3": {"bucket": {"name": "b1"}, "object": {"key": "a%20b/c_transcript.json"}}}]}', '{"key": "s3://b2/x/y.json"}', '{"bucket": "b3", "key": "k%20k"}', "{}", '{"key": "s3://only"}']
 KEYS = ["kan-bet/2026-03-19_08-00_transcript.json", "tv/ch1/2026-07-01_23-30_transcript.json", "x/none_transcript.json"]
 
@@ -223,13 +247,21 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_cus
     "upsert_ignore": "WITH n AS (SELECT s_suppkey + 40 AS s_suppkey, upper(s_name) AS s_name FROM supplier WHERE s_suppkey % 3 = 0) SELECT s_suppkey, s_name FROM supplier UNION ALL FROM n WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier)",
     "noise_flags": """WITH r AS (SELECT doc_id // 7 AS m, doc_id AS i, quality = 0 AS q, toxic = 1 AS t FROM labels)
 SELECT m AS media_id, i AS sentence_index, CASE WHEN bool_or(t) OVER (PARTITION BY m) THEN t ELSE q END AS is_noise, CASE WHEN bool_or(t) OVER (PARTITION BY m) THEN CASE WHEN t THEN 'commercial' END WHEN q THEN 'short' END AS noise_type FROM r""",
-    "storage_events": "SELECT * FROM (VALUES (0, 'b1', 'a b/c_transcript.json', 'main', 'a b/c_transcript.json'), (1, NULL, 's3://b2/x/y.json', 'b2', 'x/y.json'), (2, 'b3', 'k%20k', 'main', 'k%20k'), (3, NULL, NULL, 'main', ''), (4, NULL, 's3://only', 'only', '')) t(i, bucket, key, uri_bucket, uri_key)",
+    "storage_events": "SELECT * FROM (VALUES (0, 'b1', 'a b/c_transcript.json', 'main', 'a b/c_transcript.json'), (1, 'main', 's3://b2/x/y.json', 'b2', 'x/y.json'), (2, 'b3', 'k%20k', 'main', 'k%20k'), (3, NULL, NULL, 'main', ''), (4, 'main', 's3://only', 'only', '')) t(i, bucket, key, uri_bucket, uri_key)",
     "key_times": """SELECT * FROM (VALUES
 (0, 'kan-bet', 'radio', 'kan-bet/2026-03-19_08-00_diarized.json', 'kan-bet/2026-03-19_08-00.mp3', '2026-03-19 08:00:00', '2026-03-19 06:00:00', '2026-03-19 06:01:30'),
 (1, 'tv/ch1', 'tv', 'tv/ch1/2026-07-01_23-30_diarized.json', 'tv/ch1/2026-07-01_23-30.mp4', '2026-07-01 23:30:00', '2026-07-01 20:30:00', '2026-07-01 20:31:30'),
 (2, 'x', 'radio', 'x/none_diarized.json', 'x/none.mp3', NULL, '2026-03-18 19:30:00', '2026-03-18 19:31:30')) t(i, station, media_type, diarized, audio, utc, local, later)""",
     "vector_cases": "SELECT * FROM (VALUES (0, '0,1', 1.0::double), (1, NULL, 0.0::double), (2, '3,4', 0.8::double), (3, NULL, 0.0::double)) t(i, clean, cosine)",
     "date_range": "SELECT range::date AS day FROM range(DATE '2026-02-26', DATE '2026-03-03', INTERVAL 1 DAY)",
+    "on_day": "SELECT event_id FROM events WHERE ts::date = (SELECT min(ts)::date FROM events)",
+    "distinct_days": "SELECT ts::date AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+    "noise_reset": """WITH r AS (SELECT doc_id // 7 AS m, doc_id AS i, quality = 0 AS q, bool_or(coalesce(toxic = 1, false)) OVER (PARTITION BY doc_id // 7) AS hit FROM labels)
+SELECT m AS media_id, i AS sentence_index, CASE WHEN hit THEN false ELSE q END AS is_noise, CASE WHEN NOT hit AND q THEN 'short' END AS noise_type FROM r""",
+    "label_bins": """WITH t AS (SELECT conv_id AS m, turn, turn * 10 AS a, trunc((turn + 1.55::double) / 0.1::double)::int AS b, role = 'user' AS heard, CASE WHEN length(text) > 200 THEN 'music' ELSE 'noise' END AS label FROM conversations),
+bins AS (SELECT m, unnest(range(0, trunc((max(turn) + 1) / 0.1::double)::int + 1)) AS bin FROM t GROUP BY m),
+seen AS (SELECT bins.m, bins.bin, coalesce(bool_or(heard), false) AS heard, arg_max(label, turn) FILTER (WHERE NOT heard) AS cls FROM bins LEFT JOIN t ON t.m = bins.m AND bins.bin BETWEEN t.a AND t.b GROUP BY ALL)
+SELECT m AS media_id, bin::int AS bin, CASE WHEN heard AND cls = 'music' THEN 'music' WHEN heard THEN 'speech' ELSE coalesce(cls, 'silence') END AS label FROM seen""",
     "newest": "SELECT o_orderkey AS id, o_orderstatus AS topic_id, o_orderdate AS segment_time FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate DESC, o_orderkey LIMIT 25",
 }
-QUERIES = {f.__name__: f for f in (speaker_assign, noise_overlap, merge_adjacent, label_runs, label_durations, loudness, speech_spans, ad_spans, segment_group, topic_assign, index_stats, hier_join_stats, index_skip, upsert_replace, upsert_ignore, noise_flags, storage_events, key_times, vector_cases, date_range, newest)}
+QUERIES = {f.__name__: f for f in (speaker_assign, noise_overlap, merge_adjacent, label_runs, label_durations, loudness, speech_spans, ad_spans, segment_group, topic_assign, index_stats, hier_join_stats, index_skip, upsert_replace, upsert_ignore, noise_flags, storage_events, key_times, vector_cases, date_range, newest, on_day, distinct_days, noise_reset, label_bins)}

@@ -32,13 +32,14 @@ def positions(docs: DataFrame, keys: list[str]) -> DataFrame:
     return docs.select(*keys, F.posexplode("segments").alias("position", "s")).select(*keys, "position", "s.*")
 
 
-def events(lines: DataFrame, body: str = "body") -> DataFrame:
-    """(bucket, key) of storage events: the first record if there is one, its key URL-decoded; else the plain fields;
-    an event with neither has a null key."""
+def events(lines: DataFrame, body: str = "body", default_bucket: str | None = None) -> DataFrame:
+    """(bucket, key) of storage events: the first record if there is one, its key URL-decoded; else the plain fields.
+    An event that names no bucket has the default one; one with neither record nor key has neither."""
     e = F.from_json(body, schemas.EVENT)
     record = F.try_element_at(e["Records"], F.lit(1))
-    key = record["s3"]["object"]["key"]
-    return lines.withColumns({"bucket": F.coalesce(record["s3"]["bucket"]["name"], e["bucket"]), "key": F.coalesce(F.try_url_decode(key), e["key"])})
+    key = F.coalesce(F.try_url_decode(record["s3"]["object"]["key"]), e["key"])
+    bucket = F.coalesce(record["s3"]["bucket"]["name"], e["bucket"], F.lit(default_bucket).cast("string"))
+    return lines.withColumns({"bucket": F.when(key.isNotNull() | e["Records"].isNotNull(), bucket), "key": key})
 
 
 def pending(listed: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
