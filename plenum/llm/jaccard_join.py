@@ -50,7 +50,7 @@ from plenum.llm.textbytes import buffers, groups, mix, shingles, words
 HOT, HOT_KEYS, BLOCK, FANOUT = 64, 1 << 21, 512, 8
 #: Most documents, and shingles of them together, that are compared in one task.
 GROUP_ROWS, GROUP_SHINGLES = 4096, 1 << 20
-LEAST_BITS, MOST_BITS, MOST_WORDS = 256, 1 << 15, 1 << 19
+LEAST_BITS, MOST_BITS, MOST_WORDS = 256, 1 << 17, 1 << 19
 HEADS = "doc_id long, n int, d1 long, d2 long, pre array<long>, sig binary"
 #: A node's name: its smallest doc_id and half of its set's digest, which tells apart the sets of rows with one doc_id.
 NODE = ["rep", "d1"]
@@ -76,9 +76,9 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
 
 
 def signature(own: np.ndarray) -> bytes:
-    """A bitmap of one to two bits for each shingle, packed; its width is a power of two."""
+    """A bitmap of two to four bits for each shingle, packed; its width is a power of two."""
     width = LEAST_BITS
-    while width < len(own) and width < MOST_BITS:
+    while width < 2 * len(own) and width < MOST_BITS:
         width *= 2
     flags = np.zeros(width, np.uint8)
     flags[own.view(np.uint64) & np.uint64(width - 1)] = 1
