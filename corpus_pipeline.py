@@ -1,7 +1,16 @@
 """The corpus pipeline: each stage applies one of the training-data operators to all its predecessor kept.
 
-Rows with null texts go through every stage as empty ones. Columns beyond those of ``documents`` are carried along up
-to the last stage, which returns doc_id, n_tokens and ids.
+Columns beyond those of ``documents`` are carried along, whatever their names, up to the last stage, which returns
+doc_id, n_tokens and ids. Cases that all stages define alike:
+
+- Null and empty texts: scored like a text without features by the first two stages (so all of them stay or all go),
+  never near copies, never contaminated, encoded as no ids. Null doc_id: the row goes through every stage on its own
+  text and is never dropped as a near copy.
+- Very long texts: read whole by every stage.
+- Repeated rows and ties: equal texts get equal scores; of equal or near texts the smallest doc_id stays, of rows that
+  share it the least by text; a row that is repeated exactly stays once.
+- Empty table: every stage returns no rows, with the same columns. No labels, or none that tell anything: a model that
+  has learnt no term rejects nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plenum.llm import decontaminate, jaccard_join, quality, sentencepiece_codec, toxicity
 from plenum.llm.entry import tokenizer_file
-from plenum.llm.scratch import materialise
+from plenum.llm.scratch import materialise, unused
 from plenum.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,15 +35,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     ship(spark)
-    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).drop("score")
+    model, name = quality.fit(docs, _table(spark, sf_dir, "labels")), unused(docs, "score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     ship(spark)
-    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    model, name = toxicity.fit(docs, _table(spark, sf_dir, "labels")), unused(docs, "score")
+    if not model.weights.any():
+        return docs
+    return toxicity.score(docs, model, name=name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

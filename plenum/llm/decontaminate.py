@@ -7,14 +7,17 @@ A filter of the benchmark's hashes (three bits each, its size bounded by ``MAX_B
 scan; what it lets through meets the benchmark's hashes in an exact join. Each hit names a document, an item and a
 diagonal; there the tokens themselves are compared: a document overlaps an item if in some window of ``WINDOW`` tokens
 (the whole item, if that is shorter) at least four fifths are equal. Items of fewer than ``SPAN`` tokens are looked for
-by plain five-token hashes and must be found whole and equal; shorter ones than that prove nothing and are not used.
+by plain hashes of five tokens (of all, if they have fewer) and must be found whole and equal. ``overlaps`` reports
+items of every length; ``clean`` lets documents stay that hold items of fewer than ``least_tokens`` (five) tokens only,
+because a word or two in common doesn't mean that a benchmark has leaked.
 
 Tokens are runs of letters and digits, in lower case (A-Z). Benchmark items with equal tokens are one for the search
 and all reported. A passage that a third of all documents hold costs a hit row for each and no group of them is ever
 collected; hot hashes only meet the few items that have them.
 
 Null or empty texts on either side: no overlap. Null doc_id or item_id: kept and reported as null. Repeated rows: each
-is reported. Empty tables: no overlaps. Extra columns are kept by ``clean``.
+is reported. Empty tables: no overlaps. Extra columns are kept by ``clean``, whatever their names. A document's key is
+its doc_id and the MD5 of its text; rows that agree in both are one document here, reported once and removed together.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenum.llm.key_filter import key_filter
 from plenum.llm.scratch import materialise
 from plenum.llm.textbytes import LOWER, NON_WORD, buffers, groups, mix, powers, words
 
@@ -37,10 +41,17 @@ SHORT = 5
 MIN_BITS, MAX_BITS, BITS_PER_HASH = 1 << 22, 1 << 28, 64
 
 
+def item_masks(tokens: int) -> list[int]:
+    """The masks under which an item is looked for; numbers from len(MASKS) on are plain ones of five tokens down to
+    one."""
+    return list(range(len(MASKS))) if tokens >= SPAN else [len(MASKS) + SHORT - min(SHORT, tokens)]
+
+
 def seed_hashes(word: np.ndarray, mask: int) -> np.ndarray:
-    """Hashes of all windows of one text under a mask; number len(MASKS) is the plain short one."""
-    taken = [i for i, c in enumerate(MASKS[mask]) if c == "1"] if mask < len(MASKS) else list(range(SHORT))
-    count = len(word) - (len(MASKS[mask]) if mask < len(MASKS) else SHORT) + 1
+    """Hashes of all windows of one text under a mask."""
+    plain = SHORT - mask + len(MASKS)
+    taken = [i for i, c in enumerate(MASKS[mask]) if c == "1"] if mask < len(MASKS) else list(range(plain))
+    count = len(word) - (len(MASKS[mask]) if mask < len(MASKS) else plain) + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
     total = np.full(count, mask + 1, np.uint64)
@@ -69,7 +80,7 @@ def benchmark_items(bench: DataFrame) -> DataFrame:
             for low in range(0, len(batch), 200):
                 keys, own, hs, ps = [], [], [], []
                 for word in _texts(batch.column(0).slice(low, 200)):
-                    found = [seed_hashes(word, m) for m in (range(len(MASKS)) if len(word) >= SPAN else [len(MASKS)])]
+                    found = [seed_hashes(word, m) for m in item_masks(len(word))] if len(word) else [np.zeros(0, np.uint64)]
                     keys.append(_digest(word))
                     own.append(word.tobytes())
                     hs.append(np.concatenate(found).view(np.int64).tolist())
@@ -103,13 +114,12 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def candidates(docs: DataFrame, bits: np.ndarray, short: bool) -> DataFrame:
+def candidates(docs: DataFrame, bits: np.ndarray, masks: list[int]) -> DataFrame:
     """(key, doc_id, own, hs, ps) of the documents of which some window passes the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    masks = range(len(MASKS) + short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,15 +129,17 @@ def candidates(docs: DataFrame, bits: np.ndarray, short: bool) -> DataFrame:
                 for m in masks:
                     h = seed_hashes(word, m)
                     at = np.flatnonzero(_passes(shared.value, h))
+                    if m > len(MASKS):  # the whole of a very short item: its first place will do
+                        at = np.sort(at[np.unique(h[at], return_index=True)[1]])
                     hs += h[at].view(np.int64).tolist()
                     ps += at.tolist()
                 if hs:
                     rows.append({"key": batch.column(0)[i].as_py(), "doc_id": batch.column(1)[i].as_py(), "own": word.tobytes(), "hs": hs, "ps": ps})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("own", pa.binary()), ("hs", pa.list_(pa.int64())), ("ps", pa.list_(pa.int32()))]))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("own", pa.binary()), ("hs", pa.list_(pa.int64())), ("ps", pa.list_(pa.int32()))]))
 
     rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, doc_id long, own binary, hs array<long>, ps array<int>")
+    return rows.mapInArrow(run, "key string, doc_id long, own binary, hs array<long>, ps array<int>")
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -145,17 +157,18 @@ def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return low + diagonal + at, int(found[at]), window
 
 
-OVERLAPS = "key long, doc_id long, item long, place int, equal int, window int"
+OVERLAPS = "key string, doc_id long, item long, place int, equal int, window int"
 
 
 def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """(key, doc_id, item_id, place, equal, window): every document and item that overlap, by their best window; key
-    is xxhash64(doc_id, text)."""
+    is that of a document (the module's docstring)."""
     docs = docs.select("doc_id", "text")
     items = materialise(benchmark_items(bench), "items")
     hashes = items.select("item", F.posexplode("hs").alias("i", "h"), "ps").select("item", "h", F.col("ps")[F.col("i")].alias("at"))
-    short = items.where(F.length("own") < 8 * SPAN).limit(1).count() > 0
-    found = materialise(candidates(docs, _filter(hashes.select("h")), short), "hits")
+    lengths = items.select(F.least(F.length("own") / 8, F.lit(SPAN)).cast("int").alias("n")).distinct().collect()  # twelve rows at most
+    masks = sorted({m for r in lengths for m in item_masks(r["n"])})
+    found = materialise(candidates(docs, _filter(hashes.select("h")), masks), "hits")
     hits = found.select("key", "ps", F.posexplode("hs").alias("i", "h")).select("key", "h", F.col("ps")[F.col("i")].alias("p"))
     met = hits.join(hashes, "h").select("key", "item", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
     texts = found.select("key", "doc_id", F.col("own").alias("doc")).dropDuplicates(["key"])
@@ -168,7 +181,7 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 if best := best_window(np.frombuffer(doc, np.uint64), np.frombuffer(own, np.uint64), diagonal):
                     rows.append((key, doc_id, item, *best))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "doc_id", "item", "place", "equal", "window"])
 
     best = pairs.mapInArrow(run, OVERLAPS).groupBy("key", "item").agg(F.max(F.struct("equal", (-F.col("place")).alias("back"), "doc_id", "window")).alias("b"))
@@ -187,7 +200,11 @@ def item_keys(names: DataFrame) -> DataFrame:
     return names.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, item long")
 
 
-def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap some item."""
-    bad = overlaps(docs, bench).select(F.col("key").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(F.col("doc_id"), F.col("text")) == F.col("_bad"), "left_anti")
+def clean(docs: DataFrame, bench: DataFrame, least_tokens: int = SHORT) -> DataFrame:
+    """``docs`` without the documents that overlap some item of at least ``least_tokens`` tokens."""
+    bad = materialise(overlaps(docs, bench).where(F.col("window") >= least_tokens).select("key").distinct(), "bad")
+    # Only rows that a filter can't clear are shuffled. The row is one struct, so that no column of it clashes with ours.
+    rows = docs.select(_key().alias("key"), F.struct("*").alias("row"))
+    flagged = key_filter(bad, "key").flagged(rows, ["key"], "met")
+    kept = flagged.where("met").join(bad, "key", "left_anti").select("row")
+    return flagged.where("not met").select("row").unionByName(kept).select("row.*")
