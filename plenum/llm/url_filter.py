@@ -9,7 +9,9 @@ hash join, which removes false positives; the longest rule wins (then the longer
 The filter is built by an aggregation on the cluster; its size follows from the number of rules and is limited by
 ``MAX_BLOCKS``, so broadcasting it has a proven bound (beyond it false positives grow and results stay the same).
 The rules are broadcast up to ``BROADCAST_RULES`` and joined by a salted shuffle beyond, so that one rule that a
-third of all URLs meet is no hot key. Rules are found once for each distinct (host, path).
+third of all URLs meet is no hot key. Rules are found once for each distinct (host, path). URLs that a bit filter of the
+(host, path) with a rule clears, those without a host among them, get the default without a join; the others meet their
+rule in a join of which both sides are plain scans, so that Spark can split a page that very many rows share.
 
 Null URL, or one without "://": host and path are empty, no rule, verdict ``default``. Repeated rows stay repeated.
 Empty host: no rule fits. Empty tables give no rows; an empty rule list gives the default. Extra columns are kept;
@@ -23,6 +25,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenum.llm.key_filter import key_filter
+from plenum.llm.scratch import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_RULE, MAX_BLOCKS, BROADCAST_RULES, SALTS = 16, 1 << 18, 100_000, 16
 RULE_SCHEMA = "action string, host string, path string"
@@ -38,8 +43,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def _probe(rows: DataFrame, blocks: int) -> DataFrame:
     """``rows`` with the block of their key and a mask of one bit for each of the block's four words, for ``key``."""
     bits = F.xxhash64(F.lit(7), "key")
-    rows = rows.withColumns({"block": F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"), "_bits": bits})
-    return rows.withColumns({f"m{i}": F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_bits, {12 * i}) & 63 as int))") for i in range(4)}).drop("_bits")
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"), "bits": bits})
+    return rows.withColumns({f"m{i}": F.expr(f"shiftleft(1L, cast(shiftrightunsigned(bits, {12 * i}) & 63 as int))") for i in range(4)}).drop("bits")
 
 
 def bloom_filter(rules: DataFrame, n_rules: int) -> tuple[DataFrame, int]:
@@ -56,9 +61,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     # Distinct path lengths: as many as the longest listed path has characters at most.
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     host, path = host_and_path(F.col(url))
-    rows = pages.withColumns({"_host": host, "_path": path}).drop("host", "path", "rule", "verdict").withColumnsRenamed({"_host": "host", "_path": "path"})
+    # The input row is one struct, so that no column of it can clash with ours.
+    rows = pages.select(host.alias("host"), path.alias("path"), F.struct("*").alias("row"))
+    kept = [F.col("row").getField(c).alias(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    none = rows.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     if not n_rules:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return none
     bloom, blocks = bloom_filter(rules, n_rules)
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -79,9 +87,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         hits = possible.join(listed.hint("shuffle_hash"), ["h", "p", "salt"])
     rule = F.concat("h", "p")
     order = F.struct(F.length(rule).alias("n"), F.length("h").alias("hn"), F.col("action").alias("action"), rule.alias("rule"))
-    best = hits.groupBy("host", "path").agg(F.max(order).alias("_best"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.action", F.lit(default))}).drop("_best")
+    best = materialise(hits.groupBy("host", "path").agg(F.max(order).alias("best")), "rules")
+    flagged = key_filter(best, "host", "path").flagged(rows, ["host", "path"], "met")
+    ruled = flagged.where("met").join(best, ["host", "path"], "left")
+    clear = flagged.where("not met").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    out = clear.select("row", "host", "path", "best").unionByName(ruled.select("row", "host", "path", "best"))
+    return out.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 # The rules of the registered query.
