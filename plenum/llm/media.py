@@ -1,11 +1,11 @@
 """Media columns: a Spark data source over folders of archives.
 
-Format ``plenum_archive``. Writing packs rows (name, media) into zip archives, a task's own, which the commit on the
-driver makes visible all together. Reading plans byte ranges of the archives on the driver from nothing but their
-sizes; a task opens the archive, reads its central directory (bounded by the archive size), takes the members whose
+Format ``plenum_archive``. Writing packs rows (name, media) into zip archives, a task's own, under their final names;
+the commit on the driver writes one manifest with their names and sizes, which makes them visible all together. Reading
+plans byte ranges of the archives on the driver from the manifests alone; a task opens the archive, reads its central directory (bounded by the archive size), takes the members whose
 offset falls into its range, and streams them as Arrow batches of bounded size. Each member is read by itself from its
-offset: opened, checked against its length and CRC, and tried again when that fails, so that one broken read costs one
-member and not the task. After the last try the member comes back with ``error`` set and no media.
+offset: opened, checked against its length and CRC, and tried again (after a pause that doubles) when that fails, so
+that one broken read costs one member and not the task. After the last try the member comes back with ``error`` set and no media.
 
 Files are reached through pyarrow's filesystems (file, hdfs, viewfs, s3, ...); the folder is a shared one.
 
@@ -17,7 +17,9 @@ give equal media. Repeated rows stay repeated. Empty table: no archives, no rows
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -39,6 +41,8 @@ SCHEMA = "archive string, offset long, name string, media binary, error string"
 ARROW_SCHEMA = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("name", pa.string()), ("media", pa.binary()), ("error", pa.string())])
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 64 << 20, 8 << 20, 4 << 20, 3
 UNIT = 64
+#: Seconds before the second try; beginning of a manifest's name.
+PAUSE, MANIFEST = 0.2, "_manifest-"
 
 
 def filesystem(path: str):
@@ -59,7 +63,7 @@ class Range(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[str]
+    archives: list[tuple[str, int]]
 
 
 def read_member(store, archive: str, info: zipfile.ZipInfo) -> bytes:
@@ -87,9 +91,12 @@ class ArchiveReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = filesystem(self.path)
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        archives = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".zip"))
-        return [Range(a, x, min(n, x + self.range_bytes)) for a, n in archives for x in range(0, n, self.range_bytes)] or [Range("", 0, 0)]
+        archives = []
+        for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if f.is_file and f.base_name.startswith(MANIFEST):
+                with store.open_input_file(f.path) as manifest:
+                    archives += [(f"{root}/{name}", n) for name, n in json.loads(manifest.read())]
+        return [Range(a, x, min(n, x + self.range_bytes)) for a, n in sorted(archives) for x in range(0, n, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
@@ -100,7 +107,9 @@ class ArchiveReader(DataSourceReader):
         rows, held = [], 0
         for info in members:
             media, error = None, None
-            for _ in range(self.tries):
+            for attempt in range(self.tries):
+                if attempt:
+                    time.sleep(PAUSE * 2 ** (attempt - 1))
                 try:
                     media, error = read_member(store, partition.archive, info), None
                     break
@@ -119,42 +128,49 @@ class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, path: str, archive_bytes: int):
         self.path, self.archive_bytes = path, archive_bytes
         store, root = filesystem(path)
-        store.create_dir(f"{root}/_pending", recursive=True)
+        store.create_dir(root, recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = filesystem(self.path)
-        names: list[str] = []
-        sink = archive = None
+        written: list[tuple[str, int]] = []
+        name = sink = archive = None
         held = 0
+
+        def close() -> None:
+            archive.close()
+            written.append((name, sink.tell()))
+            sink.close()
+
         for batch in iterator:
             media = batch.column(batch.schema.get_field_index("media"))
-            for name, one in zip(batch.column(batch.schema.get_field_index("name")).to_pylist(), media):
+            for member, one in zip(batch.column(batch.schema.get_field_index("name")).to_pylist(), media):
                 if archive is None:
-                    names.append(f"{uuid.uuid4().hex}.zip")
-                    sink = store.open_output_stream(f"{root}/_pending/{names[-1]}")
+                    name = f"{uuid.uuid4().hex}.zip"
+                    sink = store.open_output_stream(f"{root}/{name}")
                     archive, held = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED, compresslevel=1), 0
                 data = memoryview(one.as_buffer() or b"")
-                archive.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED, 1)
+                archive.writestr(zipfile.ZipInfo(member), data, zipfile.ZIP_DEFLATED, 1)
                 held += len(data)
                 if held >= self.archive_bytes:
-                    archive.close()
-                    sink.close()
+                    close()
                     archive = None
         if archive is not None:
-            archive.close()
-            sink.close()
-        return Written(names)
+            close()
+        return Written(written)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Archives of failed or repeated attempts are in no message and never become visible."""
+        """Archives of failed or repeated attempts are in no message, so no manifest names them and no reader sees
+        them."""
         store, root = filesystem(self.path)
-        for name in (n for m in messages if m for n in m.names):
-            store.move(f"{root}/_pending/{name}", f"{root}/{name}")
-        store.delete_dir(f"{root}/_pending")
+        own = f"{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{root}/_new-{own}") as f:
+            f.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
+        store.move(f"{root}/_new-{own}", f"{root}/{MANIFEST}{own}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, root = filesystem(self.path)
-        store.delete_dir(f"{root}/_pending")
+        for name, _ in (a for m in messages if m for a in m.archives):
+            store.delete_file(f"{root}/{name}")
 
 
 class ArchiveSource(DataSource):
