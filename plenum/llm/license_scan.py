@@ -24,6 +24,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenum.llm.scratch import unused
+
 # The known licence sentences of one-line notices, some cut to their beginning.
 SENTENCES = {
     1: "Licensed under the Apache License, Version 2.0.",
@@ -46,6 +48,9 @@ SENTENCES = {
     18: "SPDX-License-Identifier: Apache-2.0",
     19: "SPDX-License-Identifier: MIT",
 }
+# The identifiers of other one-line notices in SPDX form.
+SPDX = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "BSL-1.0", "Zlib")
+SENTENCES |= {60 + i: f"SPDX-License-Identifier: {x}" for i, x in enumerate(SPDX)}
 # The ordered rules (licence, sentence identifiers in their order).
 RULES = [
     ("Apache-2.0", (1, 6, 7)),
@@ -67,6 +72,7 @@ RULES = [
     ("CC0-1.0", (17,)),
     ("all-rights-reserved", (5,)),
 ]
+RULES += [(x, (60 + i,)) for i, x in enumerate(SPDX)]
 # The licences' whole sentences, wherever they are wrapped and whatever stands around them. Where a name is
 # to be filled in, the sentence begins behind it.
 WHOLE = {
@@ -82,6 +88,25 @@ WHOLE = {
     29: "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     30: "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
 }
+WHOLE |= {
+    31: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    32: "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    33: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    34: "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    35: "dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    36: "waived all copyright and related or neighboring rights to",
+    37: "Distributed under the Boost Software License, Version 1.0.",
+    38: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    39: "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+}
+# Notices that differ in a name and a version only: (licence, name, version) of the GNU ones, where the program's name
+# stands in front, and (suffix, name) of the Creative Commons ones.
+GNU = [("LGPL-2.0-or-later", "Library ", "2"), ("LGPL-2.1-or-later", "Lesser ", "2.1"), ("LGPL-3.0-or-later", "Lesser ", "3"), ("AGPL-3.0-or-later", "Affero ", "3")]
+COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+FAMILIES = [(licence, f"is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.") for licence, name, version in GNU]
+FAMILIES += [(f"CC-{s}-{v}", text) for s, name in COMMONS for v, port in (("4.0", "International"), ("3.0", "Unported")) for text in (f"is licensed under a Creative Commons {name} {v} {port} License.", f"is licensed under CC {s} {v}")]
+FAMILY_IDS = {100 + i: x for i, x in enumerate(FAMILIES)}
+WHOLE |= {i: text for i, (_, text) in FAMILY_IDS.items()}
 WHOLE |= {i: SENTENCES[i] for i in (6, 7, 9, 14)}
 # Beginnings of sentences; they count only where a piece is just that.
 CUT = {8, 10, 12, 13}
@@ -99,7 +124,17 @@ WHOLE_RULES = [
     ("GPL-2.0-or-later", (28,)),
     ("GPL-3.0-or-later", (29,)),
     ("GPL-2.0-or-later", (30,)),
+    ("ISC", (31,)),
+    ("ISC", (32,)),
+    ("MPL-2.0", (33,)),
+    ("CC0-1.0", (34,)),
+    ("CC0-1.0", (35,)),
+    ("CC0-1.0", (36,)),
+    ("BSL-1.0", (37,)),
+    ("Zlib", (38,)),
+    ("GPL-2.0-only", (39,)),
 ]
+WHOLE_RULES += [(licence, (i,)) for i, (licence, _) in FAMILY_IDS.items()]
 SPLIT = r"\n|[.!?;][ \t]+"
 DROPPED = r"[^a-z0-9]+"
 
@@ -123,31 +158,38 @@ def _pattern() -> str:
     one piece or, if they aren't cut, several. Longer ones come first."""
 
     def any_of(table: dict[int, str]) -> str:
-        found = sorted(((normalise(s), i) for i, s in table.items()), key=lambda x: -len(x[0]))
-        return "(?:" + "|".join(s if i in CUT else s.replace(" ", "[ \\n]") for s, i in found) + ")"
+        # By first word, so that few alternatives are tried at a place.
+        found: dict[str, list[str]] = {}
+        for s, i in sorted(((normalise(s), i) for i, s in table.items()), key=lambda x: (-len(x[0]), x[1])):
+            first, _, rest = s.partition(" ")
+            found.setdefault(first, []).append(f" {rest}" if i in CUT else "[ \\n]" + rest.replace(" ", "[ \\n]"))
+        return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(found.items())) + ")"
 
     return rf"(?<=[ \n]){any_of(WHOLE)}(?=[ \n])|(?<=\n){any_of({i: s for i, s in SENTENCES.items() if i not in WHOLE})}(?=\n)"
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with sentence_ids (of the known sentences, in order), n_sentences and licenses (sorted names)."""
+    p, r, h = unused(docs, "parts"), unused(docs, "rest"), unused(docs, "hit")
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), SPLIT), _key), lambda s: s != "")
     known = _known()
-    lines = F.concat(F.lit("\n"), F.array_join("_parts", "\n"), F.lit("\n"))
+    lines = F.concat(F.lit("\n"), F.array_join(p, "\n"), F.lit("\n"))
     ids = F.transform(F.regexp_extract_all(lines, F.lit(_pattern()), F.lit(0)), lambda s: known[F.replace(s, F.lit("\n"), F.lit(" "))])
     rest: Column = F.concat(F.lit(","), F.array_join(F.transform(F.col("sentence_ids"), lambda i: F.concat(i, F.lit(","))), ","), F.lit(","))
-    out = docs.drop("sentence_ids", "n_sentences", "licenses").withColumn("_parts", parts)
-    out = out.withColumn("n_sentences", F.size("_parts")).withColumn("sentence_ids", ids).drop("_parts")
+    out = docs.drop("sentence_ids", "n_sentences", "licenses").withColumn(p, parts)
+    out = out.withColumn("n_sentences", F.size(p)).withColumn("sentence_ids", ids).drop(p)
     # Each identifier stands between its own commas: ",1,,6,". A claimed run becomes "#".
-    out = out.withColumn("_rest", rest)
-    hits = []
-    for n, (name, rule) in enumerate(sorted(RULES + WHOLE_RULES, key=lambda r: -len(r[1]))):
+    out, hits, flags = out.withColumn(r, rest), [], []
+    for name, rule in sorted(RULES + WHOLE_RULES, key=lambda x: -len(x[1])):
         run = ",,".join(map(str, rule))
-        found = F.col("_rest").contains(f",{run},")
-        hits.append(F.when(F.col(f"_hit{n}"), F.lit(name)))
-        out = out.withColumn(f"_hit{n}", found) if len(rule) == 1 else out.withColumn(f"_hit{n}", found).withColumn("_rest", F.replace(F.col("_rest"), F.lit(f",{run},"), F.lit("#")))
+        found = F.col(r).contains(f",{run},")
+        if len(rule) > 1:
+            flags.append(f"{h}{len(flags)}_")
+            out = out.withColumn(flags[-1], found).withColumn(r, F.replace(F.col(r), F.lit(f",{run},"), F.lit("#")))
+            found = F.col(flags[-1])
+        hits.append(F.when(found, F.lit(name)))
     out = out.withColumn("licenses", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))))
-    return out.drop("_rest", *[f"_hit{n}" for n in range(len(hits))])
+    return out.drop(r, *flags)
 
 
 def _sql() -> str:
