@@ -15,6 +15,7 @@ length stays in one segment.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -102,7 +103,7 @@ class Segment:
         return ids
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, ChunkEncoder | WholeTexts] = {}
 
 
 #: ASCII punctuation that never joins a letter in one token (the apostrophe does).
@@ -132,12 +133,41 @@ def chunk_ids(model) -> Callable[[list[str]], list[list[int]]]:
     return lambda chunks: [of(c) for c in chunks]
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a tokenizers file whose pattern drops white space, so that no token holds any."""
+# The normaliser and the pre-tokenizer that part a text at white space and at marks as assumed above.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def separable(form: dict) -> bool:
+    """May texts be cut into words and marks for the tokenizers file with this content?"""
+    parts = (form.get("pre_tokenizer") or {}).get("pretokenizers")
+    special = [t["content"] for t in form.get("added_tokens") or []]
+    return form.get("normalizer") == _NORMALIZER and parts == [_SPLIT, _BYTES] and (form.get("model") or {}).get("type") == "BPE" and all("<|" in t and not any(c.isspace() for c in t) for t in special)
+
+
+class WholeTexts:
+    """Encodes with any tokenizers file, text by text."""
+
+    def __init__(self, model):
+        self._model = model
+
+    def encode(self, raw: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        data = raw.tobytes()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        ids = [[*e.ids, end_id] for e in self._model.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
+
+def encoder(path: str) -> ChunkEncoder | WholeTexts:
+    """The worker's encoder for a tokenizers file."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        _encoders[path] = ChunkEncoder(chunk_ids(Tokenizer.from_file(path)), word_and_marks)
+        model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            fits = separable(json.load(f))
+        _encoders[path] = ChunkEncoder(chunk_ids(model), word_and_marks) if fits else WholeTexts(model)
     return _encoders[path]
 
 

@@ -110,9 +110,10 @@ def library_model(model: SentencePieceModel):
 
     unk = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
     if model.kind == UNIGRAM:
-        # Pieces that never match text get names that no text has.
-        vocab = [(p if t in (NORMAL, USER, BYTE, UNKNOWN) else f"\x00{p}", s if t in (NORMAL, USER) else -1e4) for p, s, t in model.pieces]
-        return models.Unigram(vocab, unk, model.byte_fallback)
+        # Pieces that never match text get names that no text has, and no score below the others: the library derives
+        # what an unknown character costs from the least one. Codec turns unknown stretches into their byte pieces.
+        vocab = [(p, s) if t in (NORMAL, USER) else (f"\x00{p}", 0.0) for p, s, t in model.pieces]
+        return models.Unigram(vocab, unk, False)
     ids = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     score = {p: s for p, s, t in model.pieces if t in (NORMAL, USER)}
     merges = [(-score[p], ids[p], p[:i], p[i:]) for p in score for i in range(1, len(p)) if p[:i] in score and p[i:] in score]
@@ -151,7 +152,9 @@ class Codec:
         bare = Tokenizer(library_model(self.model))
         blank = np.zeros(256, bool)
         blank[0x20] = True
-        self._chunks = ChunkEncoder(lambda texts: [e.ids for e in bare.encode_batch_fast(texts, add_special_tokens=False)], end=re.compile(b" "), blank=blank, kept=KEPT_CHUNKS)
+        self._bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.model.pieces) if t == BYTE}
+        self._unknown = next((i for i, p in enumerate(self.model.pieces) if p[2] == UNKNOWN), -1)
+        self._chunks = ChunkEncoder(lambda texts: self._batch(bare, texts), end=re.compile(b" "), blank=blank, kept=KEPT_CHUNKS)
         surfaces = []
         for piece, _, kind in self.model.pieces:
             own = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNUSED: lambda p: b"", UNKNOWN: lambda p: self.model.unk_surface.encode()}
@@ -164,6 +167,17 @@ class Codec:
         """The whole tokenizer; texts that can be cut into chunks don't need it."""
         return library_tokenizer(self.model)
 
+    def _batch(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        if self.model.kind == BPE or not self.model.byte_fallback:
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for e in tokenizer.encode_batch(texts, add_special_tokens=False):
+            ids = e.ids
+            if self._unknown in ids:  # an unknown stretch keeps its text
+                ids = [i for own, piece in zip(ids, e.tokens) for i in ([self._bytes.get(b, own) for b in piece.encode()] if own == self._unknown else [own])]
+            out.append(ids)
+        return out
+
     def _marked(self, text: str) -> str:
         """The text with markers for blanks and one blank between chunks."""
         if not text:
@@ -184,7 +198,8 @@ class Codec:
                 ends.append(stops + total)
                 total += len(own)
             return np.concatenate(ids), np.concatenate(ends)
-        found = [e.ids if t else [] for t, e in zip(column.to_pylist(), self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False))]
+        texts = [t or "" for t in column.to_pylist()]
+        found = [ids if t else [] for t, ids in zip(texts, self._batch(self.tokenizer, texts))]
         return np.array([i for x in found for i in x], np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

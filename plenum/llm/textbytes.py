@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Other codes of the bytes, for a second, independent hash.
+CHECK_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes handled at once; arrays made on the way take some 40 times as much.
 SLICE_BYTES = 1 << 18
@@ -71,7 +73,7 @@ def groups(at: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         low = high
 
 
-def _word_slice(raw: np.ndarray, cuts: np.ndarray, letter: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_slice(raw: np.ndarray, cuts: np.ndarray, letter: np.ndarray, space: np.ndarray, codes: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     full = ~space[raw]
     first = full.copy()
     first[1:] &= ~full[:-1]
@@ -79,12 +81,12 @@ def _word_slice(raw: np.ndarray, cuts: np.ndarray, letter: np.ndarray, space: np
     first[cuts] = full[cuts]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return [np.zeros(0, np.uint64) for _ in codes], starts
     lengths = np.diff(starts, append=len(raw))
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
-    value = BYTE_CODE[letter[raw[starts[0] :]]] * powers(int(lengths.max()))[place]
-    value[~full[starts[0] :]] = 0
-    return mix(np.add.reduceat(value, starts - starts[0])), starts
+    place = powers(int(lengths.max()))[np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)]
+    place[~full[starts[0] :]] = 0
+    own = letter[raw[starts[0] :]]
+    return [mix(np.add.reduceat(code[own] * place, starts - starts[0])) for code in codes], starts
 
 
 def words(raw: np.ndarray, at: np.ndarray, letter: np.ndarray = LOWER, space: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +99,13 @@ def placed_words(raw: np.ndarray, at: np.ndarray, letter: np.ndarray = LOWER, sp
     """Hashes of all words of the rows, in order, and the byte at which each begins.
 
     A row of many megabytes is cut at separators, so that memory stays at a few bytes for each of its words."""
-    hashes, starts, low = [], [], 0
+    (hashes,), starts = coded_words(raw, at, letter, space, (BYTE_CODE,))
+    return hashes, starts
+
+
+def coded_words(raw: np.ndarray, at: np.ndarray, letter: np.ndarray, space: np.ndarray, codes: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The same with a hash for each table of byte codes."""
+    hashes, starts, low = [[np.zeros(0, np.uint64)] for _ in codes], [np.zeros(0, np.int64)], 0
     while low < len(raw):
         high = min(len(raw), low + 4 * SLICE_BYTES)
         while high < len(raw):
@@ -107,13 +115,12 @@ def placed_words(raw: np.ndarray, at: np.ndarray, letter: np.ndarray = LOWER, sp
                 high = low + max(back[-1] + 1 if len(back) else 0, inner[-1] - low if len(inner) else 0)
                 break
             high = min(len(raw), high + 4 * SLICE_BYTES)
-        h, s = _word_slice(raw[low:high], at[(at >= low) & (at < high)] - low, letter, space)
-        hashes.append(h)
+        found, s = _word_slice(raw[low:high], at[(at >= low) & (at < high)] - low, letter, space, codes)
+        for whole, part in zip(hashes, found):
+            whole.append(part)
         starts.append(s + low)
         low = high
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+    return [np.concatenate(h) for h in hashes], np.concatenate(starts)
 
 
 def shingles(word: np.ndarray, k: int) -> np.ndarray:
