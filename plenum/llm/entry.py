@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import dac_tokens, decontaminate, jaccard_join, license_scan, media, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from plenum.llm import dac_tokens, decontaminate, fill_in_middle, filter_audit, jaccard_join, license_scan, line_dedup, media, quality, sentencepiece_codec, sharding, toxicity, url_filter
 from plenum.llm.features import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -90,6 +102,9 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_toxicity": op9_toxicity,
         "op10_media_columns": op10_media_columns,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -99,4 +114,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_sharding": sharding.PLACEMENT_SQL,
         "op6_ngram_jaccard": jaccard_join.JOIN_SQL,
         "op8_license_scan": license_scan.SCAN_SQL,
+        "op11_fill_in_middle": fill_in_middle.ARRANGE_SQL,
+        "op12_line_dedup": line_dedup.DEDUP_SQL,
+        "op13_filter_audit": filter_audit.AUDIT_SQL,
     }
