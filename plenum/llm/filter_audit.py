@@ -52,6 +52,11 @@ def failures() -> dict[str, Column]:
     }
 
 
+def fingerprint(text: Column) -> Column:
+    """What texts are sorted by first; texts that share it are still told apart."""
+    return F.unhex(F.md5(text))
+
+
 def _bit(letter: str, letters: str) -> int:
     return 1 << letters.index(letter)
 
@@ -114,7 +119,7 @@ def masks(docs: DataFrame, part: str = "lang", filters: dict[str, Column] | None
     filters = failures() if filters is None else filters
     letters = "".join(filters) + COPIES
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("fingerprint", F.unhex(F.md5("text"))).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("place", F.monotonically_increasing_id())
     # ``place`` splits rows with one doc_id and text; no result depends on it.
     rows = rows.repartitionByRange("fingerprint", "doc_id", "place").sortWithinPartitions("fingerprint", "text", F.col("doc_id").asc_nulls_last())
     rows = rows.withColumn("words", F.array_remove(F.split("text", SPACE), ""))

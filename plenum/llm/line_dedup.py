@@ -98,15 +98,15 @@ def bitmaps(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LE
 def apply(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept (the text of the lines that stay) by the bitmaps ``found``."""
     rows = docs.drop(*(c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "kept")))
-    d, t, runs, lines, flags = (unused(rows, f"_{x}") for x in ("d", "t", "runs", "lines", "flags"))
+    d, t, runs, lines, flags, of_d, of_t = (unused(rows, f"_{x}") for x in ("d", "t", "runs", "lines", "flags", "map_d", "map_t"))
     left = rows.withColumns(dict(zip((d, t), _document(rows))))
-    met = left.join(found.toDF("_map_d", "_map_t", runs), F.col(d).eqNullSafe(F.col("_map_d")) & (F.col(t) == F.col("_map_t")), "left")
+    met = left.join(found.toDF(of_d, of_t, runs), F.col(d).eqNullSafe(F.col(of_d)) & (F.col(t) == F.col(of_t)), "left")
     stay = F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
     met = met.withColumns({lines: lines_of(F.col("text")), flags: F.coalesce(stay, F.array().cast("array<boolean>"))})
     kept = F.array_join(F.zip_with(lines, flags, lambda line, stays: F.when(F.coalesce(stays, F.lit(True)), line)), "\n")
     dropped = F.size(F.filter(flags, lambda stays: ~stays))
     out = met.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": dropped.cast("long"), "kept": kept})
-    return out.drop(d, t, "_map_d", "_map_t", runs, lines, flags)
+    return out.drop(d, t, of_d, of_t, runs, lines, flags)
 
 
 def digests(docs: DataFrame) -> DataFrame:
