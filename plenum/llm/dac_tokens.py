@@ -110,12 +110,29 @@ _encoders: dict[str, ChunkEncoder | WholeTexts] = {}
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def word_and_marks(chunk: str) -> tuple[str, str]:
-    """A word of letters and the marks behind it, as the model's pattern parts them; A-Z as the model lowers them."""
+def word_and_marks(chunk: str, apart: Callable[[str], bool] = str.isalpha) -> tuple[str, str]:
+    """A word of letters and the marks behind it, as the model's pattern parts them; A-Z as the model lowers them.
+    ``apart``: does the model part a mark from this letter before it?"""
     core = chunk.rstrip(_MARKS)
     if not core.isalpha():
         return chunk, ""
-    return (core.lower() if core.isascii() else core), chunk[len(core) :]
+    if core.isascii():
+        return core.lower(), chunk[len(core) :]
+    return (core, chunk[len(core) :]) if apart(core[-1]) else (chunk, "")
+
+
+def parts_of(model) -> Callable[[str], tuple[str, str]]:
+    """``word_and_marks`` for a tokenizers model. The normal form of some letters ends in a combining mark, which the
+    pattern joins with the marks behind it; the model itself is asked, once for each letter."""
+    known: dict[str, bool] = {}
+
+    def apart(letter: str) -> bool:
+        if letter not in known:
+            pieces = model.pre_tokenizer.pre_tokenize_str(model.normalizer.normalize_str(letter + "."))
+            known[letter] = pieces[-1][0] == "."
+        return known[letter]
+
+    return lambda chunk: word_and_marks(chunk, apart)
 
 
 def chunk_ids(model) -> Callable[[list[str]], list[list[int]]]:
@@ -167,7 +184,7 @@ def encoder(path: str) -> ChunkEncoder | WholeTexts:
         model = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             fits = separable(json.load(f))
-        _encoders[path] = ChunkEncoder(chunk_ids(model), word_and_marks) if fits else WholeTexts(model)
+        _encoders[path] = ChunkEncoder(chunk_ids(model), parts_of(model)) if fits else WholeTexts(model)
     return _encoders[path]
 
 
@@ -204,20 +221,24 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, out: str, segment_t
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The beginning of the text parts rows that share a doc_id; the bounds' sample holds no whole texts.
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, FILE_SCHEMA).write.parquet(out)
 
 
+def bases(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(part, ids of all parts before it): a row for each part of the files, that is, for each task that wrote."""
+    segments, out, total = spark.read.schema(FILE_SCHEMA).parquet(path), [], 0
+    for row in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        out.append((row["part"], total))
+        total += row["n"]
+    return out
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document from the files: doc_id, start, n_tokens, ids_crc32."""
     segments = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # One row for each part of the files, that is, for each task that wrote.
-    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    bases, total = [], 0
-    for row in totals:
-        bases.append((row["part"], total))
-        total += row["n"]
-    base = spark.createDataFrame(bases, "part int, base long")
+    base = spark.createDataFrame(bases(spark, path), "part int, base long")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +256,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def tokens_at(spark: SparkSession, path: str, part: int, index: int) -> int:
     """Random access: token ``index`` of a part. One row is read, and of it nothing is decoded but that token."""
     row = spark.read.schema(FILE_SCHEMA).parquet(path).where((F.col("part") == part) & (F.col("first_token") <= index) & (F.col("first_token") + F.col("n_tokens") > index)).first()
+    if row is None:
+        raise IndexError(index)
     return Segment(row["blob"])[index - row["first_token"]]
 
 
+def token(spark: SparkSession, path: str, index: int, parts: list[tuple[int, int]] | None = None) -> int:
+    """Random access by a token's number in the corpus. ``parts``: what ``bases`` returns, for calls one after another."""
+    before = [(part, base) for part, base in parts or bases(spark, path) if base <= index]
+    if index < 0 or not before:
+        raise IndexError(index)
+    part, base = before[-1]
+    return tokens_at(spark, path, part, index - base)
+
+
 def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write ``docs`` in this format into the shared folder and return what the files say of each document."""
     out = fresh_path(docs.sparkSession, "dac")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -39,7 +40,11 @@ def test_token_files_equal_the_library(spark, texts):
 def test_any_token_by_its_place(spark):
     docs = spark.createDataFrame([(i, "word " * i + "ends here") for i in range(1, 30)], "doc_id long, text string")
     path = scratch.fresh_path(spark, "tokens")
-    dac_tokens.write(docs, WORD_BPE, 1, path, segment_tokens=40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dac_tokens.write(docs, WORD_BPE, 1, path, segment_tokens=40)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     rows = spark.read.parquet(path).orderBy("part", "first_token").collect()
     ids = {}
     for r in rows:
@@ -47,6 +52,35 @@ def test_any_token_by_its_place(spark):
     assert len(rows) > 5
     for part, own in ids.items():
         assert all(dac_tokens.tokens_at(spark, path, part, i) == own[i] for i in {0, len(own) // 2, len(own) - 1})
+    whole, parts = [i for part in sorted(ids) for i in ids[part]], dac_tokens.bases(spark, path)
+    assert len(parts) > 1 and all(dac_tokens.token(spark, path, i, parts) == whole[i] for i in (0, parts[1][1] - 1, parts[1][1], len(whole) - 1))
+    for i in (-1, len(whole)):
+        with pytest.raises(IndexError):
+            dac_tokens.token(spark, path, i, parts)
+
+
+def _same_ids(texts):
+    from tokenizers import Tokenizer
+
+    model, coder = Tokenizer.from_file(WORD_BPE), dac_tokens.encoder(WORD_BPE)
+    ids, ends = coder.encode(*sentencepiece_codec.buffers(pa.array(texts)), 1)
+    starts = [0, *ends.tolist()]
+    return [t for t, a, b, e in zip(texts, starts, starts[1:], model.encode_batch_fast(texts, add_special_tokens=False)) if ids[a:b].tolist() != [*e.ids, 1]]
+
+
+def test_letters_whose_normal_form_ends_in_a_mark():
+    """Every letter that is followed by ASCII marks, where its normal form does not end in a letter, and others."""
+    odd = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalpha()]
+    assert len(odd) >= 60
+    texts = [f"{word}{mark} {mark}{word} {word}" for c in odd for word in (c, "a" + c, c + "b", "B" + c) for mark in (".", ",", ")", "!?", "'", "-", "\u0301.")]
+    texts += ["ANKARA BELEDİYESİ, 2026", "DENİZİ.", "İ.", "गढ़, और", "ΟΔΟΣ, ΣΑΣ."]
+    assert _same_ids(texts) == []
+
+
+def test_fuzzed_texts_equal_the_library():
+    rng = np.random.default_rng(8)
+    letters = list("abcXYZ İıßéñ.,;'\"-<|>()\u0301\u0327 \t\n 12٣ गढ़़और ΣςΩ 你好ㅎ한\u1100\u1161 क़ 🙂\u200d\xa0ﬁǅʼ") + ["<|endoftext|>", "'s", "'LL", "the ", "License"]
+    assert _same_ids(["".join(rng.choice(letters, int(rng.integers(1, 40)))) for _ in range(20000)]) == []
 
 
 def test_other_tokenizer_files_are_applied_to_whole_texts(spark):
