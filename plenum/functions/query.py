@@ -5,9 +5,11 @@ A query is one short string, so all of this runs on the driver.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -154,13 +156,144 @@ def _equals(word: str):
     return lambda t: t == word
 
 
-def rank(tokens: Column, wanted: list[str]) -> Column:
-    """A documented frequency rank: each of the query's tokens adds 0.1 * sum of 1 / j^2 over its occurrences j,
-    divided by pi^2 / 6 and by the number of tokens. A single hit of a single token gives .0608."""
-    if not wanted:
-        return F.lit(0.0)
+def frequency_rank(counts: dict[str, Column]) -> Column:
+    """Each token adds 0.1 * sum of 1 / j^2 over its occurrences j, divided by pi^2 / 6 and by the number of tokens. A
+    single hit of a single token gives .0608."""
     total = F.lit(0.0)
-    for w in dict.fromkeys(wanted):
-        n = F.size(F.filter(tokens, _equals(w)))
+    for n in counts.values():
         total = total + F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, j: s + F.lit(0.1) / (j * j))).otherwise(0.0)
-    return total / F.lit(1.64493406685) / len(list(dict.fromkeys(wanted)))
+    return total / F.lit(1.64493406685) / len(counts) if counts else F.lit(0.0)
+
+
+def rank(tokens: Column, wanted: list[str]) -> Column:
+    """The frequency rank of a token array."""
+    return frequency_rank({w: F.size(F.filter(tokens, _equals(w))) for w in dict.fromkeys(wanted)})
+
+
+def positions(tokens: Column, word: str) -> Column:
+    """Where a word stands in a token array, from 0; null if nowhere."""
+    return F.when(F.array_contains(tokens, word), F.array_compact(F.transform(tokens, lambda t, i: F.when(t == word, i))))
+
+
+# The distance rank of text search. A pair of positions d apart weighs 0.1 times the root of this.
+def _nearness(d: int) -> float:
+    return 1.0 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))
+
+
+#: Pairs farther apart weigh 1e-16 each, nothing beside any other.
+FARTHEST = 100
+#: ln(1 - weight) of a pair, by distance from 1 on.
+_PAIR = [math.log1p(-0.1 * math.sqrt(_nearness(d))) for d in range(1, FARTHEST + 1)]
+#: The rank of a match without a pair.
+LEAST_RANK = 1e-20
+
+
+def _pairs(a: Column, b: Column) -> Column:
+    """The sum of ln(1 - weight) over all pairs of positions of two tokens; 0 if one has none. Positions of one token
+    are sets, so the pairs d apart are counted by an intersection: the work grows with the lists' length, not with
+    their product."""
+    apart = lambda d: F.size(F.array_intersect(a, F.transform(b, lambda x: x - d))) + F.size(F.array_intersect(a, F.transform(b, lambda x: x + d)))
+    each = F.transform(F.lit(_PAIR), lambda w, i: w * apart(i + 1))
+    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.aggregate(each, F.lit(0.0), lambda s, x: s + x))
+
+
+def _pairs_bound(m: Column, n: Column) -> Column:
+    """The least that ``_pairs`` can be with so many positions: a distance has at most two partners for each position
+    of the rarer token, and there are m * n pairs."""
+    most, whole = 2 * F.least(m, n), m.cast("double") * n
+    each = F.transform(F.lit(_PAIR), lambda w, i: w * F.greatest(F.lit(0.0), F.least(most.cast("double"), whole - i * most)))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+
+
+def _real(rank: Column) -> Column:
+    """A rank is a number of single precision, so that rows with equal positions have equal ranks."""
+    return rank.cast("float").cast("double")
+
+
+def _joined(sums: list[Column]) -> Column:
+    return _real(F.greatest(-F.expm1(reduce(lambda a, b: a + b, sums)), F.lit(LEAST_RANK)))
+
+
+@dataclass
+class Compiled:
+    """A query by its tokens. parts: what must match, each a list of alternatives, each of these a run of tokens;
+    ``one`` of the parts or all of them; gone: runs of tokens that a match must not hold all of."""
+
+    parts: list[list[list[str]]]
+    gone: list[list[str]] = field(default_factory=list)
+    one: bool = False
+    #: The tokens that the frequency rank counts.
+    wanted: list[str] = field(default_factory=list)
+
+    def words(self) -> list[str]:
+        return list(dict.fromkeys([t for part in self.parts for run in part for t in run] + [t for run in self.gone for t in run]))
+
+    def _over(self, run) -> Column:
+        parts = [reduce(lambda a, b: a | b, [run(r) for r in part]) for part in self.parts if part]
+        if not parts:
+            return F.lit(False)
+        return reduce((lambda a, b: a | b) if self.one else (lambda a, b: a & b), parts)
+
+    def match(self, at: dict[str, Column]) -> Column:
+        """The predicate over each token's positions (null: none)."""
+
+        def run(tokens: list[str]) -> Column:
+            held = [at[t].isNotNull() for t in tokens]
+            if not held:
+                return F.lit(False)
+            found = reduce(lambda a, b: a & b, held)
+            if len(tokens) > 1:
+                starts = at[tokens[0]]
+                for k, t in enumerate(tokens[1:], 1):
+                    starts = F.array_intersect(starts, F.transform(at[t], _back(k)))
+                found = found & (F.size(starts) > 0)
+            return found
+
+        out = self._over(run)
+        for tokens in self.gone:
+            if tokens:
+                out = out & ~reduce(lambda a, b: a & b, [at[t].isNotNull() for t in tokens])
+        return out
+
+    def may_match(self, counts: dict[str, Column]) -> Column:
+        """Whether rows with at most so many of each token can match."""
+        return self._over(lambda tokens: reduce(lambda a, b: a & b, [counts[t] > 0 for t in tokens]) if tokens else F.lit(False))
+
+    def joins(self) -> bool:
+        """Does the query as a whole join tokens (by AND, a phrase or an exclusion), or choose among them?"""
+        if any(self.gone):
+            return len(self.words()) > 1
+        if self.one and len(self.parts) > 1 or len(self.parts) == 1 and len(self.parts[0]) > 1:
+            return False
+        return len(self.words()) > 1
+
+    def rank_by_distance(self, at: dict[str, Column]) -> Column:
+        """The rank over each token's positions: by distances if the query joins tokens, else by frequency."""
+        words = self.words()
+        if not self.joins():
+            return _real(frequency_rank({w: F.when(at[w].isNotNull(), F.size(at[w])).otherwise(0) for w in words}))
+        return _joined([_pairs(at[a], at[b]) for a, b in combinations(words, 2)])
+
+    def distance_bound(self, counts: dict[str, Column]) -> Column:
+        """At least the rank of any row with at most so many of each token."""
+        words = self.words()
+        if not self.joins():
+            return _real(frequency_rank({w: counts[w] for w in words}))
+        return _joined([_pairs_bound(counts[a], counts[b]) for a, b in combinations(words, 2)])
+
+
+def _back(k: int):
+    return lambda x: x - k
+
+
+def compiled(parsed: Parsed, variants: set[str] | None = None) -> Compiled:
+    parts = [[query_tokens(p)] for p in parsed.phrases if p.split()]
+    parts += [[query_tokens(x) for x in (t, *variants_of(t, variants or set()))] for t in parsed.terms]
+    wanted = [t for x in (*parsed.phrases, *parsed.terms) for t in query_tokens(x)]
+    return Compiled(parts, [query_tokens(x) for x in parsed.excluded], parsed.operator == "or", list(dict.fromkeys(wanted)))
+
+
+def compiled_plain(query: str) -> Compiled:
+    """A raw query: all of its tokens."""
+    tokens = list(dict.fromkeys(plain(query)))
+    return Compiled([[[t]] for t in tokens], wanted=tokens)

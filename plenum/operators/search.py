@@ -61,15 +61,20 @@ def stored_tokens(rows: DataFrame) -> Column:
     return T.tokens(T.affix_expand(F.col("text")))
 
 
-def keyword(rows: DataFrame, query: str, n: int = 20, id_column: str = "id", tokens: Column | None = None, station: str | None = None, media_type: str | None = None) -> DataFrame:
-    """Rows with all of a plain query's tokens, by rank. ``tokens``: the token array; by default ``stored_tokens``."""
+def keyword(rows: DataFrame, query: str, n: int = 20, id_column: str = "id", tokens: Column | None = None, station: str | None = None, media_type: str | None = None, by_distance: bool = False) -> DataFrame:
+    """Rows with all of a plain query's tokens, by rank. ``tokens``: the token array; by default ``stored_tokens``.
+    ``by_distance``: several tokens rank by how near they stand, otherwise by frequency."""
     tokens = stored_tokens(rows) if tokens is None else tokens
+    if by_distance:
+        return _by_distance(rows, tokens, Q.compiled_plain(query), n, id_column, station, media_type)
     return _ranked(rows, tokens, lambda t: Q.has_all(t, Q.plain(query)), Q.plain(query), n, id_column, station, media_type)
 
 
-def keyword_query(rows: DataFrame, parsed: Q.Parsed, variants: set[str] | None = None, n: int = 20, id_column: str = "id", tokens: Column | None = None, station: str | None = None, media_type: str | None = None) -> DataFrame:
+def keyword_query(rows: DataFrame, parsed: Q.Parsed, variants: set[str] | None = None, n: int = 20, id_column: str = "id", tokens: Column | None = None, station: str | None = None, media_type: str | None = None, by_distance: bool = False) -> DataFrame:
     """Rows that a parsed query matches, by rank."""
     tokens = stored_tokens(rows) if tokens is None else tokens
+    if by_distance:
+        return _by_distance(rows, tokens, Q.compiled(parsed, variants), n, id_column, station, media_type)
     wanted = [t for x in (*parsed.phrases, *parsed.terms) for t in Q.query_tokens(x)]
     return _ranked(rows, tokens, lambda t: Q.predicate(t, parsed, variants), wanted, n, id_column, station, media_type)
 
@@ -80,6 +85,18 @@ def _ranked(rows: DataFrame, tokens: Column, match: Callable[[Column], Column],
     return top(kept.withColumn("rank", T.let(tokens, lambda t: Q.rank(t, wanted))), "rank", n, id_column)
 
 
+def _by_distance(rows: DataFrame, tokens: Column, query: Q.Compiled, n: int, id_column: str, station: str | None, media_type: str | None) -> DataFrame:
+    words = query.words()
+    if not words:
+        return top(rows.where("false").withColumn("rank", F.lit(0.0)), "rank", n, id_column)
+    # Rows without any of the words are gone before positions are looked for.
+    some = F.arrays_overlap(tokens, F.lit(words))
+    kept = only(not_noise(rows), station=station, media_type=media_type).where(some)
+    places = lambda t: F.struct(*[Q.positions(t, w).alias(f"w{i}") for i, w in enumerate(words)])
+    over = lambda f: T.let(tokens, lambda t: T.let(places(t), lambda s: f({w: s[f"w{i}"] for i, w in enumerate(words)})))
+    return top(kept.where(over(query.match)).withColumn("rank", over(query.rank_by_distance)), "rank", n, id_column)
+
+
 def trigram(rows: DataFrame, query: str, n: int = 20, threshold: float = C.TRIGRAM_THRESHOLD, id_column: str = "id", station: str | None = None, media_type: str | None = None) -> DataFrame:
     """Rows whose trigram similarity to the query reaches the threshold; by the stored trigrams if there are any."""
     grams = F.col("text_trigrams") if "text_trigrams" in rows.columns else T.trigrams(F.col("text"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.session import shared_dir
-from plenum.sources import documents
+from plenum.sources import documents, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,22 +18,14 @@ def documents_as_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("segment_id"), "text", F.col("source").alias("station"), F.col("lang").alias("media_type"))
 
 
-_written: dict[tuple[str, str], str] = {}
-
-
 def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as segments with the stored token columns that keyword and trigram searches read. They are written
-    once for an application and data folder, into the shared folder; without one on a cluster they are computed."""
+    once for an application and state of the table, into the shared folder; without one they are computed."""
     rows = documents.with_tokens(documents_as_segments(spark, sf_dir))
-    name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _written:
-        folder = shared_dir(spark)
-        if folder is None:
-            return rows
-        path = f"{folder}/plenum-search/{name[0]}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        _written[name] = path
-    return spark.read.schema(rows.schema).parquet(_written[name])
+    if shared_dir(spark) is None:
+        return rows
+    path = store.once(spark, "searchable", [f"{sf_dir}/documents.parquet"], lambda to: rows.write.parquet(to))
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
