@@ -88,40 +88,81 @@ def segment_rows(sentences_with_segment: DataFrame, key: str = "media_id", order
     return out.withColumns({"text": F.array_join(F.transform("_s", lambda x: x["text"]), " "), "speakers": F.array_distinct(F.transform("_s", lambda x: x["speaker"]))}).drop("_s")
 
 
-def topics(rows: DataFrame, key: str, order: list[str], embedding: str = "embedding_he", threshold: float = C.TOPIC_SIMILARITY, id_column: str = "id") -> DataFrame:
+class TopicFold:
+    """The topics of one key as its vectors come by: a vector joins the nearest topic that reaches the threshold, whose
+    centroid becomes the running mean, or opens a new one."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n = threshold, 0
+        self.room, self.members = np.zeros((16, 0)), np.zeros(16, np.int64)
+
+    def put(self, topic: int, members: int, centroid: np.ndarray) -> None:
+        """Topic ``topic`` as it was left."""
+        if self.room.shape[1] != len(centroid) and self.n == 0:
+            self.room = np.zeros((len(self.room), len(centroid)))
+        while topic >= len(self.room):
+            self.room, self.members = np.concatenate([self.room, np.zeros_like(self.room)]), np.concatenate([self.members, np.zeros_like(self.members)])
+        self.room[topic], self.members[topic], self.n = centroid, members, max(self.n, topic + 1)
+
+    def add(self, vector: np.ndarray) -> int:
+        v = np.asarray(vector, float)
+        centres = self.room[: self.n]
+        at = -1
+        if self.n:
+            scale = np.linalg.norm(centres, axis=1) * np.linalg.norm(v)
+            near = centres @ v / np.where(scale == 0, 1, scale)
+            at = int(near.argmax())
+        if at >= 0 and near[at] >= self.threshold:
+            self.room[at] = (self.room[at] * self.members[at] + v) / (self.members[at] + 1)
+            self.members[at] += 1
+            return at
+        self.put(self.n, 1, v)
+        return self.n - 1
+
+
+def topics(rows: DataFrame, key: str, order: list[str], embedding: str = "embedding_he", threshold: float = C.TOPIC_SIMILARITY, id_column: str = "id", known: DataFrame | None = None, states: bool = False) -> DataFrame:
     """(key, id_column, topic): online clustering in order within each key, such as a station's month. A row joins the
     nearest topic that reaches the threshold, whose centroid becomes the running mean; else it opens one. Rows without
     a vector get none.
 
+    ``states``: with members and centroid, the topic as the row left it. ``known``: (key, topic, members, centroid) as
+    an earlier run left them (``topic_table``); this run goes on from there, as if the rows of both had come at once.
+
     Each step needs the topics as the rows before left them. One order over everything would be one task's work, so
     the order is a key's; a task holds the topics of one key while its rows stream by."""
+    kind = dict(rows.dtypes)
+    names = [key, id_column, "topic", *(["members", "centroid"] if states else [])]
+    kinds = f"{key} {kind[key]}, {id_column} {kind[id_column]}, topic int" + (", members long, centroid array<double>" if states else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = object()
+        now, fold = object(), None
         for frame in frames:
             out = []
-            for name, vector in zip(frame[key], frame[embedding]):
-                v = np.asarray(vector, float)
-                if name != now:
-                    now, room, n, counts = name, np.zeros((16, len(v))), 0, np.zeros(16)
-                centers = room[:n]
-                scale = np.linalg.norm(centers, axis=1) * np.linalg.norm(v)
-                near = centers @ v / np.where(scale == 0, 1, scale)
-                at = int(near.argmax()) if len(near) else -1
-                if at >= 0 and near[at] >= threshold:
-                    centers[at] = (centers[at] * counts[at] + v) / (counts[at] + 1)
-                    counts[at] += 1
-                else:
-                    if n == len(room):
-                        room, counts = np.concatenate([room, np.zeros_like(room)]), np.concatenate([counts, np.zeros_like(counts)])
-                    room[n], counts[n] = v, 1
-                    at, n = n, n + 1
-                out.append(at)
-            yield pd.DataFrame({key: frame[key], id_column: frame[id_column], "topic": out})
-
-    kind = dict(rows.dtypes)
-    kept = rows.where(F.col(embedding).isNotNull()).select(*dict.fromkeys([key, id_column, *order, embedding]))
-    return kept.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{key} {kind[key]}, {id_column} {kind[id_column]}, topic int")
+            for name, known_topic, members, vector, row_id in zip(frame[key], frame["_topic"], frame["_members"], frame[embedding], frame[id_column]):
+                if name != now and not (name != name and now != now):
+                    now, fold = name, TopicFold(threshold)
+                if known_topic >= 0:
+                    fold.put(int(known_topic), int(members), vector)
+                    continue
+                at = fold.add(vector)
+                out.append((name, row_id, at, *((int(fold.members[at]), fold.room[at].copy()) if states else ())))
+            yield pd.DataFrame(out, columns=names)
+
+    kept = rows.where(F.col(embedding).isNotNull()).select(*dict.fromkeys([key, id_column, *order]), F.col(embedding).cast("array<double>").alias(embedding)).withColumns({"_topic": F.lit(-1), "_members": F.lit(0).cast("long")})
+    if known is not None:
+        old = known.select(key, F.col("centroid").cast("array<double>").alias(embedding), F.col("topic").alias("_topic"), F.col("members").cast("long").alias("_members"))
+        kept = kept.unionByName(old, allowMissingColumns=True)
+    # Topics that are known come before a key's rows.
+    return kept.repartition(key).sortWithinPartitions(key, F.col("_topic") < 0, *order).mapInPandas(run, kinds)
+
+
+def topic_table(assigned: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """(key, topic, members, centroid) as rows of ``topics`` with their states have left them: a topic's members only
+    grow, so its last state is the one of most members."""
+    rows = assigned.select(key, "topic", "members", "centroid")
+    if known is not None:
+        rows = rows.unionByName(known.select(key, "topic", F.col("members").cast("long").alias("members"), F.col("centroid").cast("array<double>").alias("centroid")))
+    return rows.groupBy(key, "topic").agg(F.max("members").alias("members"), F.max_by("centroid", "members").alias("centroid"))
 
 
 def embedded(rows: DataFrame, encode: Callable[[list[str]], list[list[float]]], mode: str = "passage", column: str = "embedding_he") -> DataFrame:

@@ -117,6 +117,8 @@ def _evaluated(postings: DataFrame, words: list[str], match, rank, station: str
 
 def _top(postings: Postings, query: Q.Compiled, n: int, by_distance: bool, station: str | None, media_type: str | None) -> DataFrame:
     words = query.words()
+    if not words:
+        return postings.rows.where("false").select(F.explode("postings").alias("x")).select("x.id", F.lit(0.0).alias("rank"))
     rank = query.rank_by_distance if by_distance else (lambda at: Q.frequency_rank({w: F.when(at[w].isNotNull(), F.size(at[w])).otherwise(0) for w in query.wanted}))
     own = postings.of("token", words)
     # The bound of each block, by the greatest count of each token in it; a block that lacks a needed token has none.

@@ -171,7 +171,7 @@ def find(index: VectorIndex, vector: list[float], n: int = 20, threshold: float
     if exact or not len(index.cells):
         return search.semantic(rows.drop("cell"), vector, n, threshold, index.id_column, index.embedding, **where)
     near = index.nearest_cells(vector, probes or -(-len(index.cells) // 2))
-    q, cells = unit(np.array([vector], np.float32))[0], index.cells
+    q, cells, id_column = unit(np.array([vector], np.float32))[0], index.cells, index.id_column
     # The score of a code is that of its cell and one entry of a table for each of its bytes.
     table = np.einsum("skw,sw->sk", index.books, _pieces(q[None], len(index.books))[:, 0])
 
@@ -181,7 +181,7 @@ def find(index: VectorIndex, vector: list[float], n: int = 20, threshold: float
             if len(batch):
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), -1)
                 scores = of_cell[batch.column(1).to_numpy()] + table[np.arange(codes.shape[1]), codes].sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores.astype(np.float64))], [index.id_column, "cell", "_score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores.astype(np.float64))], [id_column, "cell", "_score"])
 
     probed = search.only(search.not_noise(index.rows.where(F.col("cell").isin(near))), **where)
     kind = dict(index.rows.dtypes)[index.id_column]
