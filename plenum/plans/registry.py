@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.plans import indexes, searches, spans, texts
+from plenum.plans import indexes, searches, spans, texts, updates
 
 FLAGSHIP = "hybrid_rrf"
-MODULES = (searches, indexes, texts, spans)
+MODULES = (searches, indexes, texts, spans, updates)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -82,6 +82,15 @@ def topic_assign(spark: SparkSession, d: str) -> DataFrame:
     return indexing.topics(rows, "station", ["id"], threshold=0.25)
 
 
+def topic_resume(spark: SparkSession, d: str) -> DataFrame:
+    """The same topics in two runs, the second one from the table of topics that the first one has left."""
+    rows = vectors(spark, d).withColumn("station", F.col("id") % 8)
+    half = F.col("id") < rows.agg(F.max("id") / 2).first()[0]
+    first = indexing.topics(rows.where(half), "station", ["id"], threshold=0.25, states=True)
+    second = indexing.topics(rows.where(~half), "station", ["id"], threshold=0.25, known=indexing.topic_table(first, "station"))
+    return first.select("station", "id", "topic").unionByName(second)
+
+
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     """Orders as recordings, lines as segments with their supplier as topic, parts of orders as sentences."""
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
@@ -264,4 +273,5 @@ seen AS (SELECT bins.m, bins.bin, coalesce(bool_or(heard), false) AS heard, arg_
 SELECT m AS media_id, bin::int AS bin, CASE WHEN heard AND cls = 'music' THEN 'music' WHEN heard THEN 'speech' ELSE coalesce(cls, 'silence') END AS label FROM seen""",
     "newest": "SELECT o_orderkey AS id, o_orderstatus AS topic_id, o_orderdate AS segment_time FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate DESC, o_orderkey LIMIT 25",
 }
-QUERIES = {f.__name__: f for f in (speaker_assign, noise_overlap, merge_adjacent, label_runs, label_durations, loudness, speech_spans, ad_spans, segment_group, topic_assign, index_stats, hier_join_stats, index_skip, upsert_replace, upsert_ignore, noise_flags, storage_events, key_times, vector_cases, date_range, newest, on_day, distinct_days, noise_reset, label_bins)}
+SQL["topic_resume"] = SQL["topic_assign"]
+QUERIES = {f.__name__: f for f in (speaker_assign, noise_overlap, merge_adjacent, label_runs, label_durations, loudness, speech_spans, ad_spans, segment_group, topic_assign, topic_resume, index_stats, hier_join_stats, index_skip, upsert_replace, upsert_ignore, noise_flags, storage_events, key_times, vector_cases, date_range, newest, on_day, distinct_days, noise_reset, label_bins)}
