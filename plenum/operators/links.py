@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.operators import noise
+from plenum.operators import intervals, noise
 from plenum.sources.keyed import KeyedTable
 
 
@@ -33,6 +33,17 @@ def write_noise(sentences: KeyedTable, segments: KeyedTable, found: DataFrame) -
     return first, again
 
 
+def filter_noise(sentences: KeyedTable, segments: KeyedTable, spans: DataFrame | None = None, media: DataFrame | None = None, wanted: noise.Phrases = noise.Phrases()) -> tuple[int, int]:
+    """The later noise filter as a whole, over all recordings or those of ``media``: detect by text and by audio spans
+    (key, s, e, label, span_index), set the flags of recordings with a detection anew, and hand them on to segments."""
+    rows = sentences.read() if media is None else sentences.of(media)
+    audio = None
+    if spans is not None:
+        timed = rows.select(sentences.key, "sentence_index", F.col("start_time").alias("start"), F.col("end_time").alias("end"))
+        audio = intervals.noisy_sentences(timed, spans, sentences.key)
+    return write_noise(sentences, segments, noise.detections(rows, audio, sentences.key, "sentence_index", wanted))
+
+
 def clear_noise(sentences: KeyedTable, segments: KeyedTable, media: DataFrame) -> tuple[int, int]:
     """The flags of the given recordings back to none, in both tables."""
     out = []
