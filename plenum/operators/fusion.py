@@ -72,9 +72,9 @@ def without(rows: DataFrame, excluded: list[str]) -> DataFrame:
 
 def reranked(rows: DataFrame, score, head: int = 20, cut: int = 512) -> DataFrame:
     """The first ``head`` rows by the model's score, the others behind in their order. ``score`` maps a text column to
-    a number (a pandas UDF over a model); it sees ``cut`` characters, as the model's input is bounded."""
+    a number (``models.scorer``), null to null; it sees ``cut`` characters, as the model's input is bounded."""
     order = Window.orderBy(F.col("score").desc(), "segment_id")
     placed = rows.withColumn("_prior", F.row_number().over(order))
     top = F.col("_prior") <= head
-    placed = placed.withColumn("rerank_score", F.when(top, score(F.substring("text", 1, cut))))
+    placed = placed.withColumn("rerank_score", score(F.when(top, F.substring("text", 1, cut))))
     return placed.orderBy(top.desc(), F.col("rerank_score").desc(), "_prior").drop("_prior")
