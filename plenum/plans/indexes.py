@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.functions import query as Q
-from plenum.operators import search, text_index, vector_index
-from plenum.plans import searches
-from plenum.plans.base import query_vector, searchable, vectors
+from plenum.operators import search, stats, text_index, vector_index
+from plenum.plans import searches, spans
+from plenum.plans.base import query_vector, searchable, table, vectors
 from plenum.plans.searches import DOCS, has
-from plenum.sources import store
+from plenum.sources import colocated, store
 
 # Built once for an application and state of the tables.
 
@@ -100,6 +100,38 @@ def trigram_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("segment_id"), F.round("similarity", 6).alias("similarity"))
 
 
+def enrich_colocated(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation with its turns nested, from tables that are bucketed by conversation."""
+
+    def write(to: str) -> None:
+        turns = table(spark, d, "conversations").select(F.col("conv_id").alias("segment_id"), F.col("turn").alias("sentence_index"), "text")
+        colocated.write(turns, f"{to}-sentences", "segment_id", ("sentence_index",), 8)
+        colocated.write(turns.where("sentence_index = 0").select("segment_id").distinct(), f"{to}-segments", "segment_id", (), 8)
+
+    path = store.once(spark, "together", [f"{d}/conversations.parquet"], write)
+    results, sentences = (colocated.read(spark, f"{path}-{x}") for x in ("segments", "sentences"))
+    nested = search.enrich(results, sentences.where(F.col("sentence_index") > 0))
+    joined = F.array_join(F.transform("sentences", lambda s: F.concat(s["sentence_index"].cast("string"), F.lit(":"), F.md5(s["text"]))), ",")
+    return nested.select("segment_id", F.size("sentences").alias("n"), joined.alias("sentences"))
+
+
+def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    def write(to: str) -> None:
+        orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("media_id"), F.col("o_orderpriority").alias("station"), F.col("o_orderstatus").alias("media_type"), F.col("o_orderdate").alias("segment_time"))
+        lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("media_id"), F.col("l_suppkey").alias("topic_id"), F.col("l_quantity").alias("quantity"))
+        colocated.write(orders, f"{to}-media", "media_id", (), 8)
+        colocated.write(lines, f"{to}-segments", "media_id", (), 8)
+
+    path = store.once(spark, "hierarchy", [f"{d}/orders.parquet", f"{d}/lineitem.parquet"], write)
+    return colocated.read(spark, f"{path}-media"), colocated.read(spark, f"{path}-segments")
+
+
+def media_stats_colocated(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of recordings, segments and sentences, joined by recording where they lie."""
+    media, segs = _orders(spark, d)
+    return stats.index_stats(media, segs.drop("quantity"), segs.where("quantity > 25").select("media_id"))
+
+
 def _distance_sql(words: tuple[str, ...], match: str, n: int) -> str:
     listed = ", ".join(f"'{w}'" for w in words)
     return f"""WITH hit AS (SELECT segment_id, t FROM {DOCS} WHERE {match}),
@@ -111,6 +143,8 @@ ORDER BY greatest(1 - exp(coalesce(s, 0)), 1e-20)::float DESC, segment_id LIMIT
 
 
 SQL = {
+    "enrich_colocated": searches.SQL["enrich"],
+    "media_stats_colocated": spans.SQL["index_stats"],
     "vector_index_exact": searches.SQL["semantic_topk"],
     "vector_neighbours": """WITH e AS (SELECT vec_id, embedding::double[] AS v FROM embeddings)
 SELECT q.vec_id AS query_id, e.vec_id AS id, (row_number() OVER by_query)::int AS place, round(list_cosine_similarity(q.v, e.v), 6) AS similarity
@@ -125,4 +159,4 @@ FROM e q, e WHERE q.vec_id % 20 = 0 WINDOW by_query AS (PARTITION BY q.vec_id OR
     "trigram_index_topk": searches.SQL["trigram_topk"],
 }
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_exact, vector_neighbours, vector_index_recall, keyword_index_plain, keyword_index_or, keyword_index_not, keyword_index_phrase, keyword_distance_plain, keyword_distance_phrase, keyword_distance_scan, trigram_index_topk)}
+QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_exact, vector_neighbours, vector_index_recall, keyword_index_plain, keyword_index_or, keyword_index_not, keyword_index_phrase, keyword_distance_plain, keyword_distance_phrase, keyword_distance_scan, trigram_index_topk, enrich_colocated, media_stats_colocated)}

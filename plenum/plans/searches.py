@@ -96,8 +96,10 @@ HYBRID_QUERY, EXCLUDED = "the of", ["license"]
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Vector and keyword signals fused, with gate, penalties, floor and exclusion."""
     segs = searchable(spark, d)
-    near = vectors(spark, d).join(segs, F.col("id") == F.col("segment_id"))
-    he = search.semantic(near, query_vector(spark, d), 40, id_column="segment_id")
+    # The top of the vectors first, and then the texts of its forty rows.
+    known = vectors(spark, d).withColumnRenamed("id", "segment_id").join(segs.select("segment_id"), "segment_id", "left_semi")
+    he = search.semantic(known, query_vector(spark, d), 40, id_column="segment_id").select("segment_id", "similarity")
+    he = segs.select("segment_id", "text").join(F.broadcast(he), "segment_id")
     kw = search.keyword(segs, HYBRID_QUERY, 40, "segment_id")
     signals = {
         "seg_he": fusion.gated(fusion.ranked(he, [F.col("similarity").desc(), F.col("segment_id")])),
@@ -111,11 +113,12 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The whole request: five signals, gate, topics, fusion, exclusion and nested sentences. Conversations are segments
     of sentences beside the documents; a vector belongs to the sentence and to the segment of its number."""
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("embedding_he"), F.col("label").alias("topic_id"))
-    segs = searchable(spark, d).join(vec, F.col("segment_id") == F.col("v"), "left").withColumn("segment_time", F.col("segment_id") % 97)
+    segs = searchable(spark, d)
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("segment_id"), F.col("turn").alias("sentence_index"), "text", (F.col("conv_id") * 8 + F.col("turn")).alias("id"))
-    sents = turns.join(vec.drop("topic_id"), F.col("id") == F.col("v"), "left")
+    seg_vec = segs.select("segment_id", (F.col("segment_id") % 97).alias("segment_time")).join(vec, F.col("segment_id") == F.col("v"))
+    sent_vec = turns.select("id", "segment_id").join(vec.drop("topic_id"), F.col("id") == F.col("v"))
     vector = query_vector(spark, d)
-    out = api.run(api.Request("the of -license", limit=20), api.Index(sents, segs), lambda _: vector)
+    out = api.run(api.Request("the of -license", limit=20, by_distance=False), api.Index(turns, segs, sent_vec, seg_vec), lambda _: vector)
     nested = F.array_join(F.transform("sentences", lambda s: F.concat(s["sentence_index"].cast("string"), F.lit(":"), F.md5(s["text"]))), ",")
     return out.select("segment_id", F.round("score", 6).alias("score"), "signal_count", "signal_list", "match_type", F.md5("text").alias("text"), nested.alias("sentences"))
 
