@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the pattern of a recording's stamp.
 STAMP = r"(\d{4}-\d{2}-\d{2})_(\d{2})-(\d{2})"
 ZONE = "Asia/Jerusalem"
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -76,42 +77,40 @@ def test_merge_adjacent_and_bins(spark):
         assert sorted((r.label, r.start, r.end) for r in got.collect()) == sorted([*first, ("silence", 2.1, 3.1)])
 
 
-def test_ad_breaks(spark):
-    def flags(cues):
-        out, start = set(), None
-        for i, (opens, closes) in enumerate(cues):
-            if start is None and opens:
-                start = i
-            if start is not None:
-                if closes and i > start:
-                    out |= set(range(start, i + 1))
-                    start = None
-                elif i - start > 60:
-                    out |= set(range(start, i))
-                    start = None
-        return out
+def _breaks(opens, closes, n):
+    """The breaks of n sentences as intervals: from an opening cue to the first closing cue among the 61 sentences
+    behind it; without one, and if there are so many, 61 sentences, and the one behind them opens nothing."""
+    found, free = [], 0
+    for begin in sorted(opens):
+        if begin < free:
+            continue
+        ends = [c for c in closes if begin < c <= begin + 61]
+        if ends:
+            found.append(range(begin, min(ends) + 1))
+            free = min(ends) + 1
+        elif begin + 61 < n:
+            found.append(range(begin, begin + 61))
+            free = begin + 62
+        else:
+            break
+    return {i for own in found for i in own}
 
+
+def test_ad_breaks(spark):
     rng = random.Random(1)
     cases = [[(rng.random() < 0.05, rng.random() < p) for _ in range(150)] for p in (0.0, 0.01, 0.05, 0.2)] + [[(False, False)] * 3 + [(True, False), (False, False), (False, True)], [(True, False)] + [(False, False)] * 99, [(True, False)] + [(False, False)] * 9]
     rows = spark.createDataFrame([(k, i, a, b) for k, c in enumerate(cases) for i, (a, b) in enumerate(c)], "k int, i int, a boolean, b boolean")
     got = noise.in_break(rows, "k", "i", F.col("a"), F.col("b")).where("in_break").collect()
     for k, c in enumerate(cases):
-        assert {r.i for r in got if r.k == k} == flags(c)
+        assert {r.i for r in got if r.k == k} == _breaks([i for i, x in enumerate(c) if x[0]], [i for i, x in enumerate(c) if x[1]], len(c))
 
 
 def test_breaks_are_streamed(spark):
     """No array of a key's rows is made; breaks go over the ends of batches, but not over those of keys."""
     rng = random.Random(2)
     cues = [(k, i, rng.random() < 0.05, rng.random() < 0.03) for k in (None, 1, 2) for i in range(400 if k != 1 else 5)]
-    want = set()
-    for k in (None, 1, 2):
-        begun = None
-        for _, i, opens, closes in [c for c in cues if c[0] == k]:
-            if begun is None:
-                begun = i if opens else None
-            elif closes or i - begun > noise.LONGEST_BREAK:
-                want |= {(k, j) for j in range(begun, i + 1 if closes else i)}
-                begun = None
+    of = lambda k, at: [c[1] for c in cues if c[0] == k and c[at]]
+    want = {(k, i) for k in (None, 1, 2) for i in _breaks(of(k, 2), of(k, 3), 400 if k != 1 else 5)}
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     kept = spark.conf.get(size)
     try:
@@ -124,24 +123,31 @@ def test_breaks_are_streamed(spark):
     assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
 
 
-def test_speech_spans(spark):
-    def spans(p, size=512, rate=16000, least=250, silence=100):
-        least, silence, out, on, start = least * rate // 1000, silence * rate // 1000, [], False, 0
-        for i, x in enumerate(p):
-            if x >= 0.5 and not on:
-                on, start = True, i * size
-            if x < 0.5 and on:
-                quiet = next((j for j in range(i + 1, len(p)) if p[j] >= 0.5), len(p)) - i - 1
-                if i + 1 == len(p) or quiet * size >= silence:
-                    on = False
-                    out += [(start, i * size)] * (i * size - start >= least)
-        return out + [(start, len(p) * size)] * (on and len(p) * size - start >= least)
+def _speech(p, size=512, rate=16000, least=0.25, silence=0.1):
+    """Speech of a row of probabilities, by its runs: a quiet run ends it where it begins if the part behind its first
+    window lasts ``silence``, and a shorter one at the very end with its last window; what is between such runs counts
+    if it lasts ``least``."""
+    runs, at = [], 0
+    for loud, own in itertools.groupby(p, lambda x: x >= 0.5):
+        length = len(list(own))
+        long, last = (length - 1) * size >= silence * rate, at + length == len(p)
+        runs.append((loud, not loud and (long or last), at if loud or long else at + length - 1))
+        at += length
+    spans = []
+    for ending, own in itertools.groupby(runs, lambda r: r[1]):
+        begin = next((start for loud, _, start in own if loud), None)
+        if not ending and begin is not None:
+            end = next((start for _, ends, start in runs if ends and start > begin), len(p))
+            spans.append((begin * size, end * size))
+    return [(a, b) for a, b in spans if b - a >= least * rate]
+
 
+def test_speech_spans(spark):
     rng = np.random.default_rng(2)
     cases = [np.repeat(rng.random(40) > 0.5, rng.integers(1, 14, 40)).astype(float).tolist() for _ in range(12)] + [[0.0], [1.0] * 30]
     rows = spark.createDataFrame([(k, i, float(x)) for k, c in enumerate(cases) for i, x in enumerate(c)], "k int, i int, p double")
     got = [(r.k, r.start, r.end) for r in intervals.speech_spans(rows, "k").collect()]
-    assert sorted(got) == sorted((k, *s) for k, c in enumerate(cases) for s in spans(c))
+    assert sorted(got) == sorted((k, *s) for k, c in enumerate(cases) for s in _speech(c))
 
 
 def test_segments_and_topics(spark):
