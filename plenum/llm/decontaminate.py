@@ -13,7 +13,9 @@ because a word or two in common doesn't mean that a benchmark has leaked.
 
 Tokens are runs of letters and digits, in lower case (A-Z). Benchmark items with equal tokens are one for the search
 and all reported. A passage that a third of all documents hold costs a hit row for each and no group of them is ever
-collected; hot hashes only meet the few items that have them.
+collected; documents with a hot hash are dealt to ``SALTS`` tasks, where they meet the few items that have it. Very long
+and repetitive texts: a document sends each of its hashes once, with the list of its places, and meets an item in one
+row, so that the work grows with the document's length (times the item's), not with its square.
 
 Null or empty texts on either side: no overlap. Null doc_id or item_id: kept and reported as null. Repeated rows: each
 is reported. Empty tables: no overlaps. Extra columns are kept by ``clean``, whatever their names. A document's key is
@@ -38,6 +40,8 @@ SPAN, WINDOW, LEAST_SHARE = 12, 20, (4, 5)
 #: that best_window accepts leaves one whole (2 of 12 to 14 tokens, 3 of 15 to 19, 4 of 20).
 MASKS = ("1110111", "11010010011", "11010001101")
 SHORT = 5
+#: Tasks that the documents with one hash are dealt to.
+SALTS = 16
 MIN_BITS, MAX_BITS, BITS_PER_HASH = 1 << 22, 1 << 28, 64
 
 
@@ -118,7 +122,8 @@ def _key() -> Column:
 
 
 def candidates(docs: DataFrame, bits: np.ndarray, masks: list[int]) -> DataFrame:
-    """(key, doc_id, own, hs, ps) of the documents of which some window passes the filter."""
+    """(key, doc_id, own, hs, ps) of the documents of which some window passes the filter: each hash once, with the
+    list of its places."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,17 +134,19 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: list[int]) -> DataFrame
                 for m in masks:
                     h = seed_hashes(word, m)
                     at = np.flatnonzero(_passes(shared.value, h))
-                    if m > len(MASKS):  # the whole of a very short item: its first place will do
-                        at = np.sort(at[np.unique(h[at], return_index=True)[1]])
-                    hs += h[at].view(np.int64).tolist()
-                    ps += at.tolist()
+                    if len(at):
+                        order = at[np.argsort(h[at], kind="stable")]
+                        own, first = np.unique(h[order], return_index=True)
+                        hs += own.view(np.int64).tolist()
+                        # The whole of a very short item: its first place will do.
+                        ps += [x[: 1 if m > len(MASKS) else None].tolist() for x in np.split(order, first[1:])]
                 if hs:
                     rows.append({"key": batch.column(0)[i].as_py(), "doc_id": batch.column(1)[i].as_py(), "own": word.tobytes(), "hs": hs, "ps": ps})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("own", pa.binary()), ("hs", pa.list_(pa.int64())), ("ps", pa.list_(pa.int32()))]))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("own", pa.binary()), ("hs", pa.list_(pa.int64())), ("ps", pa.list_(pa.list_(pa.int32())))]))
 
     rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "key string, doc_id long, own binary, hs array<long>, ps array<int>")
+    return rows.mapInArrow(run, "key string, doc_id long, own binary, hs array<long>, ps array<array<int>>")
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -157,6 +164,14 @@ def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return low + diagonal + at, int(found[at]), window
 
 
+def best_overlap(doc: np.ndarray, item: np.ndarray, met: list[tuple[list[int], list[int]]]) -> tuple[int, int, int] | None:
+    """The best window of all diagonals that hits name: places in the document and in the item for each hash. There
+    are at most as many diagonals as tokens in both, however often a text repeats itself."""
+    places = [np.unique(np.subtract.outer(np.array(ps), np.array(ats))) for ps, ats in met]
+    found = [w for d in np.unique(np.concatenate(places)).tolist() if (w := best_window(doc, item, d))]
+    return max(found, key=lambda w: (w[1], -w[0]), default=None)
+
+
 OVERLAPS = "key string, doc_id long, item long, place int, equal int, window int"
 
 
@@ -165,27 +180,31 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     is that of a document (the module's docstring)."""
     docs = docs.select("doc_id", "text")
     items = materialise(benchmark_items(bench), "items")
-    hashes = items.select("item", F.posexplode("hs").alias("i", "h"), "ps").select("item", "h", F.col("ps")[F.col("i")].alias("at"))
+    hashes = items.select("item", "own", F.posexplode("hs").alias("i", "h"), "ps").select("item", "own", "h", F.col("ps")[F.col("i")].alias("at"))
+    hashes = hashes.groupBy("item", "h").agg(F.first("own").alias("own"), F.collect_list("at").alias("ats"))
     lengths = items.select(F.least(F.length("own") / 8, F.lit(SPAN)).cast("int").alias("n")).distinct().collect()  # twelve rows at most
     masks = sorted({m for r in lengths for m in item_masks(r["n"])})
     found = materialise(candidates(docs, _filter(hashes.select("h")), masks), "hits")
-    hits = found.select("key", "ps", F.posexplode("hs").alias("i", "h")).select("key", "h", F.col("ps")[F.col("i")].alias("p"))
-    met = hits.join(hashes, "h").select("key", "item", (F.col("p") - F.col("at")).alias("diagonal")).distinct()
+    # A hash that many documents hold is dealt to SALTS tasks; the benchmark's side is repeated for each of them.
+    hits = found.select("key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"), "ps", F.posexplode("hs").alias("i", "h"))
+    hits = hits.select("key", "salt", "h", F.col("ps")[F.col("i")].alias("ps"))
+    salted = hashes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    met = hits.join(salted, ["h", "salt"]).groupBy("key", "item").agg(F.first("own").alias("own"), F.collect_list(F.struct("ps", "ats")).alias("met"))
     texts = found.select("key", "doc_id", F.col("own").alias("doc")).dropDuplicates(["key"])
-    pairs = met.join(texts, "key").join(items.select("item", "own"), "item").select("key", "doc_id", "item", "diagonal", "doc", "own")
+    pairs = met.join(texts, "key").select("key", "doc_id", "item", "met", "doc", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, doc_id, item, diagonal, doc, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if best := best_window(np.frombuffer(doc, np.uint64), np.frombuffer(own, np.uint64), diagonal):
+            for i in range(len(batch)):
+                key, doc_id, item, hit, doc, own = (c[i].as_py() for c in batch.columns)
+                if best := best_overlap(np.frombuffer(doc, np.uint64), np.frombuffer(own, np.uint64), [(m["ps"], m["ats"]) for m in hit]):
                     rows.append((key, doc_id, item, *best))
             if rows:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "doc_id", "item", "place", "equal", "window"])
 
-    best = pairs.mapInArrow(run, OVERLAPS).groupBy("key", "item").agg(F.max(F.struct("equal", (-F.col("place")).alias("back"), "doc_id", "window")).alias("b"))
-    named = best.select("key", "b.doc_id", "item", (-F.col("b.back")).alias("place"), "b.equal", "b.window")
+    named = pairs.mapInArrow(run, OVERLAPS)
     # Items with equal tokens were searched once; all of them are named.
     names = bench.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     return named.join(item_keys(names), "item").select("key", "doc_id", "item_id", "place", "equal", "window")

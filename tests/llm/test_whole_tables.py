@@ -225,6 +225,18 @@ def test_many_distinct_near_copies(spark, monkeypatch, steps, group):
 # clashing names, short items, empty tables
 
 
+def test_repetitive_texts_cost_one_row_for_each_item(spark):
+    """A document of 20,000 equal words and items that repeat them: one row for each pair, and the best window found."""
+    docs = [(1, "ha " * 20000), (2, "ha ho " * 5000 + "x y z"), (3, "ha " * 19 + "other words"), (4, "ho hu hi " * 30)]
+    items = [(1, "ha " * 30), (2, "ha ho " * 15), (3, "ho hu hi he " * 6)]
+    spread = [(i, " ".join(f"v{j}" for j in range(12)) + " ha" * (i % 3)) for i in range(5, 15)]
+    frames = [spark.createDataFrame(x, f"{n} long, text string") for x, n in (([*docs, *spread], "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): (r.place, r.equal, r.window) for r in decontaminate.overlaps(*frames).collect()}
+    assert got == {(1, 1): (0, 20, 20), (2, 2): (0, 20, 20), (3, 1): (0, 19, 20)}
+    doc, item = (np.frombuffer(np.full(n, 7, np.uint64), np.uint64) for n in (300, 30))
+    assert decontaminate.best_overlap(doc, item, [(list(range(290)), list(range(20)))]) == (0, 20, 20)
+
+
 NAMES = ("id", "words", "row", "gone", "met", "w", "v", "h", "key", "Score", "_bad", "_gone", "_touched", "_w", "_best", "best", "n", "rep", "comp", "ids_", "maybe", "count")
 
 
