@@ -10,7 +10,7 @@ from plenum.functions import constants as C
 from plenum.functions import times
 from plenum.functions import vector as V
 from plenum.operators import indexing, intervals, noise, search, stats
-from plenum.plans.base import table, vectors
+from plenum.plans.base import Q_SQL, query_vector, table, vectors
 from plenum.sources import documents
 
 
@@ -132,28 +132,42 @@ def noise_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def storage_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, b) for i, b in enumerate(EVENTS)], "i int, body string")
-    found = documents.events(rows, default_bucket="main")
-    bucket, key = times.uri_parts(F.coalesce("key", F.lit("")), "main")
-    return found.select("i", F.col("bucket"), F.col("key"), bucket.alias("uri_bucket"), key.alias("uri_key"))
+    """Pages as storage events: a record with an encoded key, plain fields with or without a bucket, or neither."""
+    kind, key = F.col("page_id") % 5, F.concat(F.replace("url", F.lit("https://"), F.lit("s3://")), F.lit(" _transcript.json"))
+    encoded = F.replace(F.replace(key, F.lit(" "), F.lit("%20")), F.lit("?"), F.lit("%3F"))
+    bucket = F.concat(F.lit("b"), F.col("page_id") % 3)
+    record = F.struct(F.struct(F.struct(bucket.alias("name")).alias("bucket"), F.struct(encoded.alias("key")).alias("object")).alias("s3"))
+    body = F.when(kind == 0, F.to_json(F.struct(F.array(record).alias("Records")))).when(kind == 1, F.to_json(F.struct(key.alias("key")))).when(kind == 2, F.to_json(F.struct(bucket.alias("bucket"), encoded.alias("key")))).when(kind == 3, F.lit("{}")).otherwise(F.col("url"))
+    found = documents.events(table(spark, d, "pages").select("page_id", body.alias("body")), default_bucket="main")
+    uri_bucket, uri_key = times.uri_parts(F.coalesce("key", F.lit("")), "main")
+    return found.select("page_id", "bucket", "key", uri_bucket.alias("uri_bucket"), uri_key.alias("uri_key"))
 
 
 def key_times(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, k) for i, k in enumerate(KEYS)], "i int, k string")
+    """Events as recordings: keys below radio stations and television channels, some without a stamp; times of both
+    readings of a stamp, and of an offset behind it."""
+    stamp = F.when(F.col("event_id") % 7 == 0, "none").otherwise(F.date_format("ts", "yyyy-MM-dd_HH-mm"))
+    k = F.concat(F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("tv/ch"), "user_id")).otherwise(F.concat(F.lit("st"), "user_id")), F.lit("/"), stamp, F.lit("_transcript.json"))
+    rows = table(spark, d, "events").select("event_id", "value", k.alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("said"))
     k = F.col("k")
-    utc, local = times.segment_time(k), times.recording_time(k, F.lit("2026-03-18T21:30:00"), F.lit(None).cast("string"))
+    utc, local = times.segment_time(k), times.recording_time(k, F.col("said"), F.lit(None).cast("string"))
     text = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
-    return rows.select("i", times.station(k).alias("station"), times.media_type(k).alias("media_type"), times.diarized_key(k).alias("diarized"), times.audio_key(k).alias("audio"), text(utc).alias("utc"), text(local).alias("local"), text(times.absolute(local, F.lit(90.5))).alias("later"))
+    return rows.select("event_id", times.station(k).alias("station"), times.media_type(times.station(k)).alias("media_type"), times.diarized_key(k).alias("diarized"), times.audio_key(k).alias("audio"), text(utc).alias("utc"), text(local).alias("local"), text(times.absolute(local, F.floor("value"))).alias("later"))
 
 
 def vector_cases(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES (0, array(double('NaN'), 1D)), (1, array(double('Infinity'), 0D)), (2, array(3D, 4D)), (3, array(0D, 0D)) AS t(i, v)")
-    clean = V.sanitize(F.col("v"))
-    return rows.select("i", F.array_join(F.transform(clean, lambda x: x.cast("int").cast("string")), ",").alias("clean"), F.round(V.cosine(F.coalesce(clean, V.literal([0.0, 0.0])), V.literal([0.0, 1.0])), 6).alias("cosine"))
+    """Vectors with broken numbers in a third of them each (none, not a number, infinite), and some of zeros alone."""
+    odd = lambda x: F.when(F.col("id") % 5 == 0, F.lit(0.0)).when((F.col("id") % 3 == 1) & (x > 0.1), F.lit(float("nan"))).when((F.col("id") % 3 == 2) & (x < 0), F.lit(float("-inf"))).otherwise(x)
+    rows = vectors(spark, d).select("id", F.transform(F.col("embedding_he").cast("array<double>"), odd).alias("v"))
+    clean, q = V.sanitize(F.col("v")), V.literal(query_vector(spark, d))
+    zero = F.transform(q, lambda x: x * 0)
+    return rows.select("id", clean.isNull().alias("gone"), F.round(F.aggregate(F.coalesce(clean, zero), F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(V.cosine(F.coalesce(clean, zero), q), 6).alias("cosine"))
 
 
 def date_range(spark: SparkSession, d: str) -> DataFrame:
-    return documents.dates(spark, "2026-02-26", "2026-03-02")
+    """Every day between the first and the last order."""
+    first, last = table(spark, d, "orders").agg(F.min("o_orderdate").cast("date").cast("string"), F.max("o_orderdate").cast("date").cast("string")).first()
+    return documents.dates(spark, first, last)
 
 
 def newest(spark: SparkSession, d: str) -> DataFrame:
@@ -185,9 +199,6 @@ def label_bins(spark: SparkSession, d: str) -> DataFrame:
     return intervals.label_bins(turns.where("role = 'user'"), turns.where("role <> 'user'"), media, "media_id", True)
 
 
-EVENTS = ['{"Records": [{"s3": {"bucket": {"name": "b1"}, "object": {"key": "a%20b/c_transcript.json"}}}]}', '{"key": "s3://b2/x/y.json"}', '{"bucket": "b3", "key": "k%20k"}', "{}", '{"key": "s3://only"}']
-KEYS = ["kan-bet/2026-03-19_08-00_transcript.json", "tv/ch1/2026-07-01_23-30_transcript.json", "x/none_transcript.json"]
-
 _E = "(SELECT *, (epoch_us(ts) - 1577836800000000) / 1e6 AS s, (epoch_us(lead(ts) OVER w) - 1577836800000000) / 1e6 AS e, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 _SEG = f"(SELECT user_id AS m, (n - 1) // 4 AS i, min(s) + 0.5 AS a, max(e) + 100 AS b FROM {_E} WHERE e IS NOT NULL GROUP BY ALL)"
 _PAIR = f"(SELECT g.m, g.i, g.a, g.b, t.s, t.e, t.n, t.event_type AS k, least(b, e) - greatest(a, s) AS o FROM {_SEG} g JOIN {_E} t ON t.user_id = g.m AND t.e IS NOT NULL AND g.a < t.e AND t.s < g.b)"
@@ -256,13 +267,20 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_cus
     "upsert_ignore": "WITH n AS (SELECT s_suppkey + 40 AS s_suppkey, upper(s_name) AS s_name FROM supplier WHERE s_suppkey % 3 = 0) SELECT s_suppkey, s_name FROM supplier UNION ALL FROM n WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier)",
     "noise_flags": """WITH r AS (SELECT doc_id // 7 AS m, doc_id AS i, quality = 0 AS q, toxic = 1 AS t FROM labels)
 SELECT m AS media_id, i AS sentence_index, CASE WHEN bool_or(t) OVER (PARTITION BY m) THEN t ELSE q END AS is_noise, CASE WHEN bool_or(t) OVER (PARTITION BY m) THEN CASE WHEN t THEN 'commercial' END WHEN q THEN 'short' END AS noise_type FROM r""",
-    "storage_events": "SELECT * FROM (VALUES (0, 'b1', 'a b/c_transcript.json', 'main', 'a b/c_transcript.json'), (1, 'main', 's3://b2/x/y.json', 'b2', 'x/y.json'), (2, 'b3', 'k%20k', 'main', 'k%20k'), (3, NULL, NULL, 'main', ''), (4, 'main', 's3://only', 'only', '')) t(i, bucket, key, uri_bucket, uri_key)",
-    "key_times": """SELECT * FROM (VALUES
-(0, 'kan-bet', 'radio', 'kan-bet/2026-03-19_08-00_diarized.json', 'kan-bet/2026-03-19_08-00.mp3', '2026-03-19 08:00:00', '2026-03-19 06:00:00', '2026-03-19 06:01:30'),
-(1, 'tv/ch1', 'tv', 'tv/ch1/2026-07-01_23-30_diarized.json', 'tv/ch1/2026-07-01_23-30.mp4', '2026-07-01 23:30:00', '2026-07-01 20:30:00', '2026-07-01 20:31:30'),
-(2, 'x', 'radio', 'x/none_diarized.json', 'x/none.mp3', NULL, '2026-03-18 19:30:00', '2026-03-18 19:31:30')) t(i, station, media_type, diarized, audio, utc, local, later)""",
-    "vector_cases": "SELECT * FROM (VALUES (0, '0,1', 1.0::double), (1, NULL, 0.0::double), (2, '3,4', 0.8::double), (3, NULL, 0.0::double)) t(i, clean, cosine)",
-    "date_range": "SELECT range::date AS day FROM range(DATE '2026-02-26', DATE '2026-03-03', INTERVAL 1 DAY)",
+    "storage_events": """WITH p AS (SELECT page_id, page_id % 5 AS kind, replace(url, 'https://', 's3://') || ' _transcript.json' AS k, 'b' || page_id % 3 AS b FROM pages),
+e AS (SELECT page_id, CASE kind WHEN 0 THEN b WHEN 1 THEN 'main' WHEN 2 THEN b END AS bucket, CASE kind WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN replace(replace(k, ' ', '%20'), '?', '%3F') END AS key FROM p)
+SELECT page_id, bucket, key, CASE WHEN starts_with(key, 's3://') THEN regexp_extract(key, '^s3://([^/]*)', 1) ELSE 'main' END AS uri_bucket,
+  CASE WHEN starts_with(key, 's3://') THEN regexp_replace(key, '^s3://[^/]*/?', '') ELSE coalesce(key, '') END AS uri_key FROM e""",
+    "key_times": """WITH k AS (SELECT event_id, value, date_trunc('second', ts) AS said, event_id % 7 <> 0 AS stamped, date_trunc('minute', ts) AS stamp, CASE WHEN user_id % 3 = 0 THEN 'tv/ch' ELSE 'st' END || user_id AS station,
+  CASE WHEN event_id % 7 = 0 THEN 'none' ELSE strftime(ts, '%Y-%m-%d_%H-%M') END AS name FROM events),
+t AS (SELECT *, timezone('UTC', timezone('Asia/Jerusalem', CASE WHEN stamped THEN stamp ELSE said END)) AS begun FROM k)
+SELECT event_id, station, CASE WHEN starts_with(station, 'tv/') THEN 'tv' ELSE 'radio' END AS media_type, station || '/' || name || '_diarized.json' AS diarized,
+  station || '/' || name || CASE WHEN starts_with(station, 'tv/') THEN '.mp4' ELSE '.mp3' END AS audio, CASE WHEN stamped THEN strftime(stamp, '%Y-%m-%d %H:%M:%S') END AS utc,
+  strftime(begun, '%Y-%m-%d %H:%M:%S') AS local, strftime(begun + to_seconds(floor(value)::bigint), '%Y-%m-%d %H:%M:%S') AS later FROM t""",
+    "vector_cases": f"""WITH v AS (SELECT vec_id AS id, list_transform(embedding::double[], lambda x: CASE WHEN vec_id % 5 = 0 OR vec_id % 3 = 1 AND x > 0.1::float OR vec_id % 3 = 2 AND x < 0 THEN 0.0::double ELSE x END) AS v FROM embeddings)
+SELECT id, list_max(list_transform(v, lambda x: abs(x))) = 0 AS gone, round(list_sum(v), 6) AS total,
+  CASE WHEN list_max(list_transform(v, lambda x: abs(x))) = 0 THEN 0.0::double ELSE round(list_cosine_similarity(v, (SELECT v FROM {Q_SQL})), 6) END AS cosine FROM v""",
+    "date_range": "SELECT range::date AS day FROM (SELECT min(o_orderdate)::date AS a, max(o_orderdate)::date AS b FROM orders), range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)",
     "on_day": "SELECT event_id FROM events WHERE ts::date = (SELECT min(ts)::date FROM events)",
     "distinct_days": "SELECT ts::date AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
     "noise_reset": """WITH r AS (SELECT doc_id // 7 AS m, doc_id AS i, quality = 0 AS q, bool_or(coalesce(toxic = 1, false)) OVER (PARTITION BY doc_id // 7) AS hit FROM labels)

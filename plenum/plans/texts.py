@@ -61,15 +61,29 @@ def event_turns(spark: SparkSession, d: str) -> DataFrame:
     return indexing.turns(rows, "user_id").select("user_id", "turn", "speaker", "start", "end", "text", F.round("speaker_confidence", 6).alias("speaker_confidence"))
 
 
+#: Texts of the tables have no Hebrew, so some are spelt with Hebrew letters, one for each Latin one.
+LATIN, HEBREW = "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתםןףץ"
+#: What is said in between, so that advertisement and jingle rules have something to find.
+SAID = ("", *C.INDEX_AD_PHRASES, *C.FILTER_AD_PHRASES, *C.SEGMENT_AD_PHRASES, *C.STATION_JINGLES, *C.FILTER_JINGLES, C.TOO_LOW, C.BRANDS[0], f"{C.TOO_LOW} {C.BRANDS[1]}", f"{C.LOWEST_PRICES} {C.LOWEST_PRICES}", f"6,990 שקלים ועוד 990 {C.SHEKELS}", "1200 שקל")
+
+
 def affix_expand(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(AFFIX_CASES)], "i int, text string")
-    return rows.select("i", T.affix_expand(F.col("text")).alias("expanded"), T.prefix_expand(F.col("text")).alias("prefixes"))
+    """Conversations spelt with Hebrew letters; every fifth turn stays Latin."""
+    spelt = F.when(F.col("conv_id") % 5 == 0, F.col("text")).otherwise(F.translate(F.lower("text"), LATIN, HEBREW))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", spelt.alias("text"))
+    return rows.select("conv_id", "turn", F.md5(T.affix_expand(F.col("text"))).alias("expanded"), F.md5(T.prefix_expand(F.col("text"))).alias("prefixes"))
 
 
 def noise_cases(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(NOISE_CASES)], "i int, text string")
+    """Sentences of the conversations, two of three spelt with Hebrew letters, each with one of ``SAID`` before and one
+    behind it: advertisement, jingle and noise rules."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"\.")).alias("i", "piece"))
+    h = F.col("conv_id") * 31 + F.col("turn") * 7 + F.col("i")
+    spelt = F.when(h % 3 == 0, F.col("piece")).otherwise(F.translate(F.lower("piece"), LATIN, HEBREW))
+    said = lambda n: F.element_at(F.lit(list(SAID)), (n % len(SAID) + 1).cast("int"))
+    rows = rows.select("conv_id", "turn", "i", F.concat_ws(" ", said(h), spelt, said(h * 5 + 3)).alias("text"))
     text = F.col("text")
-    return rows.select("i", T.noise_segment(text).alias("noise_type"), T.is_ad_index(text).alias("ad_index"), T.is_ad_filter(text).alias("ad_filter"), T.is_jingle(text).alias("jingle"), F.round(T.hebrew_ratio(text), 6).alias("hebrew"))
+    return rows.select("conv_id", "turn", "i", T.noise_segment(text).alias("noise_type"), T.is_ad_index(text).alias("ad_index"), T.is_ad_filter(text).alias("ad_filter"), T.is_jingle(text).alias("jingle"), F.round(T.hebrew_ratio(text), 6).alias("hebrew"))
 
 
 def noise_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -93,31 +107,32 @@ def highlight(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where(F.col("text").ilike("%license%")).select("doc_id", F.md5(marked).alias("digest"), T.minutes(F.length("text") / 7).alias("at"))
 
 
-AFFIX_CASES = ["חרדים", "בתקציב", "חרדיות", "ובממשלה", "של הכנסת abc", "", "אב גד בית"]
-#: (text, noise type, advertisement by the first and the second list, jingle, share of Hebrew letters), traced by hand.
-NOISE_CASES = [
-    ("שלום לכם ארבע מילים", "short", False, False, False, 1.0),
-    ("לה לה לה לה לה לה לה לה", "repetitive", False, False, False, 1.0),
-    ("six latin words stand in here", "gibberish", False, False, False, 0.0),
-    ("רק השבוע במבצע מיוחד מיטה ומזרן לכולם", "commercial", True, False, False, 1.0),
-    ("כאן רשת ב שלום לכולם וברכה", "jingle", False, False, True, 1.0),
-    ("לפרטים נוספים התקשרו עכשיו אל המספר שלנו", None, True, True, False, 1.0),
-    ("היום נדבר על מצב הכלכלה בארץ ובעולם כולו", None, False, False, False, 1.0),
-]
 _P, _X = "[" + ",".join(f"'{p}'" for p in C.PREFIXES) + "]", C.SUFFIXES
 _STEM = "CASE " + " ".join(f"WHEN ends_with({{0}}, '{s}') AND length({{0}}) >= {len(s) + 2} THEN left({{0}}, length({{0}}) - {len(s)})" for s in _X) + " END"
 _BARE = f"CASE WHEN length(w) >= 3 AND list_contains({_P}, left(w, 1)) THEN substr(w, 2) END"
-_CASES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(AFFIX_CASES))
+
+
+def _held(names: tuple[str, ...], text: str = "text") -> str:
+    """How many of the phrases a text holds."""
+    return "(" + " + ".join(f"contains({text}, '{p.replace(chr(39), chr(39) * 2)}')::int" for p in names) + ")"
+
+
+def _times(phrase: str) -> str:
+    return f"((length(text) - length(replace(text, '{phrase}', ''))) // {len(phrase)})"
+
+
+_SLOGAN = f"(contains(text, '{C.TOO_LOW}') AND {_held(C.BRANDS)} > 0)"
+_SAID = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in SAID) + "]"
+_HEARD = f"""(SELECT conv_id, turn, i, {_SAID}[h % {len(SAID)} + 1] || ' ' || CASE WHEN h % 3 = 0 THEN piece ELSE translate(lower(piece), '{LATIN}', '{HEBREW}') END || ' ' || {_SAID}[(h * 5 + 3) % {len(SAID)} + 1] AS text
+  FROM (SELECT *, conv_id * 31 + turn * 7 + i AS h FROM (SELECT conv_id, turn, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS i FROM (SELECT *, string_split(text, '.') AS p FROM conversations))))"""
+_REPEATS = "(SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g) GROUP BY g)) >= 3"
+_PRICE = f"regexp_matches(text, '{C.PRICE}')"
 _NOISE = f"""(SELECT *, CASE WHEN len(w) < 5 THEN 'short' WHEN len(w) >= 8 AND len(list_distinct(w)) / len(w) < 0.3 THEN 'repetitive'
   WHEN len(w) >= 12 AND (SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g) GROUP BY g)) >= 3 THEN 'repetitive'
   WHEN len(w) < 15 AND regexp_matches(text, '\\p{{L}}') THEN 'gibberish' END AS noise_type FROM (SELECT doc_id, text, source, {WORDS_SQL} AS w FROM documents))"""
 _RUNS = """SELECT *, sum(new) OVER (PARTITION BY k ORDER BY o) AS g FROM (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY k ORDER BY o) IS NOT DISTINCT FROM v THEN 0 ELSE 1 END AS new FROM ({0}))"""
 
 
-def _literal(x) -> str:
-    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else f"{x}::double"
-
-
 SQL = {
     "quality_penalty": f"SELECT doc_id, round({penalty_sql('w')}, 6) AS penalty FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)",
     "noise_segment": f"SELECT doc_id, noise_type FROM {_NOISE}",
@@ -125,10 +140,17 @@ SQL = {
     "sentence_split": r"SELECT doc_id, (i - 1)::int AS part, length(p)::int AS chars, md5(p) AS digest FROM (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.?!।])\s+', '\1' || chr(31), 'g'), chr(31)) AS p FROM documents))",
     "speaker_turns": f"SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY g) - 1)::int AS turn, speaker, start, \"end\", digest, 0.5::double AS speaker_confidence FROM (SELECT k AS conv_id, g, any_value(v) AS speaker, min(o)::double AS start, (max(o) + 1)::double AS \"end\", md5(string_agg(trim(text), ' ' ORDER BY o)) AS digest FROM ({_RUNS.format('SELECT conv_id AS k, turn AS o, role AS v, text FROM conversations')}) GROUP BY k, g)",
     "event_turns": f"SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY g) - 1)::int AS turn, speaker, start, \"end\", text, speaker_confidence FROM (SELECT k AS user_id, g, any_value(v) AS speaker, arg_min(event_id, o)::double AS start, arg_max(event_id, o)::double AS \"end\", string_agg(event_id::varchar, ' ' ORDER BY o) AS text, round(min(coalesce(value, 0)), 6) AS speaker_confidence FROM ({_RUNS.format('SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o, event_type AS v, event_id, value FROM events')}) GROUP BY k, g)",
-    "affix_expand": f"""WITH c(i, text) AS (VALUES {_CASES}),
-w AS (SELECT i, text, list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) >= 3 THEN [{_BARE}, {_STEM.format('w')}, {_STEM.format(f'({_BARE})')}] ELSE [] END) AS f, list_transform(string_split(text, ' '), lambda w: {_BARE}) AS p FROM c)
-SELECT i, array_to_string(list_concat([text], list_filter(flatten(f), lambda x: x IS NOT NULL)), ' ') AS expanded, array_to_string(list_concat([text], list_filter(p, lambda x: x IS NOT NULL)), ' ') AS prefixes FROM w""",
-    "noise_cases": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_literal, c[1:]))})" for i, c in enumerate(NOISE_CASES)) + ") t(i, noise_type, ad_index, ad_filter, jingle, hebrew)",
+    "affix_expand": f"""WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN text ELSE translate(lower(text), '{LATIN}', '{HEBREW}') END AS text FROM conversations),
+w AS (SELECT conv_id, turn, text, list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) >= 3 THEN [{_BARE}, {_STEM.format('w')}, {_STEM.format(f'({_BARE})')}] ELSE [] END) AS f, list_transform(string_split(text, ' '), lambda w: {_BARE}) AS p FROM c)
+SELECT conv_id, turn, md5(array_to_string(list_concat([text], list_filter(flatten(f), lambda x: x IS NOT NULL)), ' ')) AS expanded, md5(array_to_string(list_concat([text], list_filter(p, lambda x: x IS NOT NULL)), ' ')) AS prefixes FROM w""",
+    "noise_cases": f"""WITH s AS (SELECT *, {WORDS_SQL} AS w, len(regexp_extract_all(text, '[֐-׿]')) AS he, len(regexp_extract_all(text, '\\p{{L}}')) AS letters FROM {_HEARD})
+SELECT conv_id, turn, i::int AS i, CASE WHEN len(w) < 5 THEN 'short' WHEN len(w) >= 8 AND len(list_distinct(w)) / len(w) < 0.3 THEN 'repetitive' WHEN len(w) >= 12 AND {_REPEATS} THEN 'repetitive'
+    WHEN len(w) < 15 AND letters > 0 AND he / letters < 0.3 THEN 'gibberish'
+    WHEN {_held(C.SEGMENT_AD_PHRASES)} >= 2 OR {_held(C.SEGMENT_AD_PHRASES)} >= 1 AND {_PRICE} OR {_times(C.LOWEST_PRICES)} >= 2 OR {_SLOGAN} THEN 'commercial'
+    WHEN len(w) <= 8 AND {_held(C.STATION_JINGLES)} > 0 THEN 'jingle' END AS noise_type,
+  {_held(C.INDEX_AD_PHRASES, 'lower(text)')} >= 2 OR {_held(C.INDEX_AD_PHRASES, 'lower(text)')} >= 1 AND {_PRICE} OR {_times(C.LOWEST_PRICES)} >= 2 OR {_times(C.SHEKELS)} >= 2 AND {_PRICE} OR {_SLOGAN} AS ad_index,
+  {_held(C.FILTER_AD_PHRASES, 'lower(text)')} >= 2 AS ad_filter, len(w) <= 8 AND {_held(C.STATION_JINGLES)} > 0 AS jingle,
+  CASE WHEN letters > 0 THEN round(he / letters, 6) END AS hebrew FROM s""",
     "noise_stats": f"SELECT source AS station, count(*) AS total, count(noise_type) AS noise, round(100.0 * count(noise_type) / count(*), 4)::double AS noise_pct, count(DISTINCT CASE WHEN noise_type IS NOT NULL THEN doc_id END) AS noisy_media FROM {_NOISE} GROUP BY source",
     "noise_types": f"SELECT noise_type, count(*) AS n FROM {_NOISE} WHERE noise_type IS NOT NULL GROUP BY noise_type",
     "noise_propagate": """WITH s AS (SELECT doc_id // 3 AS segment_id, quality = 0 AS noisy, CASE WHEN quality = 0 THEN 't' || (doc_id % 2)::varchar END AS t FROM labels),
