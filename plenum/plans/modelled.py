@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plenum.operators import fusion, models, search
 from plenum.plans.base import searchable, table
+from plenum.sources import store
+from plenum.streaming import indexer
 
 BUCKETS, DIMS = 4096, 16
 
@@ -39,6 +41,21 @@ def rerank_head(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("segment_id", F.round("rank", 6).alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def index_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as transcripts of recordings, indexed in two batches: segments with their topics."""
+    model, tables = _model(spark, d), indexer.Tables(store.fresh(spark, "index"))
+    turn = F.struct((F.col("turn") * 60.0).alias("start"), (F.col("turn") * 60.0 + 60).alias("end"), "text", F.col("role").alias("speaker"), F.lit(0.9).alias("speaker_confidence"))
+    docs = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("segments"))
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("conv_id") * 60), "yyyy-MM-dd_HH-mm")
+    key = F.concat(F.lit("st"), F.col("conv_id") % 3, F.lit("/"), stamp, F.lit("_"), "conv_id", F.lit("_diarized.json"))
+    docs = docs.select(key.alias("s3_transcript_key"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("filename"), "segments", "conv_id")
+    half = F.col("conv_id") < docs.agg(F.max("conv_id") / 2).first()[0]
+    settings = indexer.Settings(_named(model), lambda: model, 0.3, 300, 0.6)
+    indexer.index_batch(docs.where(half), tables, 0, settings)
+    indexer.index_batch(docs.where(~half), tables, 1, settings)
+    return tables.finished(spark, "segments").select("batch", "media_id", "segment_id", "station", "segment_index", "sentence_count", "start_time", "end_time", "topic_id")
+
+
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 SQL = {
     "document_vectors": f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents),
@@ -49,4 +66,4 @@ n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM v GROUP BY doc_id)
 SELECT d.doc_id, g.i::int AS i, round(coalesce(v.x / nullif(n, 0), 0)::float::double, 4) AS x FROM documents d CROSS JOIN range({DIMS}) g(i) LEFT JOIN v ON v.doc_id = d.doc_id AND v.i = g.i LEFT JOIN n ON n.doc_id = d.doc_id""",
 }
 
-QUERIES = {f.__name__: f for f in (document_vectors, rerank_head)}
+QUERIES = {f.__name__: f for f in (document_vectors, rerank_head, index_documents)}
