@@ -30,6 +30,14 @@ def absolute(base: Column, offset: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(base) + F.round(offset * 1_000_000).cast("long"))
 
 
+def iso(time: Column, zone: str = ZONE) -> Column:
+    """A time as the zone's clock shows it, with its offset: 2026-03-19T08:00:00+02:00."""
+    local = F.from_utc_timestamp(time, zone)
+    ahead = ((F.unix_micros(local) - F.unix_micros(time)) / 60_000_000).cast("int")
+    offset = F.format_string("%s%02d:%02d", F.when(ahead < 0, "-").otherwise("+"), F.floor(F.abs(ahead) / 60), F.abs(ahead) % 60)
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.when(time.isNotNull(), offset))
+
+
 def uri_parts(uri: Column, default_bucket: str) -> tuple[Column, Column]:
     """(bucket, key) of s3://bucket/key, else (default, the text as it is)."""
     full = uri.startswith("s3://")

@@ -13,9 +13,6 @@ from pyspark.sql.window import Window
 from plenum.functions import constants as C
 from plenum.functions import text as T
 
-#: The signals of a hybrid search in their order; phrase and trigram signals have weights and can be added.
-HYBRID = ("sent_he", "seg_he", "sent_kw", "seg_kw", "topic")
-
 
 def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` of one signal with their place (1-based). A signal is a top-k, so one task sorts k rows."""

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plenum.plans import indexes, modelled, searches, spans, texts, updates
+from plenum.plans import indexes, modelled, searches, spans, texts, updates, written
 
 FLAGSHIP = "hybrid_rrf"
-MODULES = (searches, indexes, modelled, texts, spans, updates)
+MODULES = (searches, indexes, modelled, texts, spans, updates, written)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

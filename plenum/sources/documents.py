@@ -79,27 +79,41 @@ def deterministic_id(*parts: str | Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *parts))
 
 
-def append(rows: DataFrame, path: str, partitions: list[str]) -> None:
-    rows.write.mode("append").partitionBy(*partitions).parquet(path)
-
-
 def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """Documents as JSON, a line for each; text is not escaped. Documents that are there are replaced."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def _labelled(name: str):
     return lambda x: x["label"] == name
 
 
-def noise_map(spans: DataFrame, key: str = "media_id") -> DataFrame:
-    """A document for each recording: noise spans, speech spans, all, and a summary by label."""
+#: The labels that a summary counts.
+LABELS = ("speech", "music", "silence", "noise")
+
+
+def noise_map(spans: DataFrame, key: str = "media_id", durations: DataFrame | None = None, classifier: str = "spectral", detected_at: Column | None = None) -> DataFrame:
+    """A document for each recording: noise spans, speech spans, all, when they were found, and a summary with seconds
+    and percent by label. ``durations``: (key, audio_duration); a recording without one lasts until its last span."""
     span = F.struct("start", "end", "label", F.round(F.col("end") - F.col("start"), 3).alias("duration"))
-    whole = spans.groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("all_segments"))
+    whole = spans.groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("all_segments"), F.max("end").alias("_last"))
+    if durations is not None:
+        whole = whole.join(durations.select(key, "audio_duration"), key, "left")
+    length = F.coalesce("audio_duration", "_last") if durations is not None else F.col("_last")
+    whole = whole.withColumn("_length", F.round(length, 2))
     of = lambda test: F.filter("all_segments", test)
-    seconds = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x["duration"]), 2)
-    labels = ("speech", "music", "silence", "noise")
-    summary = [f(F.filter("all_segments", _labelled(n))).alias(f"{n}_{kind}") for n in labels for kind, f in (("segments", F.size), ("seconds", seconds))]
-    return whole.select(key, of(lambda x: x["label"] != "speech").alias("noise_spans"), of(lambda x: x["label"] == "speech").alias("speech_spans"), "all_segments", F.struct(F.size("all_segments").alias("total_segments"), *summary).alias("summary"))
+    summary = [F.col("_length").alias("audio_duration"), F.size("all_segments").alias("total_segments"), F.lit(classifier).alias("classifier")]
+    for name in LABELS:
+        seconds = F.aggregate(of(_labelled(name)), F.lit(0.0), lambda s, x: s + x["duration"])
+        share = F.when(F.col("_length") > 0, F.round(100 * seconds / F.col("_length"), 1)).otherwise(F.lit(0.0))
+        summary += [F.size(of(_labelled(name))).alias(f"{name}_segments"), F.round(seconds, 2).alias(f"{name}_seconds"), share.alias(f"{name}_pct")]
+    found = F.date_format(F.current_timestamp() if detected_at is None else detected_at, "yyyy-MM-dd'T'HH:mm:ss")
+    return whole.select(key, of(lambda x: x["label"] != "speech").alias("noise_spans"), of(lambda x: x["label"] == "speech").alias("speech_spans"), "all_segments", F.struct(*summary).alias("summary"), found.alias("detected_at"))
+
+
+def noise_maps(spark: SparkSession, path: str, key: str = "media_id") -> DataFrame:
+    """Such documents as ``write_json`` has left them."""
+    return spark.read.schema(f"{key} string, {schemas.NOISE_MAP}").json(path)
 
 
 def spans_of(maps: DataFrame, key: str = "media_id") -> DataFrame:
@@ -108,12 +122,37 @@ def spans_of(maps: DataFrame, key: str = "media_id") -> DataFrame:
     return rows.select(key, F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.label").alias("label"), "span_index")
 
 
-def diarized(docs: DataFrame, assigned: DataFrame, turns: DataFrame, key: str = "media_id") -> DataFrame:
-    """The diarized document of each transcript: segments with speakers, speaker turns, counts and the absolute start,
-    from rows of ``intervals.assign_speakers`` and the turns (key, s, e, speaker). ``docs``: key, recording_start."""
+def diarized(docs: DataFrame, assigned: DataFrame, turns: DataFrame, key: str = "media_id", model: str | None = None, device: str | None = None, zone: str = times.ZONE, created_at: Column | None = None) -> DataFrame:
+    """The diarized document of each transcript: segments with speakers, speaker turns, how it was made, and absolute
+    times, from rows of ``intervals.assign_speakers`` and the turns (key, s, e, speaker).
+
+    ``docs``: key and either recording_start or s3_transcript_key, s3_audio_key, timestamp and filename, by which the
+    start is found (the transcript's key first, then the audio's); without a start there are no absolute times."""
+    lacking = {c: F.lit(None).cast("string") for c in ("s3_transcript_key", "s3_audio_key", "timestamp", "filename") if c not in docs.columns}
+    docs = docs.withColumns(lacking) if lacking else docs
+    if "recording_start" not in docs.columns:
+        by = lambda k: times.recording_time(F.coalesce(k, F.lit("")), F.col("timestamp"), F.coalesce("filename", F.lit("")), zone)
+        docs = docs.withColumn("recording_start", F.coalesce(by("s3_transcript_key"), by("s3_audio_key")))
     segs = assigned.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("segment_index", "start", "end", "text", "speaker", "speaker_confidence"))).alias("segments"))
-    sp = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), "speaker"))).alias("speaker_segments"), F.countDistinct("speaker").alias("speaker_count"), F.count("*").alias("turn_count"))
+    sp = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end"), "speaker"))).alias("speaker_segments"), F.countDistinct("speaker").alias("_speakers"), F.count("*").alias("_turns"))
     out = docs.join(segs, key, "left").join(sp, key, "left")
     base = F.col("recording_start")
     timed = lambda x: x.withField("start_datetime", times.absolute(base, x["start"])).withField("end_datetime", times.absolute(base, x["end"]))
-    return out.withColumns({"segments": F.transform("segments", timed), "speaker_segments": F.transform("speaker_segments", timed), "diarization": F.struct(F.coalesce("speaker_count", F.lit(0)).alias("speaker_count"), F.coalesce("turn_count", F.lit(0)).alias("turn_count"), base.alias("recording_start"))}).drop("speaker_count", "turn_count")
+    made = F.struct(
+        (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
+        F.lit(model).cast("string").alias("model"),
+        F.lit(device).cast("string").alias("device"),
+        "s3_transcript_key",
+        "s3_audio_key",
+        F.coalesce("_speakers", F.lit(0)).alias("speaker_count"),
+        F.coalesce("_turns", F.lit(0)).alias("turn_count"),
+        base.alias("recording_start"),
+    )
+    known = {
+        "segments": F.transform("segments", timed),
+        "speaker_segments": F.transform("speaker_segments", timed),
+        "timestamp": F.coalesce(times.iso(base, zone), F.col("timestamp")),
+        "timezone": F.when(base.isNotNull(), F.lit(zone)),
+        "diarization": made,
+    }
+    return out.withColumns(known).drop("_speakers", "_turns")

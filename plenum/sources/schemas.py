@@ -9,5 +9,6 @@ SENTENCES = "sentence_id string, media_id string, segment_id string, sentence_in
 
 TRANSCRIPT = "timestamp string, filename string, segments array<struct<start: double, end: double, text: string, speaker: string, speaker_confidence: double>>"
 SPAN = "array<struct<start: double, end: double, label: string, duration: double>>"
-NOISE_MAP = f"noise_spans {SPAN}, speech_spans {SPAN}, all_segments {SPAN}, detected_at string"
+_SUMMARY = ", ".join(f"{x}_segments: int, {x}_seconds: double, {x}_pct: double" for x in ("speech", "music", "silence", "noise"))
+NOISE_MAP = f"noise_spans {SPAN}, speech_spans {SPAN}, all_segments {SPAN}, summary struct<audio_duration: double, total_segments: int, classifier: string, {_SUMMARY}>, detected_at string"
 EVENT = "Records array<struct<s3: struct<bucket: struct<name: string>, object: struct<key: string>>>>, bucket string, key string"
