@@ -56,3 +56,30 @@ def test_search_modes(spark):
     for mode in ("hybrid", "semantic", "keyword"):
         got = api.run(api.Request("common -word3", mode, limit=3), index, lambda text: [1.0, 0.0]).collect()
         assert got and all("word3" not in r.text for r in got) and len(got) <= 3
+
+
+def test_audio_files_of_some_days(spark, tmp_path):
+    for name in ("st/2026-03-19_08-00.mp3", "st/2026-03-20_08-00.mp3", "tv/ch/2026-03-19_09-00.mp4", "st/2026-03-19_08-00.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    files = documents.audio(spark, str(tmp_path), ["2026-03-19"])
+    assert sorted(bytes(r.content).decode() for r in files.collect()) == ["st/2026-03-19_08-00.mp3", "tv/ch/2026-03-19_09-00.mp4"]
+    assert documents.audio(spark, str(tmp_path)).count() == 3
+
+
+def test_noise_maps_and_diarized_documents_have_all_fields(spark, tmp_path):
+    spans = spark.createDataFrame([("m", 0.0, 2.0, "speech"), ("m", 2.0, 5.0, "music"), ("n", 0.0, 1.0, "speech")], "media_id string, start double, end double, label string")
+    lengths = spark.createDataFrame([("m", 10.0)], "media_id string, audio_duration double")
+    documents.write_json(documents.noise_map(spans, durations=lengths, classifier="ina"), str(tmp_path / "maps"))
+    got = {r.media_id: r for r in documents.noise_maps(spark, str(tmp_path / "maps")).collect()}
+    m, n = got["m"], got["n"]
+    assert (m.summary.audio_duration, m.summary.music_pct, m.summary.speech_pct, m.summary.classifier) == (10.0, 30.0, 20.0, "ina") and m.detected_at
+    assert (n.summary.audio_duration, n.summary.speech_pct, n.summary.noise_pct, n.noise_spans) == (1.0, 100.0, 0.0, [])
+    segs = spark.createDataFrame([("m", 0, 0.0, 2.0, "hi")], "media_id string, segment_index int, start double, end double, text string")
+    turns = spark.createDataFrame([("m", 0.0, 2.0, "A")], "media_id string, s double, e double, speaker string")
+    docs = spark.createDataFrame([("m", "st/none_transcript.json", "st/2026-07-01_08-00.mp3", None, None), ("x", "y", "z", None, None)], "media_id string, s3_transcript_key string, s3_audio_key string, timestamp string, filename string")
+    found = {r.media_id: r for r in documents.diarized(docs, intervals.assign_speakers(segs, turns), turns, model="m1", device="cpu").collect()}
+    m, x = found["m"], found["x"]
+    assert (m.timestamp, m.timezone, str(m.segments[0].start_datetime)) == ("2026-07-01T08:00:00+03:00", "Asia/Jerusalem", "2026-07-01 05:00:00")
+    assert (m.diarization.model, m.diarization.device, m.diarization.s3_audio_key, m.diarization.turn_count) == ("m1", "cpu", "st/2026-07-01_08-00.mp3", 1) and m.diarization.created_at
+    assert x.timestamp is None and x.timezone is None and x.diarization.speaker_count == 0
