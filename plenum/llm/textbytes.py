@@ -132,14 +132,3 @@ def shingles(word: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         total += word[j : len(word) - k + 1 + j] * powers(k + 2)[j + 1]
     return mix(total + np.uint64(length & 0xFFFF))
-
-
-def char_grams(raw: np.ndarray, n: int) -> np.ndarray:
-    """For each position the hash of the n bytes that begin there (n - 1 fewer positions than bytes)."""
-    if len(raw) < n:
-        return np.zeros(0, np.uint64)
-    code, count = BYTE_CODE[raw], len(raw) - n + 1
-    total = code[:count] * powers(n + 1)[1]
-    for j in range(1, n):
-        total += code[j : j + count] * powers(n + 1)[j + 1]
-    return mix(total + np.uint64(n))

@@ -7,7 +7,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
-from plenum.llm import entry, fill_in_middle, filter_audit, line_dedup
+from plenum.llm import entry, fill_in_middle, filter_audit, line_dedup, sharding
 from pyspark.sql import functions as F
 
 LONG = "\n".join(f"Line {i % 900} of a long text, w{i}" if i % 3 else "  Shared LINE \t" for i in range(30000))
@@ -178,6 +178,14 @@ def test_any_filters(spark, odd):
     assert {r.filter_order for r in got} == {"XE", "EX"} and all(r.kept + r.removed + r.redundant >= 0 for r in got)
 
 
+def test_shards_as_they_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(None, "none"), (7, "again")], "doc_id long, text string")
+    sharding.write_shards(rows, "doc_id", str(tmp_path / "shards"))
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    want = sharding.place(rows, "doc_id").select("doc_id", "text", "shard")
+    assert got.select("doc_id", "text", "shard").exceptAll(want).count() == 0 and got.count() == 502
+
+
 @pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_line_dedup", "op13_filter_audit"])
 def test_stable_schema(spark, data, name):
     assert set(entry.oracle_sql()) >= {name} and entry.queries()[name](spark, data).count() > 0
