@@ -13,10 +13,12 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from plenum.session import local_session, ship
+    from plenum.sources import store
 
     session = ship(local_session("4", "tests"))
     session.sparkContext.setLogLevel("OFF")
     yield session
+    store.clean(session)
     session.stop()
 
 
