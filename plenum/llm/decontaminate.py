@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plenum.llm.key_filter import key_filter
 from plenum.llm.scratch import materialise
-from plenum.llm.textbytes import LOWER, NON_WORD, buffers, groups, mix, powers, words
+from plenum.llm.textbytes import LOWER, NON_WORD, buffers, groups, mix, powers, trimmed, words
 
 SPAN, WINDOW, LEAST_SHARE = 12, 20, (4, 5)
 #: Positions looked at: six of at most ``SPAN``, three ways; found by enumeration so that every pattern of substitutions
@@ -146,7 +146,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, masks: list[int]) -> DataFrame
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("doc_id", pa.int64()), ("own", pa.binary()), ("hs", pa.list_(pa.int64())), ("ps", pa.list_(pa.list_(pa.int32())))]))
 
     rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "key string, doc_id long, own binary, hs array<long>, ps array<array<int>>")
+    return rows.mapInArrow(trimmed(run), "key string, doc_id long, own binary, hs array<long>, ps array<array<int>>")
 
 
 def best_window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -204,7 +204,7 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "doc_id", "item", "place", "equal", "window"])
 
-    named = pairs.mapInArrow(run, OVERLAPS)
+    named = pairs.mapInArrow(trimmed(run), OVERLAPS)
     # Items with equal tokens were searched once; all of them are named.
     names = bench.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     return named.join(item_keys(names), "item").select("key", "doc_id", "item_id", "place", "equal", "window")

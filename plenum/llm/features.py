@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from plenum.llm.textbytes import BYTE_CODE, SLICE_BYTES, WHITE, words
+from plenum.llm.textbytes import BYTE_CODE, SLICE_BYTES, WHITE, give_back, words
 
 _CODE32 = (BYTE_CODE >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
 #: How far the classes' counts matter in calibration.
@@ -149,16 +148,9 @@ def calibrated(sample: list[tuple[bytes, int]], train: Callable, parts: int = 4,
             logits.append(other.logits(np.frombuffer(b"".join(t for t, _ in rest), np.uint8), ends))
             labels.append(np.array([y for _, y in rest]))
     model.curve = platt(np.concatenate(logits), np.concatenate(labels))
-    _give_back()
+    give_back()
     return model
 
 
-def _give_back() -> None:
-    """Return the freed memory of training to the system, where the C library can: the driver lives on."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def held_out(folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from plenum.llm.components import components
 from plenum.llm.key_filter import key_filter
 from plenum.llm.scratch import Scratch, materialise
-from plenum.llm.textbytes import buffers, groups, mix, shingles, words
+from plenum.llm.textbytes import buffers, groups, mix, shingles, trimmed, words
 
 #: Nodes that share a shingle before it counts as hot, and the most shingles that do (else only the more frequent ones
 #: do); nodes of a block; children of a tree node.
@@ -109,7 +109,7 @@ def shingle_heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 heads = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *pre]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), heads, pa.array(sig, pa.binary())], ["doc_id", "n", "d1", "d2", "pre", "sig"])
 
-    return _rows(docs).mapInArrow(run, HEADS)
+    return _rows(docs).mapInArrow(trimmed(run), HEADS)
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, k: int, work: Scratch) -> DataFrame:
@@ -124,7 +124,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, k: int, work: Scratch) -> Data
 
     nodes = work.keep(nodes.select(*NODE).distinct(), "wanted")
     texts = key_filter(nodes, "rep").maybe(_rows(docs), "doc_id").select("doc_id", "text")
-    found = texts.mapInArrow(run, "rep long, d1 long, n int, own binary")
+    found = texts.mapInArrow(trimmed(run), "rep long, d1 long, n int, own binary")
     return found.groupBy(*NODE).agg(F.first("n").alias("n"), F.first("own").alias("own")).join(nodes, NODE, "left_semi")
 
 
@@ -291,7 +291,7 @@ def _by_list(rows: DataFrame, columns: list[str], schema: str, work: Callable) -
                 held.append(row)
         yield from done()
 
-    return rows.select("lid", *columns).repartition("lid").sortWithinPartitions("lid").mapInArrow(run, schema)
+    return rows.select("lid", *columns).repartition("lid").sortWithinPartitions("lid").mapInArrow(trimmed(run), schema)
 
 
 def near_members(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -404,7 +404,7 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, wor
 
     # Sets with more hot shingles than the reserve: their prefix is taken from the whole set.
     rest = nodes.select(*NODE, "n", "pre").mapInArrow(short, "rep long, d1 long")
-    full = work.keep(whole_sets(docs, rest, k, work).select(*NODE, "own").mapInArrow(whole, "h long, rep long, d1 long"), "full")
+    full = work.keep(whole_sets(docs, rest, k, work).select(*NODE, "own").mapInArrow(trimmed(whole), "h long, rep long, d1 long"), "full")
     kept = context.broadcast(_bits(shared.select("h").unionByName(full.select("h"))))
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

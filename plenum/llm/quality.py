@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plenum.llm.features import calibrated, gram_buckets, labelled_sample, pieces, word_buckets
-from plenum.llm.textbytes import SAME, WHITE, buffers, mix
+from plenum.llm.textbytes import SAME, WHITE, buffers, mix, trimmed
 
 SAMPLE_ROWS, BITS, DIMENSIONS, EPOCHS, LEAST_STEPS, RATE = 4000, 18, 8, 4, 3000, 0.5
 GRAMS = (3, 4, 5)
@@ -124,4 +124,4 @@ def with_score(docs: DataFrame, model, text: str, name: str) -> DataFrame:
             found = shared.value.score(*buffers(batch.column(batch.schema.get_field_index(text))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*fields, StructField(name, DoubleType())]))

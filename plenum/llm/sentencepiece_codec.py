@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from plenum.llm.chunk_encoder import ChunkEncoder
-from plenum.llm.textbytes import SLICE_BYTES, buffers, groups
+from plenum.llm.textbytes import SLICE_BYTES, buffers, groups, trimmed
 
 MARK = "▁"
 #: Chunks that a worker's cache holds.
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", threads: int =
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
 
     fields = [StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    return docs.mapInArrow(run, StructType([*fields, StructField("ids", ArrayType(IntegerType(), False))]))
+    return docs.mapInArrow(trimmed(run), StructType([*fields, StructField("ids", ArrayType(IntegerType(), False))]))
 
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", threads: int = 2) -> DataFrame:
