@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.operators import indexing, intervals, search
@@ -12,12 +12,14 @@ from plenum.plans.spans import _E, _events, _sides
 from plenum.plans.spans import SQL as SPANS_SQL
 from plenum.sources import documents, store
 
-_LABEL = F.when(F.col("event_type") == "view", "speech").when(F.col("event_type") == "click", "music").when(F.col("event_type") == "error", "silence").otherwise("noise")
+def _label() -> Column:
+    kind = F.col("event_type")
+    return F.when(kind == "view", "speech").when(kind == "click", "music").when(kind == "error", "silence").otherwise("noise")
 
 
 def noise_maps(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events as spans of a recording: the maps are written as documents and read back."""
-    spans = _events(spark, d).select(F.col("user_id").cast("string").alias("media_id"), F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), _LABEL.alias("label"))
+    spans = _events(spark, d).select(F.col("user_id").cast("string").alias("media_id"), F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), _label().alias("label"))
     path = store.fresh(spark, "maps")
     documents.write_json(documents.noise_map(spans), path)
     found = documents.noise_maps(spark, path)
