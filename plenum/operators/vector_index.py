@@ -34,6 +34,9 @@ from plenum.sources import store
 
 #: Dimensions of a code's byte, centres of a codebook, sample vectors for each centre, Lloyd's steps.
 WIDTH, CODES, SAMPLE, STEPS = 8, 256, 64, 8
+#: The share of cells that a search reads unless told otherwise: enough for vectors without any clusters. Where vectors
+#: lie in clusters, a few cells will do.
+PROBED = (2, 3)
 #: Most cells, files of a cell, floats of a block of vectors.
 MOST_CELLS, SPREAD, BLOCK_FLOATS = 4096, 8, 1 << 20
 
@@ -108,6 +111,10 @@ def _default_cells(n: int) -> int:
     return max(1, min(MOST_CELLS, round(math.sqrt(n))))
 
 
+def _default_probes(index: VectorIndex) -> int:
+    return -(-len(index.cells) * PROBED[0] // PROBED[1])
+
+
 def write(rows: DataFrame, path: str, id_column: str = "id", embedding: str = "embedding_he", cells: int | None = None, steps: int = STEPS) -> None:
     """Train and write the index of ``rows`` into folder ``path``."""
     spark = rows.sparkSession
@@ -164,13 +171,13 @@ def read(spark: SparkSession, path: str, id_column: str = "id", embedding: str =
 
 def find(index: VectorIndex, vector: list[float], n: int = 20, threshold: float = C.SEMANTIC_THRESHOLD, probes: int | None = None, ranked: int | None = None, exact: bool = False, station: str | None = None, media_type: str | None = None) -> DataFrame:
     """The rows nearest to ``vector`` with a similarity over the threshold, best first, as ``search.semantic`` gives
-    them. ``probes``: cells that are read (half of them unless given); ``ranked``: rows that are ranked by their
+    them. ``probes``: cells that are read (``PROBED`` of them unless given); ``ranked``: rows that are ranked by their
     vectors (twenty for each result unless given)."""
     rows = index.rows.drop("code")
     where = {"station": station, "media_type": media_type}
     if exact or not len(index.cells):
         return search.semantic(rows.drop("cell"), vector, n, threshold, index.id_column, index.embedding, **where)
-    near = index.nearest_cells(vector, probes or -(-len(index.cells) // 2))
+    near = index.nearest_cells(vector, probes or _default_probes(index))
     q, cells, id_column = unit(np.array([vector], np.float32))[0], index.cells, index.id_column
     # The score of a code is that of its cell and one entry of a table for each of its bytes.
     table = np.einsum("skw,sw->sk", index.books, _pieces(q[None], len(index.books))[:, 0])
@@ -198,7 +205,7 @@ def find_all(index: VectorIndex, queries: DataFrame, n: int = 20, probes: int |
 
     Queries and rows meet by cell in blocks, each of bounded size, however many a cell holds; a pair of blocks gives
     the n best rows of each query in it, and these are merged by query."""
-    probes, cells, dims = min(probes or -(-len(index.cells) // 2), len(index.cells)), index.cells, max(index.cells.shape[-1], 1)
+    probes, cells, dims = min(probes or _default_probes(index), len(index.cells)), index.cells, max(index.cells.shape[-1], 1)
     block = max(64, BLOCK_FLOATS // dims)
     id_kind, q_kind = dict(index.rows.dtypes)[index.id_column], dict(queries.dtypes)[query_column]
 

@@ -35,7 +35,7 @@ def _similar(rows: DataFrame) -> DataFrame:
 
 
 def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate: half of the cells, by codes, then by vectors."""
+    """Approximate: two thirds of the cells, by codes, then by vectors."""
     return _similar(vector_index.find(vector_cells(spark, d), query_vector(spark, d)))
 
 
