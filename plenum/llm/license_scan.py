@@ -98,6 +98,7 @@ WHOLE |= {
     37: "Distributed under the Boost Software License, Version 1.0.",
     38: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     39: "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    40: "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
 }
 # Notices that differ in a name and a version only: (licence, name, version) of the GNU ones, where the program's name
 # stands in front, and (suffix, name) of the Creative Commons ones.
@@ -113,6 +114,8 @@ CUT = {8, 10, 12, 13}
 WHOLE_RULES = [
     ("Apache-2.0", (20, 6, 7)),
     ("Apache-2.0", (21, 6, 7)),
+    ("BSD-4-Clause", (22, 23, 24, 40, 25)),
+    ("BSD-with-advertising", (22, 23, 24, 40)),
     ("BSD-3-Clause", (22, 23, 24, 25)),
     ("BSD-2-Clause", (22, 23, 24)),
     ("MIT", (26, 9)),

@@ -173,6 +173,7 @@ FULL = {
     "GPL-3.0-or-later": ["A program. Copyright (C) 2020 Some One", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
 }
 FULL["BSD-3-Clause"] = [*FULL["BSD-2-Clause"], "3. Neither the name of Some One nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+FULL["BSD-4-Clause"] = [*FULL["BSD-2-Clause"], "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by Some One.", *[x.replace("3. Neither", "4. Neither") for x in FULL["BSD-3-Clause"][len(FULL["BSD-2-Clause"]) :]]]
 FULL["GPL-2.0-or-later"] = [p.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2") for p in FULL["GPL-3.0-or-later"]]
 
 _GNU = lambda kind, v, mark, end: f"A program. This library is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation{end} either version {v} of the License, or (at your option) any later version."
