@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from plenum.llm.chunk_encoder import ChunkEncoder
-from plenum.llm.textbytes import SLICE_BYTES, buffers, groups, trimmed
+from plenum.llm.textbytes import SLICE_BYTES, buffers, groups, keep, trimmed
 
 MARK = "▁"
 #: Chunks that a worker's cache holds.
 KEPT_CHUNKS = 300_000
+KEPT = "sentencepiece codecs"
 # Fixed values of the protobuf: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -219,6 +220,7 @@ class Codec:
 @lru_cache(4)
 def codec(path: str, threads: int) -> Codec:
     """The worker's codec for a model file that every worker can open."""
+    keep(KEPT, codec.cache_clear)
     with open(path, "rb") as f:
         return Codec(f.read(), threads)
 
@@ -237,7 +239,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", threads: int =
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
 
     fields = [StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    return docs.mapInArrow(trimmed(run), StructType([*fields, StructField("ids", ArrayType(IntegerType(), False))]))
+    return docs.mapInArrow(trimmed(run, KEPT), StructType([*fields, StructField("ids", ArrayType(IntegerType(), False))]))
 
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", threads: int = 2) -> DataFrame:
@@ -257,7 +259,7 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", threads: int = 2)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     fields = [StructField(f.name, f.dataType, True) for f in rows.schema.fields]
-    return rows.mapInArrow(run, StructType([*fields, StructField("decoded", StringType())]))
+    return rows.mapInArrow(trimmed(run, KEPT), StructType([*fields, StructField("decoded", StringType())]))
 
 
 def digests(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
@@ -279,7 +281,7 @@ def digests(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts), pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(trimmed(run, KEPT), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def parity(model_path: str, texts: list[str]) -> list[str]:

@@ -73,11 +73,27 @@ def give_back() -> None:
         trim(0)
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``; when a task ends, what it has freed goes back to the system. Workers are used again
-    for other stages, and what each of them would hold on to adds up."""
+#: What this worker keeps from task to task, by name: how to let it go.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, forget: Callable[[], None]) -> None:
+    """This worker keeps something from task to task, until a ``trimmed`` task begins that doesn't use ``name``."""
+    _kept[name] = forget
+
+
+def let_go(but: str | None) -> None:
+    for name in [n for n in _kept if n != but]:
+        _kept.pop(name)()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when a task ends, what it has freed goes back to the system, and when it begins, what
+    other operators have kept is let go (``uses``: what this one keeps itself). Workers are used again for other stages,
+    and what each of them would hold on to adds up."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(uses)
         try:
             yield from run(batches)
         finally:
