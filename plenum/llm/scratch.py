@@ -30,6 +30,18 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/plenum/{spark.sparkContext.applicationId}"
 
 
+#: Rows of an Arrow batch, where the session names no number: batches are held by the JVM and by the worker, and texts
+#: are long (Spark's 10,000 rows of 3 KB are 30 MB in each place, and the buffers that grow to them several times that).
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows from now on, unless the session's settings give a number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
