@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plenum.llm import decontaminate, jaccard_join, quality, sentencepiece_codec, toxicity
 from plenum.llm.entry import tokenizer_file
-from plenum.llm.scratch import materialise, unused
+from plenum.llm.scratch import materialise, small_batches, unused
 from plenum.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,16 +32,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    small_batches(spark)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    ship(spark)
+    _prepare(spark)
     model, name = quality.fit(docs, _table(spark, sf_dir, "labels")), unused(docs, "score")
     return quality.score(docs, model, name=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    ship(spark)
+    _prepare(spark)
     model, name = toxicity.fit(docs, _table(spark, sf_dir, "labels")), unused(docs, "score")
     if not model.weights.any():
         return docs
@@ -50,19 +55,19 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays."""
-    ship(spark)
+    _prepare(spark)
     return jaccard_join.one_of_each(docs, 5, 4, 5)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    ship(spark)
+    _prepare(spark)
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of what is left."""
-    ship(spark)
+    _prepare(spark)
     rows = docs.select("doc_id", "text")
     found = sentencepiece_codec.encode(rows, tokenizer_file("piece_bpe_32k.model"))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
