@@ -7,8 +7,10 @@ exact up to collisions of the 64-bit shingle hashes.
 2. Candidate lists. By the prefix principle, two linked sets share one of the first n - ceil(t n) + 1 shingles of
    each, in any order of shingles that all sets use. The order is by hash, but shingles that more than ``HOT`` nodes
    have among the shingles written out go to its end, so that passages many documents share make no candidates. The
-   nodes of each prefix shingle are a list; equal lists are one. Nodes of a shingle that more than ``BLOCK`` of them
-   have are told apart by size bands (linked sets are in the same band or in neighbouring ones) and never gathered.
+   nodes of each prefix shingle are a list; equal lists are one. A node stays in a list only if another one fits it in
+   size and both have enough shingles left from this one on; all that linked sets share comes from the first shingle in
+   common on, so their first list keeps both. Nodes of a shingle that more than ``BLOCK`` of them have are told apart
+   by size bands (linked sets are in the same band or in neighbouring ones) and never gathered.
 3. First look: each node in its largest list only (long lists in blocks). A signature tree (leaves hold documents in
    order of size; a node holds the OR of its documents' bitmaps and their size range) is traversed against itself,
    which prunes pairs that sizes or the bits both have rule out; what it can't rule out is compared by the whole sets.
@@ -54,6 +56,9 @@ LEAST_BITS, MOST_BITS, MOST_WORDS = 256, 1 << 17, 1 << 19
 HEADS = "doc_id long, n int, d1 long, d2 long, pre array<long>, sig binary"
 #: A node's name: its smallest doc_id and half of its set's digest, which tells apart the sets of rows with one doc_id.
 NODE = ["rep", "d1"]
+#: A set's name: its size and its whole digest.
+SET = ["n", "d1", "d2"]
+PREFIXES = "h long, rep long, d1 long, n int, rest int"
 
 
 def prefix_length(n, num: int, den: int):
@@ -361,10 +366,12 @@ def _prefix(own: np.ndarray, n: int, hot: np.ndarray, num: int, den: int) -> np.
     return cold if len(cold) == size else None
 
 
-def _rows_of(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+def _rows_of(found: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of (rep, d1, n, places, shingles)."""
     sizes = [len(x) for *_, x in found]
-    reps, tags = (np.repeat(np.array([x[c] for x in found], np.int64), sizes) for c in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x for *_, x in found)])), pa.array(reps), pa.array(tags)], ["h", *NODE])
+    reps, tags, n = (np.repeat(np.array([x[c] for x in found], np.int64), sizes) for c in range(3))
+    places, h = (np.concatenate([np.zeros(0, np.int64), *(x[c] for x in found)]) for c in (3, 4))
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(reps), pa.array(tags), pa.array(n.astype(np.int32)), pa.array((n - places).astype(np.int32))], ["h", *NODE, "n", "rest"])
 
 
 def _hot(shared: DataFrame) -> DataFrame:
@@ -380,8 +387,9 @@ def _hot(shared: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(h, rep, d1): each node's prefix shingles, of those that other nodes may share; and (h) of all shingles that
-    more than ``BLOCK`` nodes have in their prefixes, possibly with others.
+    """(h, rep, d1, n, rest): each node's prefix shingles, of those that other nodes may share, with the size of its
+    set and how many of the set, in the order, begin with this one; and (h) of all shingles that more than ``BLOCK``
+    nodes have in their prefixes, possibly with others.
 
     What is hot is decided by one bit filter of the shingles that are frequent among the heads, for all nodes alike;
     which they are matters for speed only, so its false hits do no harm."""
@@ -400,22 +408,28 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, wor
         for batch in batches:
             rep, d1 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-            yield _rows_of([(rep[i], d1[i], _prefix(own, len(own), hot.value, num, den)) for i, own in enumerate(sets)])
+            own = [_prefix(x, len(x), hot.value, num, den) for x in sets]
+            yield _rows_of([(rep[i], d1[i], len(sets[i]), np.arange(len(x)), x) for i, x in enumerate(own)])
 
     # Sets with more hot shingles than the reserve: their prefix is taken from the whole set.
     rest = nodes.select(*NODE, "n", "pre").mapInArrow(short, "rep long, d1 long")
-    full = work.keep(whole_sets(docs, rest, k, work).select(*NODE, "own").mapInArrow(trimmed(whole), "h long, rep long, d1 long"), "full")
+    full = work.keep(whole_sets(docs, rest, k, work).select(*NODE, "own").mapInArrow(trimmed(whole), PREFIXES), "full")
     kept = context.broadcast(_bits(shared.select("h").unionByName(full.select("h"))))
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, d1, n = (batch.column(i).to_pylist() for i in range(3))
-            found = ((rep[i], d1[i], _prefix(own, n[i], hot.value, num, den)) for i, own in enumerate(_lists(batch.column(3))))
-            yield _rows_of([(r, t, x[_in_bits(kept.value, x)]) for r, t, x in found if x is not None])
+            found = []
+            for i, own in enumerate(_lists(batch.column(3))):
+                x = _prefix(own, n[i], hot.value, num, den)
+                if x is not None:
+                    places = np.flatnonzero(_in_bits(kept.value, x))
+                    found.append((rep[i], d1[i], n[i], places, x[places]))
+            yield _rows_of(found)
 
     # A shingle with at most BLOCK nodes in either table has at most twice as many in both.
     large = shared.where(F.col("count") > BLOCK).select("h").unionByName(full.groupBy("h").agg(F.count("*").alias("count")).where(F.col("count") > BLOCK).select("h"))
-    return nodes.select(*NODE, "n", "pre").mapInArrow(enough, "h long, rep long, d1 long").unionByName(full), large.distinct()
+    return nodes.select(*NODE, "n", "pre").mapInArrow(enough, PREFIXES).unionByName(full), large.distinct()
 
 
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -423,10 +437,15 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     yield from (flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))
 
 
-def candidate_lists(prefixes: DataFrame) -> DataFrame:
-    """(lid, members): the distinct lists of several nodes that share a prefix shingle."""
-    lists = prefixes.groupBy("h").agg(F.collect_list(F.struct(*NODE)).alias("members")).where(F.size("members") > 1)
-    return lists.select(F.array_sort("members").alias("members")).distinct().withColumn("lid", F.xxhash64("members"))
+def candidate_lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """(lid, members): the distinct lists of several nodes that share a prefix shingle, without those that can't be
+    linked with any other node of the list if this is the first shingle that both have: then all that they share is
+    among the ``rest`` of each. Linked nodes meet in the list of their first shingle in common, so none is lost."""
+    lists = prefixes.groupBy("h").agg(F.collect_list(F.struct(*NODE, F.col("n").cast("long").alias("n"), F.col("rest").cast("long").alias("rest"))).alias("found")).where(F.size("found") > 1)
+    near = f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {num + den} * least(x.rest, y.rest) >= {num} * (x.n + y.n)"
+    kept = F.expr(f"filter(found, x -> exists(found, y -> {near} and (x.rep <> y.rep or x.d1 <> y.d1)))")
+    lists = lists.select(kept.alias("kept")).where(F.size("kept") > 1)
+    return lists.select(F.array_sort(F.expr("transform(kept, x -> struct(x.rep, x.d1))")).alias("members")).distinct().withColumn("lid", F.xxhash64("members"))
 
 
 def _band(num: int, den: int) -> Column:
@@ -510,18 +529,27 @@ def _stars(known: DataFrame) -> DataFrame:
     return known.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
 
 
-def _node_components(docs: DataFrame, heads: DataFrame, k: int, num: int, den: int, work: Scratch) -> DataFrame:
-    """(n, d1, d2, component) of every distinct set that is not empty."""
+def distinct_sets(heads: DataFrame, work: Scratch) -> DataFrame:
+    """(n, d1, d2, rep, pre, sig): a node for each distinct set that is not empty. Only rows that a filter can't clear
+    of having copies are shuffled."""
     some = heads.where("n > 0 and doc_id is not null")
-    nodes = some.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("pre").alias("pre"), F.first("sig").alias("sig"))
-    nodes = work.keep(nodes, "nodes")
+    copied = work.keep(some.groupBy(*SET).agg(F.count("*").alias("count")).where("count > 1").select(*SET), "copied")
+    flagged = key_filter(copied, *SET).flagged(some, SET, "copied")
+    single = flagged.where("not copied").select(*SET, F.col("doc_id").alias("rep"), "pre", "sig")
+    several = flagged.where("copied").groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.first("pre").alias("pre"), F.first("sig").alias("sig"))
+    return work.keep(single.unionByName(several), "nodes")
+
+
+def _node_components(docs: DataFrame, named: DataFrame, nodes: DataFrame, k: int, num: int, den: int, work: Scratch) -> DataFrame:
+    """(n, d1, d2, component) of every distinct set that is not empty."""
+    some = named.where("n > 0 and doc_id is not null")
     prefixes, much = _prefixes(docs, nodes, k, num, den, work)
     flagged = key_filter(much, "h").flagged(prefixes, ["h"], "much")
     flagged = work.keep(flagged, "prefixes")
-    lists = work.keep(candidate_lists(flagged.where("not much")), "lists")
+    lists = work.keep(candidate_lists(flagged.where("not much"), num, den), "lists")
     small = lists.select("lid", F.size("members").cast("long").alias("size"), F.inline("members"))
     band = _band(num, den)
-    large = flagged.where("much").join(nodes.select(*NODE, "n"), NODE).withColumn("band", F.explode(F.array(band, band + 1)))
+    large = flagged.where("much").withColumn("band", F.explode(F.array(band, band + 1)))
     large = work.keep(large.select(F.xxhash64("h", "band").alias("lid"), *NODE, "n"), "large")
     work.drop(flagged)
     known = _first_components(docs, nodes, small, large, k, num, den, work)
@@ -537,12 +565,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     work = Scratch(docs.sparkSession, "jaccard")
     heads = work.keep(shingle_heads(docs, k, num, den), "heads")
-    found = _node_components(docs, heads, k, num, den, work)
-    named = heads.select("doc_id", "n", "d1", "d2")
+    named = work.keep(heads.select("doc_id", *SET), "named")
+    nodes = distinct_sets(heads, work)
+    work.drop(heads)
+    found = _node_components(docs, named, nodes, k, num, den, work)
     empty = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
     # Both sides are written tables, so Spark can split the key of a large group of copies.
     rest = named.where("n > 0").join(found, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    work.drop_others(heads, found)
+    work.drop_others(named, found)
     return rest.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 

@@ -222,6 +222,38 @@ def test_many_distinct_near_copies(spark, monkeypatch, steps, group):
     assert got == _brute(rows, 4, 85, 100)
 
 
+def test_lists_hold_only_nodes_that_may_be_linked(spark, monkeypatch):
+    """Texts that share a passage, but not enough of it or not in size, make no lists; near copies still do."""
+    lists, keep = [], scratch.Scratch.keep
+
+    def noted(self, df, name):
+        out = keep(self, df, name)
+        if name == "lists":
+            lists.append(out.collect())
+        return out
+
+    monkeypatch.setattr(scratch.Scratch, "keep", noted)
+    apart = [(2 * i + j, " ".join([f"s{i}_{w}" for w in range(12)] + [f"t{i}_{j}_{w}" for w in range((30, 90)[j])])) for i in range(30) for j in range(2)]
+    equal = [(100 + 2 * i + j, " ".join([f"u{i}_{w}" for w in range(24)] + [f"v{i}_{j}_{w}" for w in range(18)])) for i in range(30) for j in range(2)]
+    jaccard_join.join(spark.createDataFrame(apart, "doc_id long, text string"), 4, 85, 100).collect()
+    assert lists.pop() == []
+    near = [(1000 + i, text + " more") for i, text in equal[::2]]
+    rows = apart + equal + near
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert got == _brute(rows, 4, 85, 100) and sum(d != c for d, (_, c) in got.items()) == 30
+    members = [m.rep for r in lists.pop() for m in r.members]
+    assert {d for d, _ in near} <= set(members) and not {d for d, _ in apart} & set(members)
+
+
+def test_only_sets_with_copies_are_grouped(spark):
+    """The grouping of heads by their sets gets the rows that may have copies; every set is one node all the same."""
+    rows = [(i, f"own words {i} " * 3) for i in range(200)] + [(1000 + i, f"own words {i} " * 3) for i in range(5)] + [(None, "own words 7 " * 3), (2000, "")]
+    work = scratch.Scratch(spark, "test")
+    heads = work.keep(jaccard_join.shingle_heads(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100), "heads")
+    nodes = jaccard_join.distinct_sets(heads, work).collect()
+    assert len(nodes) == len({(r.n, r.d1, r.d2) for r in nodes}) == 200 and {r.rep for r in nodes} == set(range(200))
+
+
 # clashing names, short items, empty tables
 
 
