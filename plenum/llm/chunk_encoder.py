@@ -4,7 +4,8 @@ A chunk is a stretch of text between blanks, across whose ends the model never m
 those of its chunks one after the other. Each distinct chunk is encoded once for a Python worker; the rest is numpy
 work on 64-bit hashes of the chunks. A second, independent 64-bit hash of every occurrence is compared with the one of
 the chunk that was encoded; where they differ (two chunks with one hash), the texts at hand are encoded without the
-cache.
+cache. Before the index of all chunks, which needs the occurrences sorted, comes a table of the chunks met last, with a
+place for each value of a hash's low bits, where most occurrences are found.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from plenum.llm.textbytes import BYTE_CODE, CHECK_CODE, SAME, coded_words, group
 
 #: Longest chunk that the cache keeps, and how many of them it keeps before it starts anew.
 KEPT_BYTES, KEPT_CHUNKS, KEPT_MARKS = 64, 1_600_000, 50_000
+#: Places of the table of chunks met last, a power of two.
+RECENT = 1 << 18
 #: Bytes of text that are looked up at once.
 GROUP_BYTES = 1 << 20
 BLANK = np.zeros(256, bool)
@@ -43,6 +46,8 @@ class ChunkEncoder:
         self._ends = np.zeros(1 << 12, np.int64)
         self._n = 0
         self._marks: dict[str, list[int]] = {}
+        #: The chunks met last: hash and slot (-1: none).
+        self._recent, self._recent_slots = np.zeros(RECENT, np.uint64), np.full(RECENT, -1, np.int32)
 
     def _hashes(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         (hashes, checks), starts = coded_words(raw, at, SAME, self._blank, (BYTE_CODE, CHECK_CODE))
@@ -108,8 +113,11 @@ class ChunkEncoder:
 
     def _some(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, checks, starts = self._hashes(raw, at)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = keys.tolist()
+        place = (hashes & np.uint64(RECENT - 1)).astype(np.int64)
+        slot = self._recent_slots[place].astype(np.int64)
+        rest = np.flatnonzero((self._recent[place] != hashes) | (slot < 0))
+        keys, first, which = np.unique(hashes[rest], return_index=True, return_inverse=True)
+        first, keys = rest[first], keys.tolist()
         found = list(map(self._index.get, keys))
         long: list[int] = []
         if None in found:
@@ -126,7 +134,10 @@ class ChunkEncoder:
                     long.append(keys[i])
             self._learn([keys[i] for i in new], checks[first[new]].tolist(), chunks)
             found = list(map(self._index.__getitem__, keys))
-        slot = np.array(found, np.int64)[which] if len(which) else np.zeros(0, np.int64)
+        if keys:
+            slot[rest] = np.array(found, np.int64)[which]
+            place = place[first]
+            self._recent[place], self._recent_slots[place] = hashes[first], slot[first]
         if not np.array_equal(self._checks[slot], checks):
             return self._uncached(raw, at)
         row = self._rows[slot]

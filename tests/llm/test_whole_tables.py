@@ -105,6 +105,23 @@ def test_chunks_with_one_hash_are_told_apart(monkeypatch):
             assert ids.tolist() == [i for x in want for i in x] and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
 
 
+@pytest.mark.parametrize("places", [1, 4, 1 << 18])
+def test_chunks_met_last_need_no_index(monkeypatch, places):
+    """Chunks in the table of those met last are not looked up again; chunks that share a place are told apart."""
+    monkeypatch.setattr(chunk_encoder, "RECENT", places)
+    coder = chunk_encoder.ChunkEncoder(lambda chunks: [[len(c), *c.encode()] for c in chunks])
+    rng, words = np.random.default_rng(3), [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[int(i)] for i in rng.integers(0, 40, 30)) for _ in range(50)] + ["", "x" * 200, " "]
+    expected = [[i for c in text.split() for i in (len(c), *c.encode())] for text in texts]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    for again in range(3):
+        ids, ends = coder.encode(raw, at)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == expected
+        if places > 40 and again == 1:
+            coder._index = {}  # nothing but the table knows the chunks
+
+
 def test_sentencepiece_equals_the_library(spark, texts):
     import sentencepiece
 
