@@ -2,7 +2,9 @@
 
 Links stay on the cluster; each round is written to the shared folder and the one before removed, so lineage and disk
 stay short. The join by a star's centre reads written tables on both sides, so that Spark can split a centre that a
-large part of all links share. Links from a document to itself and repeated links do no harm.
+large part of all links share. It makes one row of each link at most, and what it makes is written, because the small
+star reads it more than once. Links from a document to itself and repeated links do no harm: they go before the first
+round.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes with a link to another; component is the smallest node, which has a row too."""
     work = Scratch(links.sparkSession, "components")
-    links = work.keep(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "links")
+    links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    links = work.keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         least = _both(links).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.max("b").alias("x"))
         least = work.keep(least, "least")
@@ -40,5 +43,6 @@ def components(links: DataFrame) -> DataFrame:
         if least.where("m < a and x > a").isEmpty():
             work.drop_others(least)
             return least.select(F.col("a").alias("node"), F.col("m").alias("component"))
-        links = work.keep(_small_star(_large_star(links, least)), "links")
+        moved = work.keep(_large_star(links, least), "moved")
+        links = work.keep(_small_star(moved), "links")
         work.drop_others(links)

@@ -453,10 +453,10 @@ def _band(num: int, den: int) -> Column:
     return F.floor(F.log("n") / F.lit(max(1.0001 * math.log(den / num), 1e-6))).cast("long")
 
 
-def _several(rows: DataFrame, key: str, comp: str = "comp") -> DataFrame:
-    """``rows`` of those keys that have several components."""
-    keys = rows.groupBy(key).agg(F.min(comp).alias("x"), F.max(comp).alias("y")).where("x <> y").select(key)
-    return rows.join(keys, key, "left_semi")
+def _several(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """``rows`` of those keys that have several components, with ``more`` aggregates of each key."""
+    keys = rows.groupBy(key).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *more).where("x <> y").drop("x", "y")
+    return rows.join(keys, key)
 
 
 def _known(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -508,8 +508,10 @@ def _other_links(docs: DataFrame, nodes: DataFrame, small: DataFrame, large: Dat
 
     found = near_members(_several(named(small), "lid"), nodes, num, den)
     found = found.select(*NODE, "comp", "n", F.xxhash64(*NODE).alias("a"), F.xxhash64("grep", "gd1").alias("b"))
-    hubs = _several(named(large), "lid").select(*NODE, "comp", "n", F.xxhash64(*NODE).alias("a"), F.xxhash64("lid").alias("b"))
-    near = work.keep(found.unionByName(hubs), "near")
+    # The members of a long list are linked with the least of them, not with the list: most lists of near copies have
+    # the same least one, so these links are mostly repeated ones, and go.
+    hubs = _several(named(large).withColumn("a", F.xxhash64(*NODE)), "lid", F.min("a").alias("b")).select(*NODE, "comp", "n", "a", "b")
+    near = work.keep(found.unionByName(hubs).distinct(), "near")
     cids = components(near.select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("cid"))
     rows = near.select(*NODE, "comp", "n", "a").distinct().join(cids, "a").select("cid", *NODE, "comp", "n")
     sizes = rows.groupBy("cid").agg(_parts("count(1) / 2", "sum(n) / 2").alias("parts"))

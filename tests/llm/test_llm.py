@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from plenum.llm import dac_tokens, decontaminate, entry, jaccard_join, license_scan, media, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from plenum.llm import components as components_module
 from plenum.llm.components import components
 from plenum.llm.key_filter import key_filter
 from plenum.llm.textbytes import buffers
@@ -347,6 +348,17 @@ def test_components(spark):
     assert components(links.where("false")).count() == 0
 
 
+def test_components_make_a_row_of_each_link_once(spark, monkeypatch):
+    """Repeated links go before the first round, and what the join makes is written before it is read several times."""
+    counts, plans, large, small = [], [], components_module._large_star, components_module._small_star
+    monkeypatch.setattr(components_module, "_large_star", lambda links, least: (counts.append(links.count()), large(links, least))[1])
+    monkeypatch.setattr(components_module, "_small_star", lambda moved: (plans.append(moved._jdf.queryExecution().optimizedPlan().toString()), small(moved))[1])
+    pairs = [(i, i + 1) for i in range(40)]
+    links = spark.createDataFrame((pairs + [(b, a) for a, b in pairs]) * 5, "a long, b long")
+    assert {r.node: r.component for r in components(links).collect()} == dict.fromkeys(range(41), 0)
+    assert counts[0] == 40 and plans and not any("Join" in p for p in plans)
+
+
 def test_key_filter_loses_nothing(spark):
     keys = spark.range(0, 3000, 3)
     kept = {r.id for r in key_filter(keys, "id").maybe(spark.range(6000).withColumns({"w": F.lit(1), "V": F.lit(2), "maybe": F.lit(3)}), "id").collect()}

@@ -239,6 +239,29 @@ def test_many_distinct_near_copies(spark, monkeypatch, steps, group):
     assert got == _brute(rows, 4, 85, 100)
 
 
+def test_long_lists_make_few_different_links(spark, monkeypatch):
+    """The links that join a group's long lists are few for each document, however many of the lists it is in."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 128)
+    calls, found = [], jaccard_join.components
+
+    def noted(links):
+        rows = links.where("a <> b").collect()
+        calls.append((len(rows), len({x for r in rows for x in (r.a, r.b)})))
+        return found(links)
+
+    monkeypatch.setattr(jaccard_join, "components", noted)
+    rng, base, rows = np.random.default_rng(9), [f"b{i}" for i in range(120)], []
+    for d in range(600):
+        w = list(base)
+        for i in rng.integers(0, 120, 8):
+            w[int(i)] = f"e{int(rng.integers(0, 10**6))}"
+        rows.append((d, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85, 100).collect()}
+    assert got == _brute(rows, 4, 85, 100)
+    links, nodes = calls[0]
+    assert nodes >= 600 and links <= 5 * nodes
+
+
 def test_lists_hold_only_nodes_that_may_be_linked(spark, monkeypatch):
     """Texts that share a passage, but not enough of it or not in size, make no lists; near copies still do."""
     lists, keep = [], scratch.Scratch.keep
